@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words that a worker keeps at most; then it starts anew. It bounds memory and never changes a result.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 800_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from inkweave.llm import op1_sentencepiece
+from pyspark.sql import functions as F
+
+from inkweave.llm import op1_sentencepiece, op4_packing, op6_quality, op7_language, op8_toxicity
 from inkweave.llm.common import table
 
 
@@ -10,7 +12,38 @@ def op1_sentencepiece_codec(spark, sf_dir):
     return op1_sentencepiece.round_trip(table(spark, sf_dir, "documents"), op1_sentencepiece.default_model())
 
 
-QUERIES = {"op1_sentencepiece_codec": op1_sentencepiece_codec}
+def packed_rows(docs):
+    """The digest of the packed pieces of docs: the ids themselves are left out of the shuffle."""
+    cut = op4_packing.pieces(docs, op4_packing.default_vocabulary())
+    cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return op4_packing.pack(cut, op4_packing.tasks_for(docs))
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return packed_rows(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark, sf_dir):
+    scored = op6_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op7_language_id(spark, sf_dir):
+    return op7_language.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_score(spark, sf_dir):
+    scored = op8_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {
+    "op1_sentencepiece_codec": op1_sentencepiece_codec,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity_score": op8_toxicity_score,
+}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
