@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweave.llm import op1_sentencepiece, op4_packing, op6_quality, op7_language, op8_toxicity
+from inkweave.llm import op1_sentencepiece, op2_fingerprint, op4_packing, op6_quality, op7_language, op8_toxicity
 from inkweave.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_sentencepiece_codec(spark, sf_dir):
     return op1_sentencepiece.round_trip(table(spark, sf_dir, "documents"), op1_sentencepiece.default_model())
 
 
+def op2_document_fingerprints(spark, sf_dir):
+    return op2_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def packed_rows(docs):
     """The digest of the packed pieces of docs: the ids themselves are left out of the shuffle."""
     cut = op4_packing.pieces(docs, op4_packing.default_vocabulary())
@@ -39,6 +43,7 @@ def op8_toxicity_score(spark, sf_dir):
 
 QUERIES = {
     "op1_sentencepiece_codec": op1_sentencepiece_codec,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
