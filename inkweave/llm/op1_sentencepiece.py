@@ -210,12 +210,19 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def slices(frames: Iterator[pd.DataFrame], chars: int = 8_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
-    """The frames in slices of about so many characters, so that memory follows neither batch size nor text length."""
+def slices(frames: Iterator[pd.DataFrame], chars: int = 8_000_000, rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """The frames in slices of about so many characters of text, and so many rows at most.
+
+    Memory then follows neither the batch's size nor, but for a single text, the texts' length.
+    """
     for frame in frames:
-        size = frame[column].str.len().fillna(0).to_numpy().cumsum() // chars
-        for _, part in frame.groupby(size, sort=False) if len(frame) else ():
-            yield part
+        ends = frame["text"].str.len().fillna(0).to_numpy().cumsum()
+        begin = 0
+        while begin < len(frame):
+            so_far = ends[begin - 1] if begin else 0
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, so_far + chars, side="right"))))
+            yield frame.iloc[begin:end]
+            begin = end
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweave.llm import op1_sentencepiece, op2_fingerprint, op4_packing, op6_quality, op7_language, op8_toxicity
+from inkweave.llm import op1_sentencepiece, op2_fingerprint, op3_ppm, op4_packing, op6_quality, op7_language, op8_toxicity
 from inkweave.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_document_fingerprints(spark, sf_dir):
     return op2_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op3_ppm_scoring(spark, sf_dir):
+    return op3_ppm.score(table(spark, sf_dir, "documents"))
+
+
 def packed_rows(docs):
     """The digest of the packed pieces of docs: the ids themselves are left out of the shuffle."""
     cut = op4_packing.pieces(docs, op4_packing.default_vocabulary())
@@ -44,6 +48,7 @@ def op8_toxicity_score(spark, sf_dir):
 QUERIES = {
     "op1_sentencepiece_codec": op1_sentencepiece_codec,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_ppm_scoring": op3_ppm_scoring,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
