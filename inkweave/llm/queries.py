@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweave.llm import op1_sentencepiece, op2_fingerprint, op3_ppm, op4_packing, op6_quality, op7_language, op8_toxicity
+from inkweave.llm import op1_sentencepiece, op10_embeddings, op2_fingerprint, op3_ppm, op4_packing, op6_quality, op7_language, op8_toxicity
 from inkweave.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_toxicity_score(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op10_embedding_links(spark, sf_dir):
+    return op10_embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_sentencepiece_codec": op1_sentencepiece_codec,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -53,6 +57,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_toxicity_score": op8_toxicity_score,
+    "op10_embedding_links": op10_embedding_links,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

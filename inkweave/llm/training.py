@@ -21,12 +21,18 @@ def sample(docs: DataFrame, marks: DataFrame, per_class: int) -> tuple[pd.DataFr
     """(texts and classes of at most per_class training rows of each class, all training rows by class).
 
     marks has (doc_id, mark); rows of the held-out fold and null marks are left out. The rows are those with the
-    smallest hash of their id, so the sample is the same on every run. Each task keeps per_class rows of a class before
-    the shuffle. The chosen ids, at most per_class by class, are broadcast to the scan of the texts.
+    smallest hash of their id, so the sample is the same on every run; a bound on the hash, from the size of the class,
+    leaves about twice as many before the shuffle. The chosen ids, at most per_class by class, are broadcast to the scan
+    of the texts.
     """
     usable = marks.filter(F.col("mark").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "mark")
     counts = {r["mark"]: r["n"] for r in usable.groupBy("mark").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("mark").orderBy(F.xxhash64("doc_id"), "doc_id")
+    if not counts:
+        return pd.DataFrame({"text": [], "mark": [], "rank": []}), counts
+    space = 1 << 40
+    bounds = [x for mark, n in counts.items() for x in (F.lit(mark), F.lit(min(space, space * 2 * per_class // n)))]
+    usable = usable.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(space))).filter(F.col("hash") < F.element_at(F.create_map(*bounds), F.col("mark")))
+    order = Window.partitionBy("mark").orderBy("hash", "doc_id")
     chosen = usable.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class).select("doc_id", "mark", "rank")
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     rows = texts.select("text", "mark", "rank").toPandas().sort_values(["mark", "rank", "text"], ignore_index=True)
