@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweave.llm import op1_sentencepiece, op10_embeddings, op2_fingerprint, op3_ppm, op4_packing, op6_quality, op7_language, op8_toxicity
+from inkweave.llm import op1_sentencepiece, op10_embeddings, op2_fingerprint, op3_ppm, op4_packing, op6_quality, op7_language, op8_toxicity, op9_jaccard
 from inkweave.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_toxicity_score(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return op9_jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_links(spark, sf_dir):
     return op10_embeddings.link(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_toxicity_score": op8_toxicity_score,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_embedding_links": op10_embedding_links,
 }
 
