@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweave.llm import op1_sentencepiece, op10_embeddings, op2_fingerprint, op3_ppm, op4_packing, op6_quality, op7_language, op8_toxicity, op9_jaccard
+from inkweave.llm import op1_sentencepiece, op10_embeddings, op2_fingerprint, op3_ppm, op4_packing, op5_repeats, op6_quality, op7_language, op8_toxicity, op9_jaccard
 from inkweave.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op4_best_fit_packing(spark, sf_dir):
     return packed_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_passages(spark, sf_dir):
+    kept = op5_repeats.remove(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_quality_classifier(spark, sf_dir):
     scored = op6_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_ppm_scoring": op3_ppm_scoring,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
     "op8_toxicity_score": op8_toxicity_score,
