@@ -1,8 +1,73 @@
-"""Cleaning pipeline over documents (stages are added as the operators land)."""
+"""Cleaning pipeline over documents: language, toxicity, near duplicates, repeated passages, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and returns a DataFrame; all but the last
+return the columns of documents.
+
+* Language: rows whose text is null or has no letter go, and those whose likeliest language has less than
+  LEAST_LANGUAGE of the weight.
+* Toxicity: rows with a score of MOST_TOXIC or more go.
+* Near duplicates: of each group linked at a Jaccard similarity of 0.8 the document with the smallest id stays. Rows that
+  share an id are one document and stay together; rows without an id stay.
+* Repeated passages: words covered by a window of 20 words that also starts earlier go from the text; n_chars follows. A
+  document that loses all words stays, with an empty text.
+* Packing: the pieces of all texts with their places in sequences of 1024 tokens.
+
+Empty tables pass through all stages. Columns beyond those of documents are carried along unread by the first four.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkweave.llm import op5_repeats, op7_language, op8_toxicity, op9_jaccard
+from inkweave.llm.common import table, written
+from inkweave.llm.queries import packed_rows
+
+LEAST_LANGUAGE = 0.3
+MOST_TOXIC = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = op7_language.labeller(docs)(F.col("text"))
+    clear = (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_LANGUAGE)
+    return docs.withColumn("_language", found).filter(clear).drop("_language")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    score = op8_toxicity.scorer(docs, table(spark, sf_dir, "labels"))(F.col("text"))
+    return docs.withColumn("_toxic", score).filter(F.col("_toxic") < MOST_TOXIC).drop("_toxic")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = op9_jaccard.link(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = op5_repeats.remove(docs, others).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
+    return kept.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed_rows(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", packing),
+]
+
+#: SQL can't express the stages; the tests hold run() against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

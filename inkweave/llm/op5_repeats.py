@@ -196,34 +196,41 @@ def _nodes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen_at, seen, seen_id, seen_start = place[-1], path[mine], ids[mine], start[mine]
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed long, kept string: the kept words joined by one space) of every row of docs."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = rows.mapInPandas(_marked, "place long, id long, prefix long, once boolean, known boolean")
+def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    """(n_words, n_removed, kept) of each text without the words that the runs of windows cover."""
+    n_words, n_removed, kept = [], [], []
+    for text_, runs_ in zip(text, runs, strict=True):
+        words = words_of(text_)
+        covered = np.zeros(len(words) + 1, dtype=np.int32)
+        for r in runs_ if runs_ is not None else ():
+            # of rows that share an id, some may be too short for a run
+            if r["start"] < len(words):
+                covered[r["start"]] += 1
+                covered[min(len(words), r["start"] + r["n"] + WINDOW - 1)] -= 1
+        stay = np.cumsum(covered[:-1]) == 0
+        n_words.append(len(words))
+        n_removed.append(len(words) - int(stay.sum()))
+        kept.append(b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s).decode("utf-8", "surrogatepass"))
+    return pd.DataFrame({"n_words": n_words, "n_removed": n_removed, "kept": kept})
+
+
+def remove(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed long, kept string: the kept words joined by one space) of every row of docs.
+
+    The columns named in carry follow, as they are.
+    """
+    names = {f"carried_{k}": name for k, name in enumerate(carry or [])}
+    rows = docs.select(
+        F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(f"`{old}`").alias(new) for new, old in names.items()]
+    )
+    marked = rows.select("id", "text").mapInPandas(_marked, "place long, id long, prefix long, once boolean, known boolean")
     repeated = marked.repartition("place").sortWithinPartitions("place", "prefix").mapInPandas(_repeated, "id long, prefix long")
     prefixes = repeated.groupBy("id").agg(F.collect_set("prefix").alias("prefixes"))
-    # the texts are dealt by id once; both joins read that exchange
+    # the rows are dealt by id once, with all their columns: both joins read that exchange
     dealt = rows.repartition("id")
     leaves = dealt.join(prefixes, "id").mapInPandas(_leaves, "place long, id long, start int, n int, paths binary")
     gone = leaves.repartition("place").sortWithinPartitions("place", "id", "start").mapInPandas(_nodes, "id long, start int, n int")
     runs = gone.groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-
-    def cut(frames):
-        for f in slices(frames, SLICE):
-            n_words, n_removed, kept = [], [], []
-            for text, gone_ in zip(f["text"], f["runs"], strict=True):
-                words = words_of(text)
-                covered = np.zeros(len(words) + 1, dtype=np.int32)
-                for r in gone_ if gone_ is not None else ():
-                    # rows that share an id share their runs' ids, not their lengths
-                    if r["start"] < len(words):
-                        covered[r["start"]] += 1
-                        covered[min(len(words), r["start"] + r["n"] + WINDOW - 1)] -= 1
-                stay = np.cumsum(covered[:-1]) == 0
-                n_words.append(len(words))
-                n_removed.append(len(words) - int(stay.sum()))
-                kept.append(b" ".join(w for w, s in zip(words, stay.tolist(), strict=True) if s).decode("utf-8", "surrogatepass"))
-            yield pd.DataFrame({"id": f["id"], "n_words": n_words, "n_removed": n_removed, "kept": kept})
-
-    out = dealt.join(runs, "id", "left").mapInPandas(cut, "id long, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")
+    shorten = F.pandas_udf(cut, "n_words long, n_removed long, kept string")
+    out = dealt.join(runs, "id", "left").select("*", shorten("text", "runs").alias("out"))
+    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "out.*", *[F.col(new).alias(old) for new, old in names.items()])

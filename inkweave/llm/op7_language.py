@@ -161,6 +161,18 @@ def fit(rows: pd.DataFrame, chars: int = 30_000) -> LanguageModel:
     return LanguageModel(names, symbols, steps, np.array([np.log2(len(texts[n]) + 1) for n in names]))
 
 
+def labeller(docs: DataFrame, docs_per_language: int = 60, chars: int = 30_000):
+    """A column function text -> struct (lang_pred, score), learnt from docs as predict() learns."""
+    rows, _ = sample(docs, docs.select("doc_id", F.col("lang").alias("mark")), docs_per_language)
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, chars))
+
+    def run(text: pd.Series) -> pd.DataFrame:
+        made = [model.value.predict([t or "" for t in f["text"]]) for f in slices(iter([text.to_frame("text")]), 4_000_000)]
+        return pd.DataFrame({"lang_pred": [x for names, _ in made for x in names], "score": [x for _, score in made for x in score]})
+
+    return F.pandas_udf(run, "lang_pred string, score double")
+
+
 def predict(docs: DataFrame, docs_per_language: int = 60, chars: int = 30_000) -> DataFrame:
     """(doc_id, held_out boolean, lang_pred string, score double) of every row of docs (doc_id, text, lang).
 
