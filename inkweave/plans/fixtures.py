@@ -88,10 +88,10 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_N = "(doc_id * 3 + at)"
-DUCK_SPANS = f"""(SELECT doc_id * 10000 + at + 1 AS span_id, source AS book_id, doc_id AS page_number, (at + 1)::int AS sentence, [{DUCK['tag_of'](_N, 0)}, {DUCK['tag_of'](_N, 1)}] AS tags,
- {duck_pick(ROLES, _N)} AS role, {duck_pick(CLASSES, _N)} AS search_class, CASE WHEN {_N} % {len(CLASSES)} = 1 THEN {duck_pick(['definition', 'derivation', 'proof'], _N)} END AS gap_type, s[at + 1] AS span_text
- FROM (SELECT doc_id, source, s, unnest(range(0, len(s))) AS at FROM (SELECT doc_id, source, {duck_sentences('text')} AS s FROM documents)))"""
+_N = "(doc_id * 3 + pos)"
+DUCK_SPANS = f"""(SELECT doc_id * 10000 + pos + 1 AS span_id, source AS book_id, doc_id AS page_number, (pos + 1)::int AS sentence, [{DUCK['tag_of'](_N, 0)}, {DUCK['tag_of'](_N, 1)}] AS tags,
+ {duck_pick(ROLES, _N)} AS role, {duck_pick(CLASSES, _N)} AS search_class, CASE WHEN {_N} % {len(CLASSES)} = 1 THEN {duck_pick(['definition', 'derivation', 'proof'], _N)} END AS gap_type, s[pos + 1] AS span_text
+ FROM (SELECT doc_id, source, s, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, source, {duck_sentences('text')} AS s FROM documents)))"""
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
