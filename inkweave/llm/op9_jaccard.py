@@ -179,7 +179,7 @@ def intersections(sets: list[np.ndarray], wide: int = 32_768) -> np.ndarray:
     return out
 
 
-def link(docs: DataFrame, least: float = 0.8, loose: float = 0.6, small: int = 4096, block: int = 1024, exact_block: int = 64) -> DataFrame:
+def link(docs: DataFrame, least: float = 0.8, loose: float = 0.6, small: int = 4096, block: int = 4096, exact_block: int = 128) -> DataFrame:
     """(doc_id, class_id, n_links long, kept boolean) of every row of docs (doc_id, text).
 
     n_links counts the other rows whose sets have a Jaccard similarity of at least ``least``; class_id is the smallest
@@ -216,16 +216,24 @@ def link(docs: DataFrame, least: float = 0.8, loose: float = 0.6, small: int = 4
         near_ = shared >= least * (size[:, None] + size[None, :] - shared) - 1e-9
         np.fill_diagonal(near_, False)
         side = f["_own"].to_numpy() != f["_i"].to_numpy()
-        if f["_i"].iloc[0] != f["_j"].iloc[0]:
-            near_ &= side[:, None] != side[None, :]
-        ids, counted = f["rep"].to_numpy(), near_ @ f["weight"].to_numpy()
-        label = stars(*np.nonzero(np.triu(near_)), len(f))
-        some, joined = np.flatnonzero(counted), np.flatnonzero(label != np.arange(len(f)))
+        ids, weight = f["rep"].to_numpy(), f["weight"].to_numpy()
+        if f["_i"].iloc[0] == f["_j"].iloc[0]:
+            counted, label = near_ @ weight, stars(*np.nonzero(np.triu(near_)), len(f))
+            joined = np.flatnonzero(label != np.arange(len(f)))
+            left, right = ids[joined], ids[label[joined]]
+        else:
+            # links inside a block are counted with that block; of those between two, one joins a pair of components
+            cross = near_ & (side[:, None] != side[None, :])
+            counted, label = cross @ weight, stars(*np.nonzero(np.triu(near_ & ~cross)), len(f))
+            i, j = np.nonzero(np.triu(cross))
+            pair = np.unique(np.stack([label[i], label[j]]), axis=1)
+            left, right = ids[pair[0]], ids[pair[1]]
+        some = np.flatnonzero(counted)
         return pd.DataFrame(
             {
-                "u": np.concatenate([ids[some], ids[joined]]),
-                "v": np.concatenate([np.full(len(some), -1, dtype=np.int64), ids[label[joined]]]),
-                "n": np.concatenate([counted[some], np.zeros(len(joined), dtype=np.int64)]),
+                "u": np.concatenate([ids[some], left]),
+                "v": np.concatenate([np.full(len(some), -1, dtype=np.int64), right]),
+                "n": np.concatenate([counted[some], np.zeros(len(left), dtype=np.int64)]),
             }
         )
 
