@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when they are imported.
-MODULES = ["text_queries", "segment_queries"]
+MODULES = ["text_queries", "segment_queries", "graph_queries"]
 
 _QUERIES: dict[str, "Query"] = {}
 

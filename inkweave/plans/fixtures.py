@@ -121,3 +121,41 @@ DUCK_CHUNKS = rf"""(SELECT page_number * 1000 + ci AS chunk_id, book_id, page_nu
  list_filter(flatten(list(tags ORDER BY sentence)), lambda x, i: list_position(flatten(list(tags ORDER BY sentence)), x) = i) AS tags,
  {duck_pick(['narrative', 'definition', 'theorem', 'proof', 'example'], 'page_number + ci')} AS structural_type, string_agg(span_text, ' ' ORDER BY sentence) AS text,
  len(string_split_regex(string_agg(span_text, ' ' ORDER BY sentence), '\s+')) AS words FROM (SELECT *, ((sentence - 1) // 8)::int AS ci FROM {DUCK_SPANS}) GROUP BY book_id, page_number, ci)"""
+
+
+# ── edges between chunks ──
+
+RELATIONS = ["proves", "extends", "assumes", "uses_definition", "contradicts", "prerequisite", "equivalent", "missing_proof", "annotates"]
+METHODS = ["lexical", "llm", "note-citation"]
+
+
+def letter(number: Column) -> Column:
+    return F.char((number % 26 + 97).cast("long"))
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """One edge from each chunk to the first chunk of an earlier page (or its own), with letters and kinds by arithmetic."""
+    n = F.col("page_number") + F.col("chunk_index")
+    out = chunks(spark, sf).select(
+        F.col("chunk_id").alias("edge_id"),
+        F.col("chunk_id").alias("from_chunk"),
+        F.when(n % 7 != 6, F.col("page_number") * 10_000 + F.col("chunk_index") * 8 + 1).alias("from_span"),
+        F.col("book_id").alias("from_book"),
+        F.col("page_number").alias("from_page"),
+        F.least(F.col("page_number"), F.floor((F.col("page_number") * 3 + F.col("chunk_index")) / 4)).alias("to_page"),
+        pick(RELATIONS, n).alias("relation"),
+        letter(n * 5).alias("confidence"),
+        letter(n * 11 + 3).alias("relevance"),
+        pick(METHODS, n).alias("method"),
+    )
+    books = documents(spark, sf).select(F.col("doc_id").alias("to_page"), F.col("source").alias("to_book"))
+    return out.join(books, "to_page").withColumn("to_chunk", F.col("to_page") * 1000)
+
+
+_E = "(page_number + chunk_index)"
+DUCK_EDGES = f"""(SELECT e.*, d.source AS to_book, to_page * 1000 AS to_chunk FROM (SELECT chunk_id AS edge_id, chunk_id AS from_chunk, CASE WHEN {_E} % 7 <> 6 THEN page_number * 10000 + chunk_index * 8 + 1 END AS from_span, book_id AS from_book,
+ page_number AS from_page, least(page_number, (page_number * 3 + chunk_index) // 4) AS to_page, {duck_pick(RELATIONS, _E)} AS relation, chr(({_E} * 5 % 26 + 97)::int) AS confidence, chr((({_E} * 11 + 3) % 26 + 97)::int) AS relevance, {duck_pick(METHODS, _E)} AS method FROM {DUCK_CHUNKS}) e JOIN documents d ON d.doc_id = e.to_page)"""
+
+
+def duck_weight(c: str) -> str:
+    return f"coalesce(CASE WHEN regexp_matches({c}, '^[A-Za-z]') THEN 123 - ascii(lower({c})) END, 26)"

@@ -8,3 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the library: a Parquet file or folder; filters and columns reach the scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stage(df: DataFrame, what: str) -> DataFrame:
+    """df written to the folder that driver and executors share (spark.checkpoint.dir) and read again: for loops."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkweave-")
+    path = f"{folder.rstrip('/')}/inkweave-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
