@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from inkweave.llm.op1_sentencepiece import slices
 from inkweave.llm.training import class_weights, held_out, logistic, sample, sigmoid
 
-BLOCK = 8192
+BLOCK = 512
 
 
 @dataclass
@@ -72,7 +72,7 @@ def fit(rows: pd.DataFrame, counts: dict, size: int = 100_000, level: int = 3) -
         return QualityModel(b"", b"", np.array([counts.get(1, 0) / total if total else 0.5]), level)
 
     def dictionary(mark: int) -> bytes:
-        parts = [d[at : at + 512] for t, m, r in zip(texts, y, rank, strict=True) if m == mark and r % 2 == 0 for d in [t.encode()] for at in range(0, len(d), 512)]
+        parts = [d[at : at + BLOCK] for t, m, r in zip(texts, y, rank, strict=True) if m == mark and r % 2 == 0 for d in [t.encode()] for at in range(0, len(d), BLOCK)]
         try:
             trained = zstandard.train_dictionary(min(size, sum(map(len, parts)) // 4), parts).as_bytes()
         except zstandard.ZstdError:
