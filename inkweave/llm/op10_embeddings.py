@@ -60,10 +60,12 @@ def decode(vectors: np.ndarray, codewords: int, depth: int) -> np.ndarray:
     return np.sort(number, axis=1)
 
 
-def _links(y: np.ndarray, filters: np.ndarray, weight: np.ndarray, side: np.ndarray, first: int, codewords: int, least: float):
-    """(weights linked to each row at pairs whose smallest shared filter is here, star label of each row)."""
-    linked, left, right = np.zeros(len(y), dtype=np.int64), [], []
-    cross = side.any() and not side.all()
+def _links(y: np.ndarray, filters: np.ndarray, weight: np.ndarray, side: np.ndarray, cross: bool, first: int, codewords: int, least: float):
+    """(weights linked to each row at pairs whose smallest shared filter is here, edges that join what is linked).
+
+    Between two blocks only links across them count, and one edge joins each pair of components inside the blocks.
+    """
+    linked, inner, across = np.zeros(len(y), dtype=np.int64), [], []
     here = filters // codewords == first
     rows, columns = np.nonzero(here)
     order = np.argsort(filters[rows, columns], kind="stable")
@@ -75,15 +77,17 @@ def _links(y: np.ndarray, filters: np.ndarray, weight: np.ndarray, side: np.ndar
             continue
         near = y[at] @ y[at].T >= least
         np.fill_diagonal(near, False)
-        if cross:
-            near &= side[at][:, None] != side[at][None, :]
-        if not near.any():
-            continue
         touched = np.flatnonzero(near.any(axis=1))
+        if not len(touched):
+            continue
         at, near = at[touched], near[np.ix_(touched, touched)]
-        i, j = np.nonzero(np.triu(near))
-        left.append(at[i])
-        right.append(at[j])
+        other = side[at][:, None] != side[at][None, :]
+        i, j = np.nonzero(np.triu(near & ~other))
+        inner.append(np.stack([at[i], at[j]]))
+        if cross:
+            near &= other
+            i, j = np.nonzero(np.triu(near))
+            across.append(np.stack([at[i], at[j]]))
         # pairs that also share a smaller filter are counted there
         own = filters[at]
         earlier, place = np.unique(own[own < number[begin]], return_inverse=True)
@@ -92,9 +96,13 @@ def _links(y: np.ndarray, filters: np.ndarray, weight: np.ndarray, side: np.ndar
             has[np.nonzero(own < number[begin])[0], place] = 1
             near &= (has @ has.T) == 0
         linked[at] += near @ weight[at]
-    if not left:
-        return linked, np.arange(len(y))
-    return linked, stars(np.concatenate(left), np.concatenate(right), len(y))
+    if not inner:
+        return linked, np.zeros((2, 0), dtype=np.int64)
+    label = stars(*np.concatenate(inner, axis=1), len(y))
+    if cross:  # without a link across there is nothing to join
+        return linked, np.unique(label[np.concatenate(across, axis=1)], axis=1)
+    joined = np.flatnonzero(label != np.arange(len(y)))
+    return linked, np.stack([joined, label[joined]])
 
 
 def link(vectors: DataFrame, least: float = 0.95, codewords: int = 128, depth: int = 32, block: int = 4096) -> DataFrame:
@@ -125,13 +133,13 @@ def link(vectors: DataFrame, least: float = 0.95, codewords: int = 128, depth: i
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         y, filters = np.vstack(f["unit"].to_numpy()), np.vstack(f["filters"].to_numpy())
-        linked, label = _links(y, filters, f["weight"].to_numpy(), (f["_own"] != f["_i"]).to_numpy(), int(f["first"].iloc[0]), codewords, least)
-        ids, counted, joined = f["rep"].to_numpy(), np.flatnonzero(linked), np.flatnonzero(label != np.arange(len(f)))
+        linked, joined = _links(y, filters, f["weight"].to_numpy(), (f["_own"] != f["_i"]).to_numpy(), bool(f["_i"].iloc[0] != f["_j"].iloc[0]), int(f["first"].iloc[0]), codewords, least)
+        ids, counted = f["rep"].to_numpy(), np.flatnonzero(linked)
         return pd.DataFrame(
             {
-                "u": np.concatenate([ids[counted], ids[joined]]),
-                "v": np.concatenate([np.full(len(counted), -1), ids[label[joined]]]).astype(np.int64),
-                "n": np.concatenate([linked[counted], np.zeros(len(joined), dtype=np.int64)]),
+                "u": np.concatenate([ids[counted], ids[joined[0]]]),
+                "v": np.concatenate([np.full(len(counted), -1), ids[joined[1]]]).astype(np.int64),
+                "n": np.concatenate([linked[counted], np.zeros(joined.shape[1], dtype=np.int64)]),
             }
         )
 
