@@ -17,11 +17,12 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
 
 def run_once(spark: SparkSession, path: str, width: str = "1 hour") -> DataFrame:
     """Read the files of a folder (or one file) as a stream, bring the counts to a table in the shared folder, return it."""
-    schema = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).schema
-    raw = spark.read.parquet(path).schema
-    folder, _, name = path.rstrip("/").rpartition("/")
-    source = spark.readStream.schema(raw).option("pathGlobFilter", name if name.endswith(".parquet") else "*.parquet")
-    events = source.parquet(path if spark.read.format("binaryFile").load(path).limit(2).count() > 1 else folder).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    schema = spark.read.parquet(path).schema
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.readStream.schema(schema)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        source, path = source.option("pathGlobFilter", place.getName()), place.getParent().toString()
+    events = source.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkweave-")).rstrip("/")
     out = f"{shared}/inkweave-stream-{uuid.uuid4().hex}"
 
