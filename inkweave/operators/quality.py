@@ -25,14 +25,13 @@ def random_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame
 def stratified_sample(rows: DataFrame, stratum: str, key: str, total: int, seed: int = 0) -> DataFrame:
     """A proportional sample with at least one row of each stratum, cut or filled to the total in the fixed order.
 
-    Sizes of strata are few and are joined; ranks inside strata come from a window that keeps no more than total rows.
+    Ranks inside strata come from a window that keeps no more than total rows of each; sizes are summed up by stratum.
     """
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("_size"))
-    all_ = sizes.agg(F.sum("_size").alias("_all"))
+    sizes = sizes.withColumn("_all", F.sum("_size").over(Window.partitionBy()))  # one row a stratum
     want = F.greatest(F.lit(1), F.floor(F.col("_size") * total / F.col("_all") + 0.5))
     w = Window.partitionBy(stratum).orderBy(hashed_order(F.col(key), seed), key)
-    ranked = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= total)
-    ranked = ranked.join(F.broadcast(sizes.crossJoin(all_)), stratum)  # one row a stratum and one total
+    ranked = rows.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= total).join(sizes, stratum)
     chosen = ranked.withColumn("_picked", F.when(F.col("_rank") <= want, 0).otherwise(1))
     return chosen.orderBy("_picked", hashed_order(F.col(key), seed), key).limit(total).drop("_rank", "_size", "_all", "_picked")
 

@@ -14,13 +14,15 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(y, size, out=np.zeros_like(y), where=size > 0)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, within: str | None = None, least: float | None = None, row_blocks: int = 8, query_blocks: int = 1) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int, within: str | None = None, least: float | None = None, row_block: int = 20_000, query_block: int = 4_096) -> DataFrame:
     """(query_id, id, cosine, rank): the k rows (id, vector) with the largest cosine to each query (query_id, vector).
 
     Rows and queries are dealt to blocks by a hash; each pair of blocks is one matrix product, which hands on k rows a
     query; a window ranks what the blocks found. A query never meets its own id. ``within`` names a column that both sides
-    must share; ``least`` drops smaller cosines. Ties go to the smaller id.
+    must share; ``least`` drops smaller cosines. Ties go to the smaller id. Blocks hold about row_block rows and
+    query_block queries, so memory doesn't follow the tables.
     """
+    row_blocks, query_blocks = max(4, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
     keys = [within] if within else []
     dealt_rows = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     dealt_queries = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
