@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -92,41 +93,142 @@ class PieceModel:
             for b, i in enumerate(self.byte):
                 self.bytes_of[i] = bytes([b])
         self.bytes_of[self.unknown] = " ⁇ ".encode()
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[str, dict[str, bool]] = {}
+        self._n_fits = 0
         self._known: dict[str, tuple[int, ...]] = {}
         # BPE: a piece that its own text doesn't merge to never comes out of a search
-        self.usable = {p for p in self.ids if self.kind == 1 or len(p) == 1 or self._fit("", p)}
-        self.endings = {p[i:] for p in self.usable for i in range(len(p))}
+        #: of each usable piece of a BPE model, the two pieces that its last merge joins
+        self.joins: dict[str, tuple[str, str]] = {}
+        usable = set(self.ids)
+        if self.kind == 2:
+            for piece in self.ids:
+                parts, joined = self._merged(piece)
+                if len(parts) > 1:
+                    usable.discard(piece)
+                elif joined:
+                    self.joins[piece] = joined
+        #: endings of pieces: True for those that are usable pieces themselves
+        self.kinds = {p[i:]: p[i:] in usable for p in usable for i in range(len(p))}
 
     def marked(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
+    def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """(pieces that the rank-ordered merges make of a text, the two that the last merge joined)."""
+        parts, score, joined = list(text), self.score, None
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if at < 0:
+                break
+            joined = parts[at], parts[at + 1]
+            parts[at : at + 2] = [joined[0] + joined[1]]
+        return parts, joined
+
     def _fit(self, left: str, right: str) -> bool:
-        """Whether merging left + right alone gives these two pieces again; an empty left asks for right alone."""
-        key = (left, right)
-        known = self._fits.get(key)
+        """Whether merging left + right alone gives these two pieces again.
+
+        The merges of both are undone from the last one back. Whenever a merge over the border was possible at that time,
+        and would have come before the one just undone, the two don't fit.
+        """
+        known = self._fits.get(left, {}).get(right)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if self._n_fits > 2_000_000:
                 self._fits.clear()
-            parts, score = list(left + right), self.score
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    s = score.get(parts[i] + parts[i + 1])
-                    if s is not None and (best is None or s > best):
-                        best, at = s, i
-                if at < 0:
-                    break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            known = self._fits[key] = parts == ([left, right] if left else [right])
+                self._n_fits = 0
+            self._n_fits += 1
+            known = self._fits.setdefault(left, {})[right] = self._fits_by_undoing(left, right)
         return known
 
+    def _fits_by_undoing(self, left: str, right: str) -> bool:
+        score, joins = self.score, self.joins
+        a, b = left, right
+        # merges run from high to low scores, on a tie from left to right
+        bound, tie = float("-inf"), False
+        while True:
+            over = score.get(a + b)
+            if over is not None and (over > bound or (tie and over == bound)):
+                return False
+            last_a, last_b = (score[a] if len(a) > 1 else None), (score[b] if len(b) > 1 else None)
+            if last_a is None and last_b is None:
+                return True
+            if last_b is None or (last_a is not None and last_a < last_b):
+                bound, tie, a = last_a, False, joins[a][1]
+            else:
+                bound, tie, b = last_b, True, joins[b][0]
+
     def search(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each of the sorted distinct words."""
-        out, ids, score, bpe, fits, endings, usable = {}, self.ids, self.score, self.kind == 2, self._fits, self.endings, self.usable
-        cut: list[int] = [0]  # where the last piece before each position begins
+        return (self._search_merges if self.kind == 2 else self._search_scores)(words)
+
+    def _spelt(self, word: str, cut: list[int]) -> tuple[int, ...]:
+        """The ids of the pieces between the cuts that lead back from the word's end."""
+        ids, pieces, end = self.ids, [], len(word)
+        while end:
+            begin = cut[end]
+            found = ids.get(word[begin:end])
+            if found is not None:
+                pieces.append(found)
+            elif self.fallback:
+                pieces.extend(self.byte[b] for b in reversed(word[begin:end].encode()))
+            else:
+                pieces.append(self.unknown)
+            end = begin
+        pieces.reverse()
+        return tuple(pieces)
+
+    def _search_merges(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """BPE: of the pieces that end at a position, the longest that fits the last piece before it; states are the last
+        pieces (None at the start and after a character without a piece, which fit anything)."""
+        out, kinds, fits, ids = {}, self.kinds, self._fits, self.ids
+        cut: list[int] = [0]
+        last: list[str | None] = [None]
+        before = ""
+        for word in words:
+            same, most = 0, min(len(before), len(word))
+            while same < most and before[same] == word[same]:
+                same += 1
+            del cut[same + 1 :], last[same + 1 :]
+            for end in range(same + 1, len(word) + 1):
+                # candidates, shortest first; nothing longer exists once a text is no piece's ending
+                begins = []
+                i = end - 1
+                kind = kinds.get(word[i:end])
+                while kind is not None:
+                    if kind:
+                        begins.append(i)
+                    if not i:
+                        break
+                    i -= 1
+                    kind = kinds.get(word[i:end])
+                begin = end - 1
+                while begins:
+                    i = begins.pop()
+                    left = last[i]
+                    if left is None:
+                        begin = i
+                        break
+                    piece = word[i:end]
+                    fit = fits[left].get(piece) if left in fits else None
+                    if fit or (fit is None and self._fit(left, piece)):
+                        begin = i
+                        break
+                piece = word[begin:end]
+                cut.append(begin)
+                last.append(piece if piece in ids else None)
+            out[word] = self._spelt(word, cut)
+            before = word
+        return out
+
+    def _search_scores(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """Unigram: states are the best sums of scores."""
+        out, ids, score, kinds = {}, self.ids, self.score, self.kinds
+        cut: list[int] = [0]
         best: list[float] = [0.0]
         before = ""
         for word in words:
@@ -135,64 +237,31 @@ class PieceModel:
                 same += 1
             del cut[same + 1 :], best[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                # pieces that end here, shortest first; nothing longer exists once a text is no piece's ending
-                begins = []
+                top, begin = None, end - 1
                 for i in range(end - 1, -1, -1):
                     piece = word[i:end]
-                    if piece not in endings:
+                    if piece not in kinds:
                         break
-                    if piece in usable:
-                        begins.append(i)
-                top, begin = None, end - 1
-                if bpe:
-                    for i in reversed(begins):
-                        left = word[cut[i] : i]
-                        if not left or left not in ids:
-                            begin = i
-                            break
-                        key = (left, word[i:end])
-                        fit = fits.get(key)
-                        if fit or (fit is None and self._fit(*key)):
-                            begin = i
-                            break
-                    top = 0.0
-                else:
-                    for i in begins:
-                        s = best[i] + score[word[i:end]]
-                        if top is None or s > top:
-                            top, begin = s, i
-                    if word[end - 1] not in ids and (top is None or best[end - 1] + self.worst > top):
-                        top, begin = best[end - 1] + self.worst, end - 1
+                    if piece in ids and (top is None or best[i] + score[piece] > top):
+                        top, begin = best[i] + score[piece], i
+                if word[end - 1] not in ids and (top is None or best[end - 1] + self.worst > top):
+                    top, begin = best[end - 1] + self.worst, end - 1
                 cut.append(begin)
                 best.append(top)
-            pieces, end = [], len(word)
-            while end:
-                piece = word[cut[end] : end]
-                if piece in ids:
-                    pieces.append(ids[piece])
-                elif self.fallback:
-                    pieces.extend(self.byte[b] for b in reversed(piece.encode()))
-                else:
-                    pieces.append(self.unknown)
-                end = cut[end]
-            out[word] = tuple(reversed(pieces))
+            out[word] = self._spelt(word, cut)
             before = word
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [WORDS.findall(self.marked(t)) for t in texts]
-        new = {w for words in cut for w in words}.difference(self._known)
+        words = set().union(*cut)
+        new = words.difference(self._known)
         if len(self._known) + len(new) > KNOWN_WORDS:
             self._known.clear()
-            new = {w for words in cut for w in words}
+            new = words
         self._known.update(self.search(sorted(new)))
-        known, out = self._known, []
-        for words in cut:
-            row: list[int] = []
-            for w in words:
-                row += known[w]
-            out.append(row)
-        return out
+        known = self._known.__getitem__
+        return [list(chain.from_iterable(map(known, words))) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of

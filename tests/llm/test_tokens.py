@@ -38,7 +38,7 @@ def test_op1_unigram_search_is_the_best_segmentation():
     pieces = {"a": -3.0, "b": -3.0, "ab": -4.0, "abc": -9.0, "c": -3.5, "bc": -4.5, "▁": -1.0}
     m.ids = {p: i + 1 for i, p in enumerate(pieces)}
     m.score, m.worst, m._fits, m._known = pieces, -19.0, {}, {}
-    m.usable, m.endings = set(pieces), {p[i:] for p in pieces for i in range(len(p))}
+    m.kinds = {p[i:]: p[i:] in pieces for p in pieces for i in range(len(p))}
 
     def best(w):
         if not w:
