@@ -79,26 +79,35 @@ def best_targets(citing: DataFrame, chunks: DataFrame, least: float = 1.0) -> Da
     """The best chunk of the cited book for each citing span: (span_id, target_book, chunk_id, overlap, score).
 
     citing (span_id, target_book, tags); chunks (book_id, chunk_id, chunk_index, page_number, structural_type, tags, text).
-    Spans meet chunks by shared concepts, then by shared beginnings of words (four letters, those of tags against those of
-    texts), both equi-joins within the book, so no span is compared with all chunks of a book. Ties go to the smaller id.
+    Spans with the same tags ask the same of a book, so each set of tags is answered once for each book. Asking sets meet
+    chunks by shared concepts and by shared beginnings of words (four letters, those of tags against those of texts), both
+    equi-joins within the book. Ties go to the smaller id.
     """
-    usable = chunks.filter(~I.is_bibliography_text(F.col("text"))).select("book_id", "chunk_id", "chunk_index", "page_number", "structural_type", "tags", "text").withColumn("concepts", C.concepts_of_all(F.col("tags")))
-    spans = citing.filter(F.size("tags") > 0).select("span_id", F.col("target_book").alias("book_id"), F.col("tags").alias("own"), C.concepts_of_all(F.col("tags")).alias("own_concepts"))
     start = lambda words: F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4)))
+    usable = chunks.filter(~I.is_bibliography_text(F.col("text"))).select("book_id", "chunk_id", "chunk_index", "page_number", "structural_type", "tags", F.lower("text").alias("low"))
+    usable = usable.withColumn("concepts", C.concepts_of_all(F.col("tags"))).withColumn("starts", start(F.split("low", "[^a-z0-9]+")))
+    citing = citing.filter(F.size("tags") > 0).select("span_id", F.col("target_book").alias("book_id"), F.array_sort("tags").alias("own"))
+    asks = citing.select("book_id", "own").distinct().withColumn("own_concepts", C.concepts_of_all(F.col("own")))
     tag_starts = start(F.flatten(F.transform("own", lambda t: F.split(F.lower(t), "_"))))
-    text_starts = start(F.split(F.lower("text"), "[^a-z0-9]+"))
     key = lambda mark, a: F.transform(a, lambda x: F.concat(F.lit(mark), x))
-    left = spans.select("span_id", "book_id", F.explode(F.concat(key("c:", F.col("own_concepts")), key("w:", tag_starts))).alias("k"))
-    right = usable.select("chunk_id", "book_id", F.explode(F.concat(key("c:", F.col("concepts")), key("w:", text_starts))).alias("k"))
-    pairs = left.join(right, ["book_id", "k"]).select("span_id", "chunk_id").distinct()
-    full = pairs.join(spans, "span_id").join(usable.drop("book_id"), "chunk_id")
+    left = asks.select("own", "book_id", F.explode(F.concat(key("c:", F.col("own_concepts")), key("w:", tag_starts))).alias("k"))
+    right = usable.select("chunk_id", "book_id", F.explode(F.concat(key("c:", F.col("concepts")), key("w:", F.col("starts")))).alias("k"))
+    pairs = left.join(right, ["book_id", "k"]).select("book_id", "own", "chunk_id").distinct()
+    full = pairs.join(asks, ["book_id", "own"]).join(usable.drop("book_id"), "chunk_id")
+
+    def hit(tag):
+        phrase = F.lower(F.replace(tag, F.lit("_"), F.lit(" ")))
+        parts = F.filter(F.split(phrase, r"\s+"), lambda t: F.length(t) >= 4)
+        return F.contains("low", phrase) | ((F.size(parts) > 0) & F.forall(parts, lambda t: F.array_contains("starts", F.substring(t, 1, 4))))
+
     overlap = F.size(F.array_intersect("own_concepts", "concepts"))
-    full = full.withColumn("overlap", overlap).withColumn("hits", tag_text_score(F.col("own"), F.col("text"))).filter("overlap > 0 or hits > 0")
+    full = full.withColumn("overlap", overlap).withColumn("hits", F.size(F.filter("own", hit))).filter("overlap > 0 or hits > 0")
     direct = F.size(F.array_intersect(F.transform("own", F.lower), F.transform("tags", F.lower)))
     score = target_score(F.col("overlap"), direct, F.col("hits"), F.col("page_number"), F.col("structural_type"), F.col("chunk_index"))
-    scored = full.select("span_id", F.col("book_id").alias("target_book"), "chunk_id", "overlap", F.round(score, 6).alias("score"))
-    best = scored.groupBy("span_id", "target_book").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("minus"), "overlap")).alias("b"))
-    return best.select("span_id", "target_book", (-F.col("b.minus")).alias("chunk_id"), "b.overlap", "b.score").filter(F.col("score") >= least)
+    scored = full.select("book_id", "own", "chunk_id", "overlap", F.round(score, 6).alias("score"))
+    best = scored.groupBy("book_id", "own").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("minus"), "overlap")).alias("b"))
+    best = best.select("book_id", "own", (-F.col("b.minus")).alias("chunk_id"), "b.overlap", "b.score").filter(F.col("score") >= least)
+    return citing.join(best, ["book_id", "own"]).select("span_id", F.col("book_id").alias("target_book"), "chunk_id", "overlap", "score")
 
 
 def lexical_edges(targets: DataFrame, spans: DataFrame) -> DataFrame:
