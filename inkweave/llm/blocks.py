@@ -33,3 +33,13 @@ def stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         if (new == label).all():
             return label
         label = new
+
+
+def joins_across(near: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Of links (upper triangle) in a pair of blocks, one for each pair of components inside the blocks: [2, n] nodes.
+
+    Links inside a block are known from that block's own piece of work.
+    """
+    other = side[:, None] != side[None, :]
+    label = stars(*np.nonzero(near & ~other), len(near))
+    return np.unique(label[np.stack(np.nonzero(near & other))], axis=1)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.blocks import block_pairs, stars
+from inkweave.llm.blocks import block_pairs, joins_across, stars
 from inkweave.llm.common import components, discard, written
 from inkweave.llm.grouped import sorted_groups
 from inkweave.llm.op1_sentencepiece import slices
@@ -127,12 +127,16 @@ def candidates(classes: DataFrame, loose: float, small: int, block: int) -> Data
             if (grid[0] == grid[1]).sum() < least:
                 return None
             return pd.DataFrame({"u": ids[1:], "v": ids[:1]})
-        i, j = np.nonzero(np.triu(_alike(grid, grid) >= least, 1))
-        if not len(i):
+        near = np.triu(_alike(grid, grid) >= least, 1)
+        if not near.any():
             return None
-        label = stars(i, j, len(f))
-        at = np.flatnonzero(label != np.arange(len(f)))
-        return pd.DataFrame({"u": ids[at], "v": ids[label[at]]})
+        if f["_i"].iloc[0] == f["_j"].iloc[0]:
+            label = stars(*np.nonzero(near), len(f))
+            at = np.flatnonzero(label != np.arange(len(f)))
+            return pd.DataFrame({"u": ids[at], "v": ids[label[at]]})
+        side = f["_own"].to_numpy() != f["_i"].to_numpy()
+        left, right = joins_across(near, side)
+        return pd.DataFrame({"u": ids[left], "v": ids[right]})
 
     def children(frames):
         for f in frames:
@@ -150,7 +154,7 @@ def candidates(classes: DataFrame, loose: float, small: int, block: int) -> Data
         used.append(sizes)
         ready = sizes if level == DEPTH else sizes.filter(F.col("n") <= small)
         members = block_pairs(rows, "path", ready, "rep", block).join(marks, "rep")
-        found = sorted_groups(members.select("path", "_i", "_j", "rep", "marks"), ["path", "_i", "_j"], compare, "u long, v long")
+        found = sorted_groups(members.select("path", "_i", "_j", "_own", "rep", "marks"), ["path", "_i", "_j"], compare, "u long, v long")
         found = written(found.distinct(), "op9-candidates")
         edges = found if edges is None else edges.unionByName(found)
         large = sizes.filter(F.col("n") > small)
@@ -180,7 +184,7 @@ def intersections(sets: list[np.ndarray], wide: int = 32_768) -> np.ndarray:
     return out
 
 
-def link(docs: DataFrame, least: float = 0.8, loose: float = 0.6, small: int = 4096, block: int = 4096, exact_block: int = 128) -> DataFrame:
+def link(docs: DataFrame, least: float = 0.8, loose: float = 0.6, small: int = 4096, block: int = 1024, exact_block: int = 128) -> DataFrame:
     """(doc_id, class_id, n_links long, kept boolean) of every row of docs (doc_id, text).
 
     n_links counts the other rows whose sets have a Jaccard similarity of at least ``least``; class_id is the smallest
@@ -223,12 +227,9 @@ def link(docs: DataFrame, least: float = 0.8, loose: float = 0.6, small: int = 4
             joined = np.flatnonzero(label != np.arange(len(f)))
             left, right = ids[joined], ids[label[joined]]
         else:
-            # links inside a block are counted with that block; of those between two, one joins a pair of components
             cross = near_ & (side[:, None] != side[None, :])
-            counted, label = cross @ weight, stars(*np.nonzero(np.triu(near_ & ~cross)), len(f))
-            i, j = np.nonzero(np.triu(cross))
-            pair = np.unique(np.stack([label[i], label[j]]), axis=1)
-            left, right = ids[pair[0]], ids[pair[1]]
+            counted = cross @ weight
+            left, right = (ids[x] for x in joins_across(np.triu(near_), side))
         some = np.flatnonzero(counted)
         return pd.DataFrame(
             {
