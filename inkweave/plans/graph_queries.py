@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkweave.functions import scales, text
 from inkweave.operators import graph
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, RELATIONS, chunks, documents, duck_pick, duck_weight, edges, pick, q, read, spans
+from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, RELATIONS, chunks, documents, duck_pick, duck_weight, edges, pick, q, spans
 
 _BOTH = f"(SELECT edge_id, from_chunk AS chunk_id, to_chunk AS other_id, 'out' AS direction, relation, confidence, relevance FROM {DUCK_EDGES} UNION ALL SELECT edge_id, to_chunk, from_chunk, 'in', relation, confidence, relevance FROM {DUCK_EDGES})"
 _W, _V = duck_weight("confidence"), duck_weight("relevance")

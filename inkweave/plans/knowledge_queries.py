@@ -8,7 +8,7 @@ from inkweave.functions import concepts as C
 from inkweave.operators import dictionary as D
 from inkweave.operators import vectors as V
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_SPANS, chunks, documents, duck_pick, pick, q, read, spans, tag_of
+from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_SPANS, chunks, documents, pick, q, read, spans, tag_of
 from inkweave.plans.text_queries import duck_concepts
 
 _CID = "page_number * 1000 + (sentence - 1) // 8"

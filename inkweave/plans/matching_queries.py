@@ -8,7 +8,7 @@ from inkweave.functions import identifiers, scales
 from inkweave.operators import matching as M
 from inkweave.operators import vectors as V
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import CLASSES, DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, chunks, documents, duck_pick, edges, pick, q, spans
+from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, chunks, documents, duck_pick, edges, pick, q, spans
 from inkweave.plans.knowledge_queries import _PAIRS, _asked, _ranked, _rows
 from inkweave.plans.text_queries import duck_concepts
 

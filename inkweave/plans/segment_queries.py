@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkweave.functions import text
 from inkweave.operators import segments
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import CLASSES, DUCK, DUCK_CHUNKS, DUCK_SPANS, ROLES, chunks, documents, duck_pick, pages, pick, q, spans, tag_of
+from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_SPANS, chunks, documents, pick, q, spans, tag_of
 
 # spans with references back, declarative tags, gaps and annotated pages
 _N = "(page_number * 3 + sentence)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from inkweave.functions import concepts, identifiers, text
@@ -113,7 +111,10 @@ def line_kinds(spark, sf):
     return _lines(spark, sf).select("doc_id", F.col("line_number").cast("long").alias("line_number"), text.line_kind(F.col("line")).alias("kind"))
 
 
-@query("preview_text", "C25 J5", f"SELECT doc_id, CASE WHEN length(t) <= 140 THEN t ELSE left(t, 139) || '…' END AS preview FROM (SELECT doc_id, {duck_strip(chr(92).join(['regexp_replace(text, ' + chr(39), 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')']))} AS t FROM documents)")
+_ONE_LINE = duck_strip(r"regexp_replace(text, '\s+', ' ', 'g')")
+
+
+@query("preview_text", "C25 J5", f"SELECT doc_id, CASE WHEN length(t) <= 140 THEN t ELSE left(t, 139) || '…' END AS preview FROM (SELECT doc_id, {_ONE_LINE} AS t FROM documents)")
 def preview_text(spark, sf):
     return _docs(spark, sf).select("doc_id", text.preview(F.col("text")).alias("preview"))
 
