@@ -1,6 +1,5 @@
 """op5, op9, op10 and the pipeline against brute force."""
 
-import hashlib
 import random
 
 import numpy as np
