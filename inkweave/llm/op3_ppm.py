@@ -1,16 +1,17 @@
 """Language-model scoring by prediction by partial matching (PPM) over a byte-context trie.
 
 Text is lower-cased (A-Z) and read as its tokens: words without white space, joined by one space, and an end sign. The
-trie holds, for contexts of 0 to ORDER bytes, how often each byte followed in all training documents. A byte is coded in
-the longest known context; a byte that was not seen there costs an escape (method D: half an occurrence of each symbol seen,
-and the occurrences that fell under the pruning limit), then goes on in the next shorter context, where all symbols that the
+trie holds, for contexts of 0 to ORDER bytes, how often each byte followed in all training documents; nothing is pruned,
+so it grows with the corpus. A byte is coded in the longest known context; a byte that was not seen there costs an escape
+(method D: half an occurrence of each symbol seen), then goes on in the next shorter context, where all symbols that the
 longer one knows are excluded, down to an even choice among the bytes never seen. The sum is the code length.
 
-Counting covers every training document: tasks count the longest contexts, sums by context follow, and shorter contexts
-are sums of longer ones. Trie nodes seen in fewer than one of NODES positions are pruned, which bounds every order of the
-trie to NODES nodes whatever the size of the corpus; the trie can so be broadcast. The unigram baseline needs exact counts
-of all tokens: those that make up at least one of HOT tokens (at most HOT of them) are broadcast, the rest are joined by
-a 64-bit hash.
+One pass deals the documents to slices of about HELD bytes and writes them with each slice's different grams (ORDER bytes
+and the next one) and their training counts, packed by part: a hash of the last two bytes of the context. All that a gram's
+value takes lies in its part, but for the counts of one and two bytes, which are broadcast (65,536 at most). A task so
+builds the trie of one part, then answers each slice's grams of that part; the values meet the documents again by slice.
+Memory follows the different grams of a part and of a slice. The unigram baseline needs exact counts of all tokens: those
+that make up at least one of HOT tokens (at most HOT of them) are broadcast, the rest are joined by a 64-bit hash.
 
 Null and empty texts have the end sign alone. A null id belongs to the fold of the empty text. Repeated rows are scored
 each and counted each. If there is nothing to learn from, all bytes are equally likely. Very long texts are one row of a
@@ -24,17 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import fold, written
+from inkweave.llm.common import discard, fold, written
 from inkweave.llm.op1_sentencepiece import slices
 
-ORDER = 5
-NODES = 1 << 20
+ORDER = 6
+PARTS = 256
 HOT = 1_000_000
-SLICE = 2_000_000
-SCORED = 2_000_000, 60_000  # characters and rows scored at once: a gram and a row's number share 64 bits
+SLICE = 1_000_000
+HELD = 32_000_000
+SCORED = 500_000, 256  # characters and rows scored at once: a gram and a row's number share 64 bits
 END = b"\n"
 
 
@@ -100,37 +103,116 @@ class Tally:
         if self.size > 2 * self.most:
             keys, counts = self._merged()
             if len(keys) > self.most:
-                yield self._frame(keys, counts)
+                yield from self._frames(keys, counts)
             else:
                 self.parts, self.size = [(keys, counts)], len(keys)
 
     def rest(self) -> Iterator[pd.DataFrame]:
         if self.parts:
-            yield self._frame(*self._merged())
+            yield from self._frames(*self._merged())
 
     def _merged(self):
         parts, self.parts, self.size = self.parts, [], 0
         return tallied(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
-    def _frame(self, keys, counts):
-        return pd.DataFrame({"kind": np.full(len(keys), self.kind, dtype=np.int32), "key": keys.view(np.int64), "n": counts.astype(np.int64)})
+    def _frames(self, keys, counts, most: int = 50_000):
+        for at in range(0, len(keys), most):
+            key, n = keys[at : at + most], counts[at : at + most]
+            yield _rows(self.kind, len(key), key=key.view(np.int64), n=n.astype(np.int64))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over all docs: kind 0 for grams of ORDER + 1 bytes, kind 1 for hashed tokens."""
+class Merged:
+    """Sums by key, held as one sorted array and a few additions."""
+
+    def __init__(self):
+        self.parts, self.size, self.base = [], 0, 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((keys, n))
+        self.size += len(keys)
+        if self.size > self.base + max(500_000, self.base // 2):
+            merged = self.take()
+            self.parts, self.size, self.base = [merged], len(merged[0]), len(merged[0])
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        parts, self.parts, self.size, self.base = self.parts, [], 0, 0
+        return tallied(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte."""
+    import zstandard
+
+    return zstandard.compress(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+READ = "kind int, part int, slice long, grams binary, counts binary, key long, n long, row long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, texts binary"
+DOCUMENT, GRAMS, PAIR, TOKEN = range(4)
+
+
+def _rows(kind: int, size: int, **columns) -> pd.DataFrame:
+    names = [c.split()[0] for c in READ.split(", ")]
+    return pd.DataFrame({c: np.full(size, kind, dtype=np.int32) if c == "kind" else columns.get(c, np.full(size, None)) for c in names})
+
+
+def _documents(slice_: int, row: int, f: pd.DataFrame, streams: list[bytes]) -> pd.DataFrame:
+    """Documents to be scored at once, as one row."""
+    import zstandard
+
+    ids = [None if pd.isna(i) else int(i) for i in f.doc_id]
+    return _rows(DOCUMENT, 1, slice=[slice_], row=[row], doc_ids=[ids], held_out=[f.held_out.to_numpy().astype(bool)], sizes=[np.array([len(s) for s in streams], dtype=np.int32)], texts=[zstandard.compress(b"".join(streams))])
+
+
+def _slice_rows(slice_: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The packed grams of a slice by part, and its training counts of the last two bytes."""
+    suffix = keys >> np.uint64(8) & np.uint64(65535)
+    part = (suffix * np.uint64(40503) & np.uint64(65535)) * np.uint64(PARTS) >> np.uint64(16)
+    order = np.argsort(part, kind="stable")
+    keys, n, part = keys[order], n[order], part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    each = list(zip(np.split(keys, first[1:]), np.split(n, first[1:]), strict=True))
+    yield _rows(GRAMS, len(first), part=part[first].astype(np.int32), slice=np.full(len(first), slice_), grams=[packed(np.diff(k, prepend=np.uint64(0))) for k, _ in each], counts=[packed(c) for _, c in each])
+    pairs, times = tallied(keys[n > 0] & np.uint64(65535), n[n > 0])
+    yield _rows(PAIR, len(pairs), key=pairs.view(np.int64), n=times)
+
+
+def read(docs: DataFrame, held_bytes: int = HELD) -> DataFrame:
+    """Rows of four kinds: the documents with their slices, the slices' grams, training counts of two bytes and of hashed tokens."""
 
     def run(frames):
-        bytes_, tokens = Tally(0), Tally(1)
+        tokens, own = Tally(TOKEN), Merged()
+        slice_ = row = TaskContext.get().partitionId() << 33
+        size = 0
         for f in slices(frames, SLICE):
             words = [normal(t) for t in f.text]
-            key, _ = grams([b" ".join(w) + END for w in words])
-            yield from bytes_.add(*tallied(key))
-            codes, hashes, _ = token_keys(words)
+            streams = [b" ".join(w) + END for w in words]
+            held_out = f.held_out.to_numpy().astype(bool)
+            key, owner = grams(streams)
+            both, times = tallied(key << np.uint64(1) | held_out[owner].astype(np.uint64))
+            own.add(both >> np.uint64(1), np.where(both & np.uint64(1), 0, times))
+            at = 0
+            for few in slices(iter([f]), *SCORED):
+                yield _documents(slice_, row, few, streams[at : at + len(few)])
+                at += len(few)
+                row += len(few)
+            size += len(key)
+            codes, hashes, _ = token_keys([w for w, h in zip(words, held_out, strict=True) if not h])
             yield from tokens.add(hashes, np.bincount(codes, minlength=len(hashes)))
-        yield from bytes_.rest()
+            if size >= held_bytes:
+                yield from _slice_rows(slice_, *own.take())
+                size = 0
+                slice_ += 1
+        if size:
+            yield from _slice_rows(slice_, *own.take())
         yield from tokens.rest()
 
-    return docs.select("text").mapInPandas(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "held_out", "text").mapInPandas(run, READ)
 
 
 @dataclass
@@ -160,7 +242,7 @@ def _log(x):
 
 
 class Trie:
-    """The pruned trie; orders[k] = (sorted grams of k context bytes and a symbol, counts)."""
+    """The trie; orders[k] = (sorted grams of k context bytes and a symbol, counts)."""
 
     def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
         self.levels: list[Level] = []
@@ -218,22 +300,36 @@ class Trie:
         return out
 
 
-def train(counted: DataFrame, nodes: int = NODES) -> Trie:
-    """The trie of the byte counts in counted (kind, key, n)."""
-    longest = counted.filter("kind = 0")
-    total = longest.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // nodes))
-    every = F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit(256 ** (k + 1) - 1)).alias("gram")) for k in range(ORDER + 1)])
-    summed = longest.select(F.explode(every).alias("x"), "n").groupBy("x.order", "x.gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    rows = summed.toPandas()
-    orders = []
-    for k in range(ORDER + 1):
-        own = rows[rows["order"] == k].sort_values("gram")
-        orders.append((own["gram"].to_numpy().astype(np.uint64), own["n"].to_numpy().astype(np.int64)))
-    return Trie(orders)
-
+def answered(rows: DataFrame) -> DataFrame:
+    """(slice, grams, values): the log10 probabilities of each slice's grams, from the rows of read()."""
+    pairs = rows.filter(F.col("kind") == PAIR).groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+    two = pairs["key"].to_numpy().astype(np.uint64), pairs["n"].to_numpy().astype(np.int64)
+    low = rows.sparkSession.sparkContext.broadcast([tallied(two[0] & np.uint64(255), two[1]), two])
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
+    def run(frames):
+        part, learnt, trie = None, Merged(), None
+        for f in frames:
+            found = []
+            for at, asked, slice_, data, counts in zip(f.part, f.asked, f["slice"], f.grams, f.counts, strict=True):
+                if at != part:
+                    part, learnt, trie = at, Merged(), None
+                keys = np.cumsum(unpacked(data), dtype=np.uint64)
+                if not asked:
+                    n = unpacked(counts).astype(np.int64)
+                    learnt.add(keys[n > 0], n[n > 0])
+                    continue
+                if trie is None:
+                    every, n = learnt.take()
+                    trie = Trie(low.value + [tallied(every & np.uint64(256 ** (k + 1) - 1), n) for k in range(2, ORDER + 1)])
+                found.append((slice_, data, trie.log10(keys).astype(np.float32).tobytes()))
+            yield pd.DataFrame(found, columns=["slice", "grams", "values"])
+
+    own = rows.filter(F.col("kind") == GRAMS).select("part", "slice", "grams", "counts")
+    own = own.withColumn("asked", F.lit(False)).unionByName(own.withColumn("asked", F.lit(True)).withColumn("counts", F.lit(None).cast("binary")))
+    return own.repartition("part").sortWithinPartitions("part", "asked").mapInPandas(run, "slice long, grams binary, values binary")
+
+
+def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD) -> DataFrame:
     """Scores of all docs (doc_id, text), learnt from those whose fold of parts isn't held.
 
     (doc_id, held_out boolean, n_tokens, n_known, train_tokens long, base_score, score double): base_score is the
@@ -241,48 +337,68 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), parts) == held).alias("held_out"))
-    counted = written(counts(docs.filter(~F.col("held_out"))), "op3-counts")
-    trie = spark.sparkContext.broadcast(train(counted))
-    tokens = counted.filter("kind = 1").select("key", "n")
+    rows = written(read(docs, held_bytes), "op3-read")
+    tokens = written(rows.filter(F.col("kind") == TOKEN).groupBy("key").agg(F.sum("n").alias("n")), "op3-tokens")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = F.col("n") * HOT >= n
     common = tokens.filter(frequent).toPandas().sort_values("key")
     hot = spark.sparkContext.broadcast((common["key"].to_numpy(), common["n"].to_numpy()))
 
     def run(frames):
+        import zstandard
+
         keys, n_hot = hot.value
         log_hot = np.log10(n_hot + 1)
-        for f in slices(frames, *SCORED):
-            words = [normal(t) for t in f.text]
-            key, owner = grams([b" ".join(w) + END for w in words])
-            both, times = tallied(key << np.uint64(16) | owner.astype(np.uint64))
-            gram = both >> np.uint64(16)
+        at_slice, values = None, None
+        for r in (r for f in frames for r in f.itertuples(index=False)):
+            if r.slice != at_slice:
+                at_slice, values = r.slice, []
+            if r.grams is not None:
+                values.append((np.cumsum(unpacked(r.grams), dtype=np.uint64), np.frombuffer(r.values, dtype=np.float32)))
+                continue
+            if isinstance(values, list):
+                # each part's grams are sorted, and no gram is in two parts
+                every, logs_of = (np.concatenate(x) for x in zip(*values, strict=True))
+                order = np.argsort(every)
+                values = every[order], logs_of[order]
+            size, ends = len(r.sizes), np.cumsum(r.sizes)
+            flat = zstandard.decompress(r.texts)
+            streams = [flat[end - n : end] for end, n in zip(ends, r.sizes, strict=True)]
+            words = [s.split() for s in streams]
+            key, owner = grams(streams)
+            both, times = tallied(key << np.uint64(8) | owner.astype(np.uint64))
+            gram = both >> np.uint64(8)
             first = np.append(True, gram[1:] != gram[:-1])
-            value = trie.value.log10(gram[first])[np.cumsum(first) - 1]
-            scores = np.bincount((both & np.uint64(65535)).astype(np.int64), weights=value * times, minlength=len(f))
+            value = values[1][np.searchsorted(values[0], gram[first])][np.cumsum(first) - 1].astype(float)
+            scores = np.bincount((both & np.uint64(255)).astype(np.int64), weights=value * times, minlength=size)
             codes, hashes, doc = token_keys(words)
             at = _find(keys, hashes)
             known = (at >= 0)[codes]
             logs = np.where(at >= 0, log_hot[at] if len(keys) else 0.0, 0.0)[codes]
-            rare = np.split(hashes[codes[~known]], np.cumsum(np.bincount(doc[~known], minlength=len(f)))[:-1])
+            rare = np.split(hashes[codes[~known]], np.cumsum(np.bincount(doc[~known], minlength=size))[:-1])
             yield pd.DataFrame(
                 {
-                    "row": f.row, "doc_id": f.doc_id, "held_out": f.held_out,
-                    "n_tokens": np.bincount(doc, minlength=len(f)), "n_known": np.bincount(doc[known], minlength=len(f)),
-                    "logs": np.bincount(doc, weights=logs, minlength=len(f)), "score": scores, "rare": rare,
+                    "row": r.row + np.arange(size), "doc_id": pd.array([None if pd.isna(i) else int(i) for i in r.doc_ids], dtype="Int64"), "held_out": r.held_out,
+                    "n_tokens": np.bincount(doc, minlength=size), "n_known": np.bincount(doc[known], minlength=size),
+                    "logs": np.bincount(doc, weights=logs, minlength=size), "score": scores, "rare": rare,
                 }
             )
 
-    found = docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>"
-    )
+    texts = rows.filter(F.col("kind") == DOCUMENT).select("slice", "row", "doc_ids", "held_out", "sizes", "texts")
+    # a slice's values, whose row is -1, come before its documents
+    met = answered(rows).withColumn("row", F.lit(-1).cast("long")).unionByName(texts, allowMissingColumns=True)
+    n_slices = rows.filter(F.col("kind") == DOCUMENT).agg(F.count_distinct("slice")).first()[0]
+    # four tasks for each slice, so that few tasks hold several slices in one batch of Arrow
+    met = met.repartition(max(1, 4 * n_slices), "slice").sortWithinPartitions("slice", "row")
+    found = met.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>")
     found = written(found, "op3-found")
+    discard(rows)
     seldom = found.select("row", F.explode("rare").alias("key")).join(tokens.filter(~frequent), "key")
     seldom = seldom.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
-    rows = found.drop("rare").join(seldom, "row", "left")
+    scored = found.drop("rare").join(seldom, "row", "left")
     none = F.lit(0)
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return rows.select(
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",

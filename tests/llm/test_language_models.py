@@ -63,3 +63,17 @@ def test_op3_empty_and_nothing_to_learn(spark):
     only_held = next(i for i in range(100) if held(i))
     (r,) = op3.score(plain(spark, {only_held: "ab"})).collect()
     assert r.n_known == 0 and r.train_tokens == 0 and r.score == pytest.approx(-3 * math.log10(256))
+
+
+def test_op3_keeps_rare_grams_of_a_large_corpus(spark):
+    # over 2 million training bytes, where a trie of at most 2^20 nodes an order dropped what was seen once
+    long = [prose(k, 30_000) for k in range(4)]
+    texts = {k: long[k % 4] for k in range(24)} | {100 + k: f"rare{k}word zq{k}x {prose(k, 20)}" for k in range(40)}
+    tries = {i: [b" ".join(t.encode().split()) + b"\n"] for i, t in texts.items()}
+    keys, n = op3.tallied(op3.grams([s for i, (s,) in tries.items() if not held(i)])[0])
+    assert n.sum() > 2 << 20
+    trie = op3.Trie([op3.tallied(keys & np.uint64(256 ** (k + 1) - 1), n) for k in range(op3.ORDER + 1)])
+    want = {i: trie.log10(op3.grams(s)[0]).sum() for i, s in tries.items()}
+    for size in (op3.HELD, 50_000):
+        got = {r.doc_id: r.score for r in op3.score(plain(spark, texts), held_bytes=size).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
