@@ -48,6 +48,20 @@ def test_op8_sees_through_disguises(tables):
     assert m.clean("you s t u p i d m0r0n") == "you stupid moron"
 
 
+def test_op8_long_and_mixed_disguises(tables):
+    docs, labels = tables
+    rows, counts = op8_toxicity.sample(docs, labels.select("doc_id", F.col("toxic").alias("mark")), 1500)
+    m = op8_toxicity.fit(rows, counts)
+    for masked in ("i" * 70 + "diot", "idi" + "o" * 200 + "t", "i" + "." * 90 + "d.i.o.t", "1" * 70 + "d10t"):
+        assert m.restored(masked) == "idiot", masked[:20]
+    assert m.restored("4444444") == "4444444", "no letter, no disguise"
+    assert len(m.restored("a1" * 100_000)) > 100_000, "linear: quadratic time would not end"
+    base = "The of and that in. Anhe thtion you {} and the of thing in ti of the."
+    plain, leet, stretched, numbers = m.score([base.format("stupid moron"), base.format("s t u p 1 d and m o r 0 n"), base.format("stup" + "i" * 80 + "d m" + "o" * 80 + "ron"), base.format("1 2 3 4 5")])
+    assert min(plain, leet, stretched) > 0.5 and numbers < 0.1
+    assert m.clean("you s t u p 1 d m0r0n") == "you stupid moron"
+
+
 @pytest.mark.parametrize("which", ["op6", "op7", "op8"])
 def test_odd_rows(spark, tables, which):
     docs, labels = tables
