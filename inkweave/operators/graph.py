@@ -91,10 +91,15 @@ def with_reciprocals(edges: DataFrame) -> DataFrame:
     return edges.select("from_chunk", "to_chunk", "relation").unionByName(back)
 
 
-def closure(edges: DataFrame, relation: str, max_rounds: int = 3) -> DataFrame:
-    """Extension: pairs connected by up to 2 to the power max_rounds edges of one relation: (from_chunk, to_chunk)."""
-    pairs = edges.filter(F.col("relation") == relation).select("from_chunk", "to_chunk").distinct()
-    for _ in range(max_rounds):
+def closure(edges: DataFrame, relation: str) -> DataFrame:
+    """Extension: pairs connected by any number of edges of one relation: (from_chunk, to_chunk).
+
+    Each round doubles the length of the paths, and is a table in the shared folder, until no pair is new.
+    """
+    pairs = stage(edges.filter(F.col("relation") == relation).select("from_chunk", "to_chunk").distinct(), "closure")
+    n, before = pairs.count(), -1
+    while n != before:
         ahead = pairs.select(F.col("from_chunk").alias("to_chunk"), F.col("to_chunk").alias("end"))
-        pairs = pairs.unionByName(pairs.join(ahead, "to_chunk").select("from_chunk", F.col("end").alias("to_chunk"))).distinct()
+        pairs = stage(pairs.unionByName(pairs.join(ahead, "to_chunk").select("from_chunk", F.col("end").alias("to_chunk"))).distinct(), "closure")
+        n, before = pairs.count(), n
     return pairs
