@@ -85,7 +85,7 @@ def concept_resolve(spark, sf):
     return D.resolve(queries, names)
 
 
-@query("definition_rank", "F9 F10 F11", r"""WITH c AS (SELECT doc_id, page_id_ AS query_id, kind, tier, t, st, page FROM (SELECT doc_id, doc_id // 20 AS page_id_, CASE WHEN doc_id % 7 = 0 THEN 'notes' ELSE 'paper' END AS kind, doc_id % 3 AS tier, text || CASE WHEN doc_id % 5 = 0 THEN ' \(x\) := 1' ELSE '' END AS t,
+@query("definition_rank", "F10 F11", r"""WITH c AS (SELECT doc_id, page_id_ AS query_id, kind, tier, t, st, page FROM (SELECT doc_id, doc_id // 20 AS page_id_, CASE WHEN doc_id % 7 = 0 THEN 'notes' ELSE 'paper' END AS kind, doc_id % 3 AS tier, text || CASE WHEN doc_id % 5 = 0 THEN ' \(x\) := 1' ELSE '' END AS t,
  CASE WHEN doc_id % 4 = 0 THEN 'definition' WHEN doc_id % 4 = 1 THEN 'theorem' ELSE 'narrative' END AS st, doc_id % 50 AS page FROM documents)),
 s AS (SELECT *, floor(((CASE WHEN kind = 'notes' THEN 30 ELSE 0 END + (2 - tier) * 10 + CASE WHEN length(t) >= 300 THEN 8 WHEN length(t) >= 150 THEN 4 WHEN length(t) < 50 THEN -5 ELSE 0 END + CASE WHEN contains(t, '\(') THEN 3 ELSE 0 END + CASE WHEN contains(t, '\[') THEN 5 ELSE 0 END
  + CASE WHEN contains(t, ':=') THEN 6 ELSE 0 END + CASE st WHEN 'definition' THEN 5 WHEN 'theorem' THEN 3 ELSE 0 END)::double - page::double * 0.05::double) * 100 + 0.5) / 100 AS score FROM c WHERE length(trim(t)) >= 25)

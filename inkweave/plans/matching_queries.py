@@ -174,7 +174,7 @@ def gap_fill(spark, sf):
     return V.top_k(rows, asked.join(covered, "query_id", "left_anti"), 5).select("query_id", "id", "rank")
 
 
-@query("coverage_report", "G23 G24", f"SELECT book_id, count(*) AS chunks, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / count(*)::double, 6) AS ratio FROM (SELECT c.book_id, c.chunk_id IN (SELECT to_chunk FROM {DUCK_EDGES} WHERE list_contains(['extends', 'proves'], relation)) AS hit FROM {DUCK_CHUNKS} c) GROUP BY 1")
+@query("coverage_report", "G23", f"SELECT book_id, count(*) AS chunks, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / count(*)::double, 6) AS ratio FROM (SELECT c.book_id, c.chunk_id IN (SELECT to_chunk FROM {DUCK_EDGES} WHERE list_contains(['extends', 'proves'], relation)) AS hit FROM {DUCK_CHUNKS} c) GROUP BY 1")
 def coverage_report(spark, sf):
     hit = edges(spark, sf).filter(F.array_contains(F.array(F.lit("extends"), F.lit("proves")), F.col("relation"))).select(F.col("to_chunk").alias("chunk_id")).distinct().withColumn("hit", F.lit(1))
     rows = chunks(spark, sf).select("chunk_id", "book_id").join(hit, "chunk_id", "left")

@@ -96,7 +96,7 @@ def sidebar_topk(spark, sf):
     return documents(spark, sf).select("source", "doc_id", F.row_number().over(w).alias("rank")).filter("rank <= 5")
 
 
-@query("cost_accounting", "K22 K23", "SELECT day, cost, spent FROM (SELECT day, cost, round(sum(cost) OVER (ORDER BY day), 4) AS spent FROM (SELECT date_trunc('day', ts) AS day, round(sum(value * 3 + 15 * (event_id % 100)) / 1e6, 4) AS cost FROM events GROUP BY 1)) WHERE spent <= 5")
+@query("cost_accounting", "K23", "SELECT day, cost, spent FROM (SELECT day, cost, round(sum(cost) OVER (ORDER BY day), 4) AS spent FROM (SELECT date_trunc('day', ts) AS day, round(sum(value * 3 + 15 * (event_id % 100)) / 1e6, 4) AS cost FROM events GROUP BY 1)) WHERE spent <= 5")
 def cost_accounting(spark, sf):
     """Cost a day at prices per million, for as long as a ceiling isn't passed."""
     per = read(spark, sf, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.round(F.sum(F.col("value") * 3 + (F.col("event_id") % 100) * 15) / 1e6, 4).alias("cost"))
@@ -149,7 +149,7 @@ def budget_running(spark, sf):
     return Q.within_running_budget(e, "from_book", ["edge_id"], "size", 5000).select("from_book", "edge_id", "used")
 
 
-@query("budget_greedy", "I9 I10", """WITH RECURSIVE s AS (SELECT doc_id // 10 AS g, doc_id AS id, n_chars // 4 AS size, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id % 3, doc_id) AS k FROM documents),
+@query("budget_greedy", "I10", """WITH RECURSIVE s AS (SELECT doc_id // 10 AS g, doc_id AS id, n_chars // 4 AS size, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id % 3, doc_id) AS k FROM documents),
 w AS (SELECT g, 0::bigint AS k, 0::bigint AS used, ''::varchar AS taken FROM (SELECT DISTINCT g FROM s) UNION ALL SELECT s.g, s.k, CASE WHEN used + size <= 3000 THEN used + size ELSE used END, CASE WHEN used + size <= 3000 THEN taken || id || ',' ELSE taken END FROM w JOIN s ON s.g = w.g AND s.k = w.k + 1)
 SELECT g AS group_id, arg_max(used, k) AS used, arg_max(taken, k) AS taken FROM w GROUP BY 1""")
 def budget_greedy(spark, sf):
@@ -241,7 +241,7 @@ def highlight_remap(spark, sf):
     return documents(spark, sf).select("doc_id", (at - 1).alias("start_at"), F.when(at > 0, at - 1 + F.length(F.substring("text", 11, 25))).otherwise(-1).alias("end_at"))
 
 
-@query("book_render", "I11 I12 I14", f"""SELECT page_number, md5(string_agg('[' || chunk_index || '] ' || structural_type || ': ' || CASE WHEN length(t) <= 200 THEN t ELSE left(t, 199) || '…' END, chr(10) ORDER BY chunk_index)) AS rendered FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM {DUCK_CHUNKS}) GROUP BY 1""")
+@query("book_render", "I11", f"""SELECT page_number, md5(string_agg('[' || chunk_index || '] ' || structural_type || ': ' || CASE WHEN length(t) <= 200 THEN t ELSE left(t, 199) || '…' END, chr(10) ORDER BY chunk_index)) AS rendered FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM {DUCK_CHUNKS}) GROUP BY 1""")
 def book_render(spark, sf):
     line = F.concat(F.lit("["), F.col("chunk_index").cast("string"), F.lit("] "), "structural_type", F.lit(": "), T.preview(F.col("text"), 200))
     made = chunks(spark, sf).groupBy("page_number").agg(F.array_sort(F.collect_list(F.struct("chunk_index", line.alias("line")))).alias("l"))
@@ -321,7 +321,7 @@ def progress_windows(spark, sf):
     return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("progress_stream", "A15 A16", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("progress_stream", "A15", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def progress_stream(spark, sf):
     made = progress.run_once(spark, f"{sf}/events.parquet")
     return made.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
