@@ -1,10 +1,18 @@
-"""Helpers that the operators share: tables, the shared folder, hashing of ids into folds, connected components."""
+"""Helpers that the operators share: tables, the shared folder, texts and ids in Python, folds, connected components.
+
+Ids never pass through pandas as numbers: there a long column with a null becomes floats, which round what is above 2^53.
+Operators that give one row for each row run as Python functions of the text alone (``by_text``) and leave the id in the
+JVM; the others take the id as a string and cast it back.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,31 +25,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error, since executors would each
+    write to their own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="inkweave-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _located(spark: SparkSession, folder: str):
+    """(file system, path) of a folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of executors.
+
+    What discard() didn't delete before goes when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/inkweave/{what}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/inkweave/{spark.sparkContext.applicationId}"
+    path = f"{folder}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    system, at = _located(spark, folder)
+    system.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/inkweave/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                system, path = _located(df.sparkSession, folder)
+                system.delete(path, True)
+
+
+def slices(frames: Iterator[pd.DataFrame], chars: int = 8_000_000, rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """The frames in slices of about so many characters of text, and so many rows at most.
+
+    Memory then follows neither the batch's size nor, but for a single text, the texts' length.
+    """
+    for frame in frames:
+        ends = frame["text"].str.len().fillna(0).to_numpy().cumsum()
+        begin = 0
+        while begin < len(frame):
+            so_far = ends[begin - 1] if begin else 0
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, so_far + chars, side="right"))))
+            yield frame.iloc[begin:end]
+            begin = end
+
+
+def by_text(work: Callable[[list[str]], dict], schema: str, chars: int = 8_000_000) -> Callable[[Column], Column]:
+    """A column function text -> struct of schema. work maps some texts (null: empty) to columns of values."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in batches:
+            parts = [pd.DataFrame(work([t or "" for t in f["text"]])) for f in slices(iter([text.to_frame("text")]), chars)]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(work([]))
+
+    return F.pandas_udf(run, schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -50,7 +100,8 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def components(edges: DataFrame, what: str, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (u, v: long): one row (node, component) per node, component the smallest node.
+    """Connected components of edges (u, v: any type with an order): one row (node, component) per node, component the
+    smallest node.
 
     Each round every node takes the smallest label among its neighbours' and its label's label, so the number of rounds
     follows the logarithm of the diameter. Labels are written to the shared folder after each round. A node with very

@@ -19,7 +19,6 @@ Very long words are walked character by character with a window of the longest p
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,6 +27,9 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkweave.llm.common import by_text
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -279,41 +281,20 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
-def slices(frames: Iterator[pd.DataFrame], chars: int = 8_000_000, rows: int = 10_000) -> Iterator[pd.DataFrame]:
-    """The frames in slices of about so many characters of text, and so many rows at most.
-
-    Memory then follows neither the batch's size nor, but for a single text, the texts' length.
-    """
-    for frame in frames:
-        ends = frame["text"].str.len().fillna(0).to_numpy().cumsum()
-        begin = 0
-        while begin < len(frame):
-            so_far = ends[begin - 1] if begin else 0
-            end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, so_far + chars, side="right"))))
-            yield frame.iloc[begin:end]
-            begin = end
-
-
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every row of docs (doc_id, text)."""
-
-    def run(frames):
-        m = model(model_path)
-        for f in slices(frames):
-            yield pd.DataFrame({"doc_id": f.doc_id, "ids": m.encode([t or "" for t in f.text])})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    ids = by_text(lambda texts: {"ids": model(model_path).encode(texts)}, "ids array<int>")
+    return docs.select("doc_id", ids("text").alias("out")).select("doc_id", "out.ids")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) of every row of encoded (doc_id, ids); null ids give the empty text."""
 
-    def run(frames):
+    def run(ids: pd.Series) -> pd.Series:
         m = model(model_path)
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "text": [m.decode([] if x is None else list(x)) for x in f.ids]})
+        return pd.Series([m.decode([] if x is None else list(x)) for x in ids], dtype=object)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", F.pandas_udf(run, "string")("ids").alias("text"))
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
@@ -322,27 +303,23 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     (doc_id, n_chars, n_tokens long, ids_crc32 long of the little-endian 32-bit ids, decoded_sha256, lossless boolean).
     """
 
-    def run(frames):
+    def run(texts: list[str]) -> dict:
         m = model(model_path)
-        for f in slices(frames):
-            texts = [t or "" for t in f.text]
-            ids = m.encode(texts)
-            back = [m.decode(x) for x in ids]
-            yield pd.DataFrame(
-                {
-                    "doc_id": f.doc_id,
-                    "n_chars": [len(t) for t in texts],
-                    "n_tokens": [len(x) for x in ids],
-                    "ids_crc32": [zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in ids],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
-                    "lossless": [a == b for a, b in zip(texts, back, strict=True)],
-                }
-            )
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+        ids = m.encode(texts)
+        back = [m.decode(x) for x in ids]
+        return {
+            "n_chars": [len(t) for t in texts],
+            "n_tokens": [len(x) for x in ids],
+            "ids_crc32": [zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in ids],
+            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
+            "lossless": [a == b for a, b in zip(texts, back, strict=True)],
+        }
+
+    made = by_text(run, "n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return docs.select("doc_id", made("text").alias("out")).select("doc_id", "out.*")
 
 
 def default_model() -> str:
     import public_tokenizers
 
-    return os.environ.get("INKWEAVE_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
+    return public_tokenizers.path("piece_bpe_32k.model")

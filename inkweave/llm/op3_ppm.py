@@ -29,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import discard, fold, written
-from inkweave.llm.op1_sentencepiece import slices
+from inkweave.llm.common import discard, fold, slices, written
 
 ORDER = 6
 PARTS = 256
@@ -152,7 +151,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-READ = "kind int, part int, slice long, grams binary, counts binary, key long, n long, row long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, texts binary"
+READ = "kind int, part int, slice long, grams binary, counts binary, key long, n long, row long, doc_ids array<string>, held_out array<boolean>, sizes array<int>, texts binary"
 DOCUMENT, GRAMS, PAIR, TOKEN = range(4)
 
 
@@ -165,8 +164,7 @@ def _documents(slice_: int, row: int, f: pd.DataFrame, streams: list[bytes]) ->
     """Documents to be scored at once, as one row."""
     import zstandard
 
-    ids = [None if pd.isna(i) else int(i) for i in f.doc_id]
-    return _rows(DOCUMENT, 1, slice=[slice_], row=[row], doc_ids=[ids], held_out=[f.held_out.to_numpy().astype(bool)], sizes=[np.array([len(s) for s in streams], dtype=np.int32)], texts=[zstandard.compress(b"".join(streams))])
+    return _rows(DOCUMENT, 1, slice=[slice_], row=[row], doc_ids=[list(f.doc_id)], held_out=[f.held_out.to_numpy().astype(bool)], sizes=[np.array([len(s) for s in streams], dtype=np.int32)], texts=[zstandard.compress(b"".join(streams))])
 
 
 def _slice_rows(slice_: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -336,7 +334,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD
     unigram log10 probability with add-one smoothing, score the trie's.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", (fold(F.col("doc_id"), parts) == held).alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("string"), "text", (fold(F.col("doc_id"), parts) == held).alias("held_out"))
     rows = written(read(docs, held_bytes), "op3-read")
     tokens = written(rows.filter(F.col("kind") == TOKEN).groupBy("key").agg(F.sum("n").alias("n")), "op3-tokens")
     n, v = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -378,7 +376,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD
             rare = np.split(hashes[codes[~known]], np.cumsum(np.bincount(doc[~known], minlength=size))[:-1])
             yield pd.DataFrame(
                 {
-                    "row": r.row + np.arange(size), "doc_id": pd.array([None if pd.isna(i) else int(i) for i in r.doc_ids], dtype="Int64"), "held_out": r.held_out,
+                    "row": r.row + np.arange(size), "doc_id": list(r.doc_ids), "held_out": r.held_out,
                     "n_tokens": np.bincount(doc, minlength=size), "n_known": np.bincount(doc[known], minlength=size),
                     "logs": np.bincount(doc, weights=logs, minlength=size), "score": scores, "rare": rare,
                 }
@@ -390,7 +388,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD
     n_slices = rows.filter(F.col("kind") == DOCUMENT).agg(F.count_distinct("slice")).first()[0]
     # four tasks for each slice, so that few tasks hold several slices in one batch of Arrow
     met = met.repartition(max(1, 4 * n_slices), "slice").sortWithinPartitions("slice", "row")
-    found = met.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>")
+    found = met.mapInPandas(run, "row long, doc_id string, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<long>")
     found = written(found, "op3-found")
     discard(rows)
     seldom = found.select("row", F.explode("rare").alias("key")).join(tokens.filter(~frequent), "key")
@@ -399,7 +397,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD
     none = F.lit(0)
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     return scored.select(
-        "doc_id",
+        F.col("doc_id").cast("long"),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", none)).alias("n_known"),
