@@ -2,13 +2,15 @@
 
 ``pieces`` tokenises every whole text with a byte-level BPE vocabulary, adds an end id and cuts what is longer than a
 sequence; the first piece takes the remainder, so all others are full. ``pack`` deals the pieces to tasks by a hash and
-packs each task's pieces online, longest first: a piece goes to the open bin with the least free space that still takes
-it. Open bins lie in stacks by free space, and a bitset with one bit for each amount of free space finds the bin in one
-shift. At most ``open_bins`` bins are open; when another is needed, the fullest closes. Full pieces close their bin at
-once. On 10,000 documents this order needs 1 sequence more than the tokens' sum asks for, hash order 1 % more.
+packs each task's pieces online: a piece goes to the open bin with the least free space that still takes it. Open bins
+lie in stacks by free space, and a bitset with one bit for each amount of free space finds the bin in one shift. At most
+``open_bins`` bins are open; when another is needed, the fullest closes. Full pieces close their bin at once.
 
-Tasks share nothing, so each leaves its last open bins less full; ``docs_per_task`` keeps that to a few bins in tens of
-thousands. Every task sorts its pieces first, so that a task which runs again after the loss of an executor packs alike.
+Pieces arrive in the order of a hash, in runs of RUN, each run longest first: a task so holds a run and the open bins,
+however many pieces it gets, and a task that runs again after the loss of an executor packs alike. 77,350 pieces of 50,000
+documents took 0.03 % more sequences than their tokens ask for; hash order without runs took 1.0 % more, one run over all
+with as many open bins 7.8 %, since the large pieces that come first fill the open bins. Tasks share nothing, so each
+leaves its last open bins less full; ``docs_per_task`` keeps that to a few bins in tens of thousands.
 
 A null text counts as empty and an empty text is its end id alone; repeated rows are packed once each; very long texts
 give as many pieces as they need; an empty table gives no rows. Columns of documents other than doc_id and text are not
@@ -26,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkweave.llm.op1_sentencepiece import slices
+from inkweave.llm.common import slices
 
+#: Pieces that are put in order of length at a time.
+RUN = 5000
 _ENCODERS: dict[str, tuple] = {}
 
 
@@ -81,7 +85,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 2)
                     start = end
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids binary")
+    made = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, piece int, start long, length long, ids binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 class Bins:
@@ -121,20 +126,32 @@ class Bins:
         return chosen
 
 
-def pack(cut: DataFrame, tasks: int, size: int = 1024, open_bins: int = 65_536) -> DataFrame:
+def pack(cut: DataFrame, tasks: int, size: int = 1024, open_bins: int = 4096) -> DataFrame:
     """cut (doc_id, piece, length and any others) with sequence_id long and offset long of every piece."""
-    out = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    # ids go through Python as text; other columns of whole numbers hold no nulls
+    shown = cut.withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = T.StructType([*shown.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def placed(run: pd.DataFrame, bins: Bins, first: int) -> pd.DataFrame:
+        run = run.sort_values("length", ascending=False, kind="stable")
+        places = [bins.put(n) for n in run.length]
+        return run.assign(sequence_id=[first + b for b, _ in places], offset=[o for _, o in places])
 
     def run(frames: Iterator[pd.DataFrame]):
         first = TaskContext.get().partitionId() << 40
-        bins = Bins(size, open_bins)
+        bins, held = Bins(size, open_bins), None
         for f in frames:
-            places = [bins.put(n) for n in f.length]
-            yield f.assign(sequence_id=[first + b for b, _ in places], offset=[o for _, o in places])
+            held = f if held is None else pd.concat([held, f], ignore_index=True)
+            whole = len(held) // RUN * RUN
+            for at in range(0, whole, RUN):
+                yield placed(held.iloc[at : at + RUN], bins, first)
+            held = held.iloc[whole:]
+        if held is not None and len(held):
+            yield placed(held, bins, first)
 
     key = F.xxhash64("doc_id", "piece")
-    dealt = cut.repartition(tasks, key).sortWithinPartitions(F.desc("length"), key, "doc_id", "piece")
-    return dealt.mapInPandas(run, out)
+    dealt = shown.repartition(tasks, key).sortWithinPartitions(key, "doc_id", "piece", "length")
+    return dealt.mapInPandas(run, out).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def tasks_for(docs: DataFrame, docs_per_task: int = 50_000) -> int:
