@@ -1,12 +1,14 @@
 """Quality by compression: zstandard dictionaries of good and of bad text compete, and the difference is calibrated.
 
-Half of a bounded sample of labelled documents builds one dictionary for each class. A whole text is compressed in
-blocks with both; the difference of the two sizes over the text's bytes, with the text's own compressibility, goes
-through a logistic curve fitted on the other half of the sample. Blocks keep a long text from drowning the dictionaries
-in its own history.
-
-Empty and null texts take the curve's value at sizes of 0. With a class that has no rows to learn from, every
-score is the share of good rows (0.5 without any). Repeated rows score alike; an empty table gives no rows; other
+Half of a bounded sample of labelled documents builds one dictionary for each class, both in the same way and with the
+same bound: zstandard's training on blocks of the texts or, if it finds too little in either class, equal shares of the
+blocks themselves for both. A whole text is compressed in blocks with both; the difference of the two sizes over the
+text's bytes, with the text's own compressibility, goes through a logistic curve fitted on the other half of the sample.
+Blocks keep a long text from drowning the dictionaries in its own history. A class of fewer than FEW rows serves both
+ends with all of them.
+
+Empty and null texts take the curve's value at sizes of 0. If a class has no rows to learn from (or only empty texts),
+every score is the share of good rows (0.5 without any). Repeated rows score alike; an empty table gives no rows; other
 columns aren't read. Labels only choose the sample; language, source and id are never inputs of a score.
 """
 
@@ -19,16 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.op1_sentencepiece import slices
+from inkweave.llm.common import by_text
 from inkweave.llm.training import class_weights, held_out, logistic, sample, sigmoid
 
 BLOCK = 512
+FEW = 16
 
 
 @dataclass
 class QualityModel:
     good: bytes
     bad: bytes
+    trained: bool
     weights: np.ndarray
     level: int
 
@@ -36,7 +40,7 @@ class QualityModel:
         import zstandard
 
         def coder(raw: bytes):
-            content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO)
+            content = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT if self.trained else zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=self.level)
             return zstandard.ZstdCompressor(level=self.level, dict_data=content, write_content_size=False, write_dict_id=False).compress
 
@@ -61,41 +65,45 @@ class QualityModel:
         return sigmoid(x @ self.weights)
 
 
-def fit(rows: pd.DataFrame, counts: dict, size: int = 100_000, level: int = 3) -> QualityModel:
-    """rows (text, mark 0 or 1); counts of all training rows by mark."""
+def blocks(texts: list[str]) -> list[bytes]:
+    return [data[at : at + BLOCK] for data in map(str.encode, texts) for at in range(0, len(data), BLOCK)]
+
+
+def dictionaries(good: list[bytes], bad: list[bytes], size: int) -> tuple[bytes, bytes, bool]:
+    """(dictionary of the good blocks, of the bad ones, whether they are trained); both are built alike."""
     import zstandard
 
-    y, texts = rows["mark"].to_numpy().astype(int), rows["text"].tolist()
+    try:
+        return zstandard.train_dictionary(size, good).as_bytes(), zstandard.train_dictionary(size, bad).as_bytes(), True
+    except zstandard.ZstdError:  # too little text in one of the classes
+        least = min(size, sum(map(len, good)), sum(map(len, bad)))
+        shares = [b"".join(p[:: max(1, sum(map(len, p)) // least)])[:least] for p in (good, bad)]
+        return *shares, False
+
+
+def fit(rows: pd.DataFrame, counts: dict, size: int = 100_000, level: int = 3) -> QualityModel:
+    """rows (text, mark 0 or 1); counts of all training rows by mark."""
+    y, texts = rows["mark"].to_numpy().astype(int), np.array(rows["text"].tolist(), dtype=object)
     rank = pd.Series(y).groupby(y).cumcount().to_numpy()
-    if min((y == 1).sum(), (y == 0).sum()) < 16:
+    few = np.array([(y == m).sum() < FEW for m in (0, 1)])[y] if len(y) else np.zeros(0, dtype=bool)
+    parts = [blocks(texts[(y == m) & (few | (rank % 2 == 0))].tolist()) for m in (1, 0)]
+    if not all(parts):
         total = sum(counts.values())
-        return QualityModel(b"", b"", np.array([counts.get(1, 0) / total if total else 0.5]), level)
-
-    def dictionary(mark: int) -> bytes:
-        parts = [d[at : at + BLOCK] for t, m, r in zip(texts, y, rank, strict=True) if m == mark and r % 2 == 0 for d in [t.encode()] for at in range(0, len(d), BLOCK)]
-        try:
-            trained = zstandard.train_dictionary(min(size, sum(map(len, parts)) // 4), parts).as_bytes()
-        except zstandard.ZstdError:
-            trained = b""
-        # where training finds little that repeats it returns a small dictionary: then the text itself serves
-        return trained if len(trained) > size // 2 else b"".join(parts)[-size:]
-
-    model = QualityModel(dictionary(1), dictionary(0), np.zeros(5), level)
-    other = rank % 2 == 1
-    model.weights = logistic(model.features([t for t, o in zip(texts, other, strict=True) if o]), y[other], class_weights(y[other], counts))
+        return QualityModel(b"", b"", False, np.array([counts.get(1, 0) / total if total else 0.5]), level)
+    model = QualityModel(*dictionaries(*parts, size), np.zeros(5), level)
+    other = few | (rank % 2 == 1)
+    model.weights = logistic(model.features(texts[other].tolist()), y[other], class_weights(y[other], counts))
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = 3000, chars: int = 16_000_000) -> DataFrame:
     """(doc_id, held_out boolean, score double) of every row of docs (doc_id, text).
 
-    labels (doc_id, quality); per_class bounds the labelled rows of each class that are learnt from.
+    labels (doc_id, quality); per_class and chars bound the labelled rows of each class that are learnt from, and their
+    characters.
     """
-    rows, counts = sample(docs, labels.select("doc_id", F.col("quality").cast("int").alias("mark")).filter("mark in (0, 1)"), per_class)
+    marks = labels.select("doc_id", F.col("quality").cast("int").alias("mark")).filter("mark in (0, 1)")
+    rows, counts = sample(docs.select("doc_id", "text"), marks, per_class, chars)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, counts))
-
-    def run(frames):
-        for f in slices(frames):
-            yield pd.DataFrame({"doc_id": f.doc_id, "held_out": f.held_out, "score": model.value.score([t or "" for t in f.text])})
-
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
+    scored = by_text(lambda texts: {"score": model.value.score(texts)}, "score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored("text").alias("out")).select("doc_id", "held_out", "out.score")

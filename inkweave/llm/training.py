@@ -11,32 +11,43 @@ from inkweave.llm.common import fold
 
 #: Folds of labelled rows; rows of fold 0 are held out.
 FOLDS = 5
+#: Classes that are learnt at most.
+MOST_CLASSES = 1000
 
 
 def held_out(doc_id):
     return fold(doc_id, FOLDS) == 0
 
 
-def sample(docs: DataFrame, marks: DataFrame, per_class: int) -> tuple[pd.DataFrame, dict]:
-    """(texts and classes of at most per_class training rows of each class, all training rows by class).
+def sample(docs: DataFrame, marks: DataFrame, per_class: int, chars: int, on: list[str] | None = None) -> tuple[pd.DataFrame, dict]:
+    """(text, mark, rank of at most per_class training rows of each class, numbers of training rows by class).
 
-    marks has (doc_id, mark); rows of the held-out fold and null marks are left out. The rows are those with the
-    smallest hash of their id, so the sample is the same on every run; a bound on the hash, from the size of the class,
-    leaves about twice as many before the shuffle. The chosen ids, at most per_class by class, are broadcast to the scan
-    of the texts.
+    marks has (doc_id, mark); rows of the held-out fold, null ids and null marks are left out. Rows of docs have a class
+    by the columns ``on`` (doc_id; with mark, if docs has it). Chosen are the ids with the smallest hashes, so the sample is
+    the same on every run; a bound on the hash, from the number of ids of the class, leaves about twice as many before the
+    shuffle. Where ids stand on several rows, the rows are ranked once more by the hash of their text.
+
+    What reaches the driver is bounded: at most MOST_CLASSES classes (the most frequent), per_class rows and chars
+    characters of each; texts longer than an eighth of chars aren't learnt from. No text is cut.
     """
     usable = marks.filter(F.col("mark").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "mark")
-    counts = {r["mark"]: r["n"] for r in usable.groupBy("mark").agg(F.count("*").alias("n")).collect()}
+    sizes = usable.groupBy("mark").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "mark").limit(MOST_CLASSES).collect()
+    counts = {r["mark"]: r["n"] for r in sizes}
     if not counts:
         return pd.DataFrame({"text": [], "mark": [], "rank": []}), counts
     space = 1 << 40
-    bounds = [x for mark, n in counts.items() for x in (F.lit(mark), F.lit(min(space, space * 2 * per_class // n)))]
-    usable = usable.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(space))).filter(F.col("hash") < F.element_at(F.create_map(*bounds), F.col("mark")))
-    order = Window.partitionBy("mark").orderBy("hash", "doc_id")
-    chosen = usable.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_class).select("doc_id", "mark", "rank")
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("text", "mark", "rank").toPandas().sort_values(["mark", "rank", "text"], ignore_index=True)
-    return rows, counts
+    bounds = F.create_map(*[x for r in sizes for x in (F.lit(r["mark"]), F.lit(min(space, space * 2 * per_class // max(1, r["ids"]))))])
+    usable = usable.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(space))).filter(F.col("hash") < F.try_element_at(bounds, F.col("mark"))).distinct()
+    first = Window.partitionBy("mark").orderBy("hash", "doc_id")
+    chosen = usable.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= per_class)
+    size = F.length("text")
+    rows = docs.filter(F.col("text").isNotNull() & (size <= chars // 8)).join(F.broadcast(chosen), on or ["doc_id"])
+    # rows beyond per_class go before the shuffle
+    order = Window.partitionBy("mark").orderBy("at", F.xxhash64("text"), "text")
+    ranked = rows.select("text", "mark", F.row_number().over(order).alias("rank"), "at").filter(F.col("rank") <= per_class)
+    so_far = F.sum(size).over(Window.partitionBy("mark").orderBy("rank"))
+    kept = ranked.withColumn("so_far", so_far).filter(F.col("so_far") <= chars)
+    return kept.select("text", "mark", "rank").toPandas().sort_values(["mark", "rank"], ignore_index=True), counts
 
 
 def sigmoid(x):
