@@ -1,15 +1,18 @@
 """Language by cross-parsing: suffix automata of labelled text tell how few phrases a text needs in each language.
 
 A text is parsed greedily into the longest phrases that occur in a language's training text; the language that needs the
-fewest bits (phrases times the bits that point at one in the training text) wins. The automaton of each language is a
-dense table of transitions; a missing transition leads on from the start state with its sign turned, which ends a phrase.
-All blocks of a batch of texts walk the tables in step, one character at a time, so the work per character is a few
-vector operations and long texts cost what their length says. Phrases end at block borders.
-
-Letters are lower-cased; each run of other characters counts as one space. The score is the winner's share when each
-language weighs 2 to the power of minus a tenth of its bits. Null texts and texts without a letter are ``und`` with
-score 0, as is everything if no language could be learnt. Ties go to the first language in alphabetical order. Repeated
-rows come out alike; an empty table gives no rows; only text (and lang, to learn from) is read.
+fewest bits (phrases times the bits that point at one in the training text) wins. The transitions of an automaton are a
+table for the language's DENSE most frequent signs, and a sorted list for the others, so memory follows the training text
+and not the size of the alphabet. A missing transition leads on from the start state with its sign turned, which ends a
+phrase. All blocks of a batch of texts walk the automaton in step, one character at a time, so the work per character is
+a few vector operations and long texts cost what their length says. Phrases end at block borders.
+
+Letters are lower-cased, marks stay beside them; each run of other characters counts as one space. The score is the
+winner's share when each language weighs 2 to the power of minus a tenth of its bits. A text is ``explained`` if the
+winner's phrases, but for one, take fewer bits than spelling each character by an even choice among that language's
+signs. Null texts and texts without a letter (marks are none) are ``und`` with score 0 and not explained, as is everything
+if no language could be learnt. Ties go to the first language in alphabetical order. Repeated rows come out alike; an
+empty table gives no rows; only text (and doc_id and lang, to learn from) is read.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.op1_sentencepiece import slices
+from inkweave.llm.common import by_text
 from inkweave.llm.training import held_out, sample
 
 BLOCK = 512
+DENSE = 64
 
 
-def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions of the suffix automaton, as a table [state, symbol] with -1 where there is none; state 0 starts."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton by state: symbol -> next state; state 0 starts."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -56,25 +60,23 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(nexts), alphabet), -1, dtype=np.int32)
-    for state, row in enumerate(nexts):
-        for c, to in row.items():
-            table[state, c] = to
-    return table
+    return nexts
 
 
 _LETTERS: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """For every code point its lower-case letter's code point, or 0 where it is no letter (marks count as letters)."""
+    """For every code point its lower-case letter's code point, negative for marks, 0 for all else."""
     if not _LETTERS:
         points = np.zeros(sys.maxunicode + 1, dtype=np.int32)
         for p in range(sys.maxunicode + 1):
-            c = chr(p)
-            if unicodedata.category(c)[0] in "LM":
-                low = c.lower()
+            kind = unicodedata.category(chr(p))[0]
+            if kind == "L":
+                low = chr(p).lower()
                 points[p] = ord(low) if len(low) == 1 else p
+            elif kind == "M":
+                points[p] = -p
         _LETTERS.append(points)
     return _LETTERS[0]
 
@@ -90,100 +92,147 @@ def squeezed(points: np.ndarray) -> np.ndarray:
     return points[keep]
 
 
+@dataclass
+class Automaton:
+    """A language's automaton. A state is a number from 1 (the start) times the number of columns; columns are signs."""
+
+    signs: np.ndarray  # code points, sorted
+    column: np.ndarray  # of each sign: below width in the table, else in the list
+    width: int  # columns of the table; the last one stands for signs that the language doesn't have
+    table: np.ndarray  # [state + column] -> state, negative where a phrase ended
+    keys: np.ndarray  # sorted state * 2^32 + column of the transitions outside of the table
+    goes: np.ndarray  # where they go
+    begins: np.ndarray  # by column: the state after a phrase that starts with it
+    bits: float  # of one phrase
+
+    @staticmethod
+    def of(points: np.ndarray) -> "Automaton":
+        signs, coded, times = np.unique(points, return_inverse=True, return_counts=True)
+        width = min(DENSE, len(signs)) + 1
+        column = np.empty(len(signs), dtype=np.int64)
+        column[np.argsort(-times, kind="stable")] = np.arange(len(signs))
+        column[column >= width - 1] += 1
+        states = suffix_automaton(column[coded].tolist())
+        where = [(s + 1, c, to + 1) for s, row in enumerate(states) for c, to in row.items()]
+        state, at, to = np.array(where, dtype=np.int64).reshape(-1, 3).T
+        state, to = state * width, to * width
+        begins = np.full(len(signs) + 1, width, dtype=np.int64)
+        begins[at[state == width]] = to[state == width]
+        table = np.tile(-begins[:width], len(states) + 1)
+        dense = at < width
+        table[state[dense] + at[dense]] = to[dense]
+        keys, goes = (state << 32 | at)[~dense], to[~dense]
+        order = np.argsort(keys)
+        return Automaton(signs, column.astype(np.int32), width, table.astype(np.int32), keys[order], goes[order], begins, float(np.log2(len(points) + 1)))
+
+    def columns(self, points: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.signs, points), len(self.signs) - 1)
+        return np.where(self.signs[at] == points, self.column[at], np.int32(self.width - 1))
+
+    def counted(self, flat: np.ndarray, starts: np.ndarray, active: list[int]) -> np.ndarray:
+        """Phrases of each block of flat, signs as columns; blocks are sorted by size, active[j] have a character at j."""
+        listed = bool((flat >= self.width).any())
+        state = np.full(len(starts), self.width, dtype=np.int32)
+        count = np.ones(len(starts), dtype=np.int32)
+        for j, n in enumerate(active):
+            here, now = flat[starts[:n] + j], state[:n]
+            if listed and (far := np.flatnonzero(here >= self.width)).size:
+                rare = here[far].astype(np.int64)
+                to = self.table[now + np.minimum(here, self.width - 1)]
+                key = now[far].astype(np.int64) << 32 | rare
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to[far] = np.where(self.keys[at] == key, self.goes[at], -self.begins[rare])
+            else:
+                to = self.table[now + here]
+            count[:n] += to < 0
+            np.abs(to, out=now)
+        return count
+
+
 @dataclass
 class LanguageModel:
     names: list[str]
-    symbols: np.ndarray  # the alphabet's code points, sorted; symbol 0 is the space, the last stands for unknown letters
-    steps: list[np.ndarray]  # by language: where to go times the alphabet's size, negative where a phrase ends
-    bits: np.ndarray  # by language: bits of one phrase
-
-    def classes(self, points: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.symbols, points)
-        at[at == len(self.symbols)] = 0
-        return np.where(self.symbols[at] == points, at, len(self.symbols)).astype(np.int32)
-
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases [text, language], whether each text has a letter)."""
-        rows, lettered = [self.classes(squeezed(code_points(t))) for t in texts], np.zeros(len(texts), dtype=bool)
-        owner, starts, sizes = [], [], []
-        base = 0
-        for i, r in enumerate(rows):
-            lettered[i] = bool((r != 0).any())
-            for at in range(0, len(r), BLOCK):
-                owner.append(i)
-                starts.append(base + at)
-                sizes.append(min(BLOCK, len(r) - at))
-            base += len(r)
+    automata: list[Automaton]
+
+    @property
+    def signs(self) -> np.ndarray:
+        """The signs of all languages, sorted."""
+        return np.unique(np.concatenate([a.signs for a in self.automata]))
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrases [text, language], number of characters, whether there is a letter, both by text)."""
+        rows = [squeezed(code_points(t)) for t in texts]
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        lettered = np.array([bool((r > 0).any()) for r in rows], dtype=bool)
         out = np.zeros((len(texts), len(self.names)))
-        if not owner:
-            return out, lettered
-        flat = np.concatenate(rows)
-        order = np.argsort(-np.array(sizes), kind="stable")
-        starts_, sizes_, owner_ = np.array(starts)[order], np.array(sizes)[order], np.array(owner)[order]
-        active = np.searchsorted(-sizes_, -np.arange(1, sizes_[0] + 1), side="right")  # blocks of at least so many characters
-        for k, steps in enumerate(self.steps):
-            state = np.zeros(len(owner_), dtype=np.int32)
-            count = np.ones(len(owner_), dtype=np.int32)
-            for j, n in enumerate(active.tolist()):
-                to = steps[state[:n] + flat[starts_[:n] + j]]
-                count[:n] += to < 0
-                state[:n] = np.abs(to)
-            out[:, k] = np.bincount(owner_, weights=count, minlength=len(texts))
-        return out, lettered
-
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        if not self.names:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        phrases, lettered = self.phrases(texts)
-        bits = phrases * self.bits
+        if not sizes.sum():
+            return out, sizes, lettered
+        signs, coded = self.signs, np.abs(np.concatenate(rows))
+        at = np.minimum(np.searchsorted(signs, coded), len(signs) - 1)
+        at[signs[at] != coded] = len(signs)  # no language has it
+        per = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(texts)), per)
+        begin = (np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)) * BLOCK
+        starts, size = begin + np.repeat(np.cumsum(sizes) - sizes, per), np.minimum(BLOCK, sizes[owner] - begin)
+        order = np.argsort(-size, kind="stable")
+        size, starts, owner = size[order], starts[order], owner[order]
+        active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right").tolist()
+        for k, automaton in enumerate(self.automata):
+            columns = automaton.columns(np.append(signs, -1))
+            out[:, k] = np.bincount(owner, weights=automaton.counted(columns[at], starts, active), minlength=len(texts))
+        return out, sizes, lettered
+
+    def predict(self, texts: list[str]) -> dict:
+        """lang_pred, score and explained of each text."""
+        if not self.names or not texts:
+            return {"lang_pred": ["und"] * len(texts), "score": np.zeros(len(texts)), "explained": np.zeros(len(texts), dtype=bool)}
+        phrases, sizes, lettered = self.phrases(texts)
+        each = np.array([a.bits for a in self.automata])
+        spelling = np.array([np.log2(len(a.signs) + 1) for a in self.automata])
+        bits = phrases * each
         best = bits.argmin(axis=1)
         share = np.exp2(-0.1 * (bits - bits.min(axis=1, keepdims=True)))
-        score = np.where(lettered, 1 / share.sum(axis=1), 0.0)
-        return [self.names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score
+        fewer = bits.min(axis=1) - each[best] < sizes * spelling[best]
+        return {
+            "lang_pred": [self.names[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)],
+            "score": np.where(lettered, 1 / share.sum(axis=1), 0.0),
+            "explained": lettered & fewer,
+        }
+
+
+def spread(texts: list[np.ndarray], most: int, cuts: int = 4) -> np.ndarray:
+    """At most so many signs of texts, in equal shares; a text longer than its share gives pieces from all over it."""
+    parts, left = [], most
+    for k, text in enumerate(sorted(texts, key=len)):
+        share = left // (len(texts) - k)
+        left -= min(share, len(text))
+        if len(text) <= share:
+            parts.append(text)
+        else:
+            size = max(1, share // cuts)
+            parts += [text[int(at) : int(at) + size] for at in np.linspace(0, len(text) - size, cuts)][: share // size]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
 
 def fit(rows: pd.DataFrame, chars: int = 30_000) -> LanguageModel:
-    """rows (text, mark: the language), of which each language's first chars characters are learnt from."""
-    texts: dict[str, np.ndarray] = {}
+    """rows (text, mark: the language), of which at most chars signs are learnt from for each language."""
+    learnt: dict[str, Automaton] = {}
     for name, group in rows.groupby("mark"):
-        points = squeezed(np.concatenate([np.append(code_points(t), 0) for t in group["text"]]))[:chars]
-        if (points != 0).any():
-            texts[name] = points
-    names = sorted(texts)
-    symbols = np.unique(np.concatenate([np.zeros(1, dtype=np.int32), *texts.values()]))
-    alphabet, steps = len(symbols) + 1, []
-    for name in names:
-        table = suffix_automaton(np.searchsorted(symbols, texts[name]).tolist(), alphabet)
-        start = np.where(table[0] < 0, 0, table[0])
-        # 0 is the start state, which a phrase's end can also lead to: states are numbered from 1, 1 being the start
-        goes = np.where(table < 0, -(start + 1)[None, :], table + 1) * alphabet
-        steps.append(np.concatenate([np.broadcast_to((start + 1) * alphabet, (1, alphabet)), goes]).astype(np.int32).ravel())
-    return LanguageModel(names, symbols, steps, np.array([np.log2(len(texts[n]) + 1) for n in names]))
+        points = squeezed(np.append(0, spread([squeezed(np.append(code_points(t), 0)) for t in group["text"]], chars)))
+        if (points > 0).any():
+            learnt[name] = Automaton.of(np.abs(points))
+    return LanguageModel(sorted(learnt), [learnt[n] for n in sorted(learnt)])
 
 
 def labeller(docs: DataFrame, docs_per_language: int = 60, chars: int = 30_000):
-    """A column function text -> struct (lang_pred, score), learnt from docs as predict() learns."""
-    rows, _ = sample(docs, docs.select("doc_id", F.col("lang").alias("mark")), docs_per_language)
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, chars))
-
-    def run(text: pd.Series) -> pd.DataFrame:
-        made = [model.value.predict([t or "" for t in f["text"]]) for f in slices(iter([text.to_frame("text")]), 4_000_000)]
-        return pd.DataFrame({"lang_pred": [x for names, _ in made for x in names], "score": [x for _, score in made for x in score]})
-
-    return F.pandas_udf(run, "lang_pred string, score double")
-
-
-def predict(docs: DataFrame, docs_per_language: int = 60, chars: int = 30_000) -> DataFrame:
-    """(doc_id, held_out boolean, lang_pred string, score double) of every row of docs (doc_id, text, lang).
-
-    docs_per_language and chars bound what is learnt from each language.
-    """
-    rows, _ = sample(docs, docs.select("doc_id", F.col("lang").alias("mark")), docs_per_language)
+    """A column function text -> struct (lang_pred string, score double, explained boolean), learnt from docs (doc_id,
+    text, lang). docs_per_language and chars bound what is learnt from each language."""
+    rows, _ = sample(docs.select("doc_id", "text", F.col("lang").alias("mark")), docs.select("doc_id", F.col("lang").alias("mark")), docs_per_language, 8_000_000, ["doc_id", "mark"])
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, chars))
+    return by_text(lambda texts: model.value.predict(texts), "lang_pred string, score double, explained boolean", 4_000_000)
 
-    def run(frames):
-        for f in slices(frames, 4_000_000):
-            names, score = model.value.predict([t or "" for t in f.text])
-            yield pd.DataFrame({"doc_id": f.doc_id, "held_out": f.held_out, "lang_pred": names, "score": score})
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def predict(docs: DataFrame, **bounds: int) -> DataFrame:
+    """(doc_id, held_out boolean, lang_pred string, score double, explained boolean) of every row of docs; bounds are those of labeller()."""
+    found = labeller(docs, **bounds)("text").alias("out")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found).select("doc_id", "held_out", "out.*")
