@@ -37,7 +37,7 @@ def test_op8_held_out(tables):
 
 def test_op8_sees_through_disguises(tables):
     docs, labels = tables
-    rows, counts = op8_toxicity.sample(docs, labels.select("doc_id", F.col("toxic").alias("mark")), 1500)
+    rows, counts = op8_toxicity.sample(docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").alias("mark")), 1500, 16_000_000)
     m = op8_toxicity.fit(rows, counts)
     for masked in ("1d10t", "i.d.i.o.t", "idiiiiot", "i-d-i-o-t"):
         assert m.restored(masked) == "idiot", masked
@@ -50,7 +50,7 @@ def test_op8_sees_through_disguises(tables):
 
 def test_op8_long_and_mixed_disguises(tables):
     docs, labels = tables
-    rows, counts = op8_toxicity.sample(docs, labels.select("doc_id", F.col("toxic").alias("mark")), 1500)
+    rows, counts = op8_toxicity.sample(docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").alias("mark")), 1500, 16_000_000)
     m = op8_toxicity.fit(rows, counts)
     for masked in ("i" * 70 + "diot", "idi" + "o" * 200 + "t", "i" + "." * 90 + "d.i.o.t", "1" * 70 + "d10t"):
         assert m.restored(masked) == "idiot", masked[:20]
@@ -88,15 +88,15 @@ def test_nothing_to_learn_from(spark):
 
 def test_op7_automaton_knows_exactly_the_substrings():
     text = [1, 2, 1, 1, 2, 3, 1, 2, 1]
-    table_ = op7_language.suffix_automaton(text, 4)
+    states = op7_language.suffix_automaton(text)
     inside = {tuple(text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
 
     def accepts(s):
         state = 0
         for c in s:
-            state = table_[state, c]
-            if state < 0:
+            if c not in states[state]:
                 return False
+            state = states[state][c]
         return True
 
     import itertools
