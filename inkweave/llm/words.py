@@ -20,10 +20,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def hashed_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words in order, number of words of each text)."""
-    import xxhash
-
+def coded_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all words in order, their codes, the distinct words by code, number of words of each text)."""
     counts = np.array([len(w) for w in texts], dtype=np.int64)
     flat = np.empty(counts.sum(), dtype=object)
     at = 0
@@ -31,8 +29,19 @@ def hashed_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         flat[at : at + len(words)] = words
         at += len(words)
     codes, distinct = pd.factorize(flat)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype=np.uint64)
-    return (hashes[codes] if len(codes) else np.zeros(0, dtype=np.uint64)), counts
+    return flat, codes, distinct, counts
+
+
+def hashes_of(words: np.ndarray) -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+
+
+def hashed_words(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words in order, number of words of each text)."""
+    _, codes, distinct, counts = coded_words(texts)
+    return (hashes_of(distinct)[codes] if len(codes) else np.zeros(0, dtype=np.uint64)), counts
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
