@@ -163,7 +163,7 @@ def test_op10_recall_at_the_threshold():
     e = r.standard_normal((4000, 64))
     e -= (e * v).sum(1, keepdims=True) * v
     w = 0.95 * v + np.sqrt(1 - 0.95**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
-    a, b = op10.decode(v, 128, 32), op10.decode(w, 128, 32)
+    a, b = op10.decode(v, 128), op10.decode(w, 128)
     missed = sum(not np.intersect1d(p, q).size for p, q in zip(a, b, strict=True))
     assert missed <= 2
 
