@@ -3,16 +3,17 @@
 Every stage takes (spark, docs, sf_dir), docs being what its predecessor kept, and returns a DataFrame; all but the last
 return the columns of documents.
 
-* Language: rows whose text is null or has no letter go, and those whose likeliest language has less than
-  LEAST_LANGUAGE of the weight.
+* Language: rows whose text is null or has no letter go, and those that no learnt language explains better than letters
+  at random would.
 * Toxicity: rows with a score of MOST_TOXIC or more go.
-* Near duplicates: of each group linked at a Jaccard similarity of 0.8 the document with the smallest id stays. Rows that
-  share an id are one document and stay together; rows without an id stay.
+* Near duplicates: of each group linked at a Jaccard similarity of 0.8 the document with the smallest id stays. Rows of a
+  group that share an id are one document and stay together, as do rows without an id in a group that has none.
 * Repeated passages: words covered by a window of 20 words that also starts earlier go from the text; n_chars follows. A
   document that loses all words stays, with an empty text.
 * Packing: the pieces of all texts with their places in sequences of 1024 tokens.
 
-Empty tables pass through all stages. Columns beyond those of documents are carried along unread by the first four.
+Empty tables pass through all stages. Columns beyond those of documents, of any name, are carried along unread by the first
+four.
 """
 
 from __future__ import annotations
@@ -24,24 +25,21 @@ from inkweave.llm import op5_repeats, op7_language, op8_toxicity, op9_jaccard
 from inkweave.llm.common import table, written
 from inkweave.llm.queries import packed_rows
 
-LEAST_LANGUAGE = 0.3
 MOST_TOXIC = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = op7_language.labeller(docs)(F.col("text"))
-    clear = (F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_LANGUAGE)
-    return docs.withColumn("_language", found).filter(clear).drop("_language")
+    return docs.filter(op7_language.labeller(docs)("text")["explained"])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    score = op8_toxicity.scorer(docs, table(spark, sf_dir, "labels"))(F.col("text"))
-    return docs.withColumn("_toxic", score).filter(F.col("_toxic") < MOST_TOXIC).drop("_toxic")
+    return docs.filter(op8_toxicity.scorer(docs, table(spark, sf_dir, "labels"))("text")["score"] < MOST_TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = op9_jaccard.link(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = op9_jaccard.link(docs).filter(~F.col("kept")).select("row_key").distinct()
+    # a condition instead of a name, which docs may have too
+    return docs.join(copies, op9_jaccard.row_key(docs["doc_id"], docs["text"]) == copies["row_key"], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
