@@ -94,7 +94,8 @@ def squeezed(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """A language's automaton. A state is a number from 1 (the start) times the number of columns; columns are signs."""
+    """A language's automaton. A state is a number times the number of columns; columns are signs. Nothing goes on from the
+    last state: it is where a block begins, and what a sign that the language doesn't have leads to."""
 
     signs: np.ndarray  # code points, sorted
     column: np.ndarray  # of each sign: below width in the table, else in the list
@@ -116,9 +117,9 @@ class Automaton:
         where = [(s + 1, c, to + 1) for s, row in enumerate(states) for c, to in row.items()]
         state, at, to = np.array(where, dtype=np.int64).reshape(-1, 3).T
         state, to = state * width, to * width
-        begins = np.full(len(signs) + 1, width, dtype=np.int64)
+        begins = np.full(len(signs) + 1, (len(states) + 1) * width, dtype=np.int64)
         begins[at[state == width]] = to[state == width]
-        table = np.tile(-begins[:width], len(states) + 1)
+        table = np.tile(-begins[:width], len(states) + 2)
         dense = at < width
         table[state[dense] + at[dense]] = to[dense]
         keys, goes = (state << 32 | at)[~dense], to[~dense]
@@ -132,8 +133,8 @@ class Automaton:
     def counted(self, flat: np.ndarray, starts: np.ndarray, active: list[int]) -> np.ndarray:
         """Phrases of each block of flat, signs as columns; blocks are sorted by size, active[j] have a character at j."""
         listed = bool((flat >= self.width).any())
-        state = np.full(len(starts), self.width, dtype=np.int32)
-        count = np.ones(len(starts), dtype=np.int32)
+        state = np.full(len(starts), len(self.table) - self.width, dtype=np.int32)
+        count = np.zeros(len(starts), dtype=np.int32)
         for j, n in enumerate(active):
             here, now = flat[starts[:n] + j], state[:n]
             if listed and (far := np.flatnonzero(here >= self.width)).size:

@@ -179,6 +179,115 @@ def test_op10_odd_vectors(spark):
     assert op10.link(vectors(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dims", [2, 3, 8, 16, 300])
+def test_op10_recall_in_few_and_many_dimensions(spark, dims):
+    """Near vectors of any length are found; links are never wrong."""
+    r = np.random.RandomState(dims)
+    base = r.standard_normal((60, dims))
+    x = np.concatenate([base + 0.15 * r.standard_normal((60, dims)) for _ in range(4)]).astype(np.float32)
+    out = {v.vec_id: v.n_links for v in op10.link(vectors(spark, [(i, row.tolist(), 1) for i, row in enumerate(x)])).collect()}
+    want = {i: n for i, (n, _) in brute_links(list(range(len(x))), x.astype(np.float64)).items()}
+    assert all(out[i] <= want[i] for i in want) and sum(out.values()) >= 0.99 * sum(want.values()) > 0
+
+
+def test_op10_takes_rows_not_ids(spark):
+    """One id on two vectors, each with a link of its own."""
+    r = np.random.RandomState(1)
+    a, b = r.standard_normal((2, 24))
+    rows = [(8, a), (8, b), (20, a + 0.01), (30, b + 0.01), (5, -a)]
+    out = sorted((v.vec_id, v.n_links, v.component_id, v.kept) for v in op10.link(vectors(spark, [(i, x.astype(np.float32).tolist(), 1) for i, x in rows])).collect())
+    assert out == [(5, 0, 5, True), (8, 1, 8, True), (8, 1, 8, True), (20, 1, 8, False), (30, 1, 8, False)]
+
+
+def test_op10_work_follows_the_rows():
+    """The code grows with the table: a direction holds about as many vectors at any size, and a vector as many lists."""
+    r = np.random.RandomState(2)
+    per, lists = [], []
+    for n in (2_000, 10_000, 50_000):
+        c = op10.codewords_for(n)
+        y = r.standard_normal((1000, 32))
+        made = op10.decode(y / np.linalg.norm(y, axis=1, keepdims=True), c)
+        lists.append(np.mean([len(x) for x in made]))
+        per.append(lists[-1] * n / c**2)
+    assert max(per) < 1.5 * op10.PER_DIRECTION and max(lists) < 1.6 * min(lists)
+
+
+def test_op9_recall_where_buckets_split(spark):
+    """Pairs at about 0.8, in buckets that split several times: the runs go on until the recall is there."""
+    r = random.Random(8)
+    texts = {}
+    for g in range(150):
+        w = prose(g, 200).split()
+        v = list(w)
+        for at in r.sample(range(0, 200, 6), 4):  # some 20 of 196 shingles differ: a similarity of 0.81
+            v[at] = f"new{r.random()}"
+        texts[2 * g], texts[2 * g + 1] = " ".join(w), " ".join(v)
+    want = linked(texts)
+    out = {x.doc_id: x.n_links for x in op9.link(plain(spark, texts), small=2, block=16).collect()}
+    links = sum(n for _, n in want.values())
+    assert sum(out.values()) >= 0.99 * links > 150 and all(out[i] <= want[i][1] for i in texts)
+
+
+def test_op9_components_of_many_blocks(spark):
+    """A group whose sets fill many blocks: rows meet only where a candidate asks for them, and no link is lost."""
+    texts = near_corpus(3, 30)
+    out = {x.doc_id: (x.class_id, x.n_links) for x in op9.link(plain(spark, texts), exact_block=4, exact_bytes=3000).collect()}
+    assert out == linked(texts)
+
+
+def piped(rows: list[tuple], labels: list[tuple]) -> list[tuple]:
+    """The pipeline's last two decisions by brute force over what the two classifiers keep: (doc_id, kept words) of rows."""
+    texts = {k: t for k, (_, t) in enumerate(rows)}
+    classes = linked(texts)
+    least = {}
+    for k, (c, _) in classes.items():
+        i = rows[k][0]
+        if i is not None and (c not in least or i < least[c]):
+            least[c] = i
+    left = [(rows[k][0], texts[k]) for k in texts if rows[k][0] == least.get(classes[k][0])]
+    order = sorted(left, key=lambda r: (r[0] is None, r[0] or 0))
+    first = {}
+    for at, (i, t) in enumerate(order):
+        w = t.encode().split()
+        for s in range(len(w) - 19):
+            k, here = tuple(w[s : s + 20]), ((i is None, i or 0), s)
+            first[k] = min(first.get(k, here), here)
+    out = []
+    for i, t in left:
+        w = t.encode().split()
+        gone = set()
+        for s in range(len(w) - 19):
+            if first[tuple(w[s : s + 20])] < ((i is None, i or 0), s):
+                gone |= set(range(s, s + 20))
+        out.append((i, b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() with repeated rows, ties of id, missing ids and clashing columns."""
+    import zlib
+
+    import corpus_pipeline as p
+    from inkweave.llm import op4_packing as op4
+
+    passage = prose(900, 60)
+    rows = odd_rows() + [(100 + k, prose(k, 70), "en", "s", 1) for k in range(40)] + [(300 + k, prose(k, 70), "en", "s", 1) for k in range(5)]
+    rows += [(400 + k, prose(800 + k, 40) + " " + passage, "en", "s", 1) for k in range(4)] + [(None, prose(10, 50), "en", "s", 1), (2**60 + 1, prose(850, 50), "en", "s", 1)]
+    rows += [(500 + k, prose(600 + k, 30) + " you stupid id10t moron " + prose(700 + k, 10), "en", "s", 1) for k in range(12)]
+    docs = frame(spark, rows).withColumns({c: F.lit("x") for c in ("_language", "_toxic", "row_key", "explained", "kept")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + k, 1, 0) for k in range(40)] + [(500 + k, 0, 1) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clear = [(r.doc_id, r.text) for r in p.toxicity(spark, p.language(spark, docs, str(tmp_path)), str(tmp_path)).collect()]
+    assert {str(i) for i, _ in clear} == {str(i) for i, *_ in rows} - {"2", "3", "4", "5", "6", "12"} - {str(500 + k) for k in range(12)}
+    encode, want = op4.encoder(op4.default_vocabulary()), []
+    for i, t in piped(clear, []):
+        ids = [*encode(t), 2]
+        ends = [*range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want += [(str(i), k, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for k, (a, b) in enumerate(zip([0, *ends], ends))]
+    got = [(str(r.doc_id), r.piece, r.ids_crc32) for r in p.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
