@@ -43,9 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = op5_repeats.remove(docs, others).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return kept.select(*docs.columns)
+    others = {c: f"other_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(name) for c, name in others.items()])
+    made = {c: F.col(name) for c, name in others.items()} | {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return op5_repeats.remove(renamed, list(others.values())).select(*[made[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
