@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,8 +38,13 @@ def cascade(tables: dict[str, DataFrame], deleted: DataFrame, key: str) -> dict[
     return {name: df.join(deleted.select(key), key, "left_anti") for name, df in tables.items()}
 
 
-def files(spark, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder with their bytes, read by the executors: (path, modificationTime, length, content)."""
+def files(spark, folder: str, pattern: str = "*", fallback: str | None = None) -> DataFrame:
+    """Files of a folder with their bytes, read by the executors: (path, modificationTime, length, content). Where the
+    folder isn't there, those of the fallback."""
+    if fallback is not None:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            folder = fallback
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
 
 
@@ -48,5 +54,44 @@ def unprocessed_pages(found: DataFrame, done: DataFrame) -> DataFrame:
     return found.select(F.nullif(n, F.lit("")).cast("int").alias("page_number")).filter("page_number is not null").distinct().join(done, "page_number", "left_anti")
 
 
+def store_blobs(blobs: DataFrame, folder: str) -> DataFrame:
+    """Write blobs (key, content) to files of a folder that the executors share or reach: (key, path, length).
+
+    A blob is written beside its place and then moved there, so a task that runs again leaves whole files.
+    """
+
+    def run(frames):
+        import uuid
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for f in frames:
+            rows = []
+            for key, content in zip(f["key"], f["content"], strict=True):
+                path = f"{base.rstrip('/')}/{key}"
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, path)
+                rows.append((key, path, len(content)))
+            yield pd.DataFrame(rows, columns=["key", "path", "length"])
+
+    return blobs.select("key", "content").mapInPandas(run, "key string, path string, length long")
+
+
+def markdown_lines(df: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """(at, line) of a Markdown report: a title and a table with a row for each row of df, which is of a report's size."""
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
+    body = df.select((F.row_number().over(Window.orderBy(*order)) + len(head) - 1).alias("at"), row([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("line"))
+    return df.sparkSession.createDataFrame(list(enumerate(head)), "at int, line string").unionByName(body)
+
+
+def write_markdown(lines: DataFrame, path: str) -> None:
+    lines.orderBy("at").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

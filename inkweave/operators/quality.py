@@ -92,10 +92,12 @@ def within_running_budget(rows: DataFrame, by: str, order: list[str], size: str,
     return rows.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= budget)
 
 
-def within_greedy_budget(groups: DataFrame, sections: str, budget: int) -> DataFrame:
+def within_greedy_budget(groups: DataFrame, sections: str, budget: int, reserved: str | None = None) -> DataFrame:
     """Sections (array of struct<priority,id,size>) of each group that a greedy choice takes in order of priority: one that
-    doesn't fit is passed over, smaller ones after it may still fit. (..., taken array of ids, used)."""
-    begin = F.expr("named_struct('used', 0L, 'taken', cast(array() as array<bigint>))")
+    doesn't fit is passed over, smaller ones after it may still fit. (..., taken array of ids, used). The column named in
+    reserved is used up beforehand."""
+    spent = F.col(reserved).cast("long") if reserved else F.lit(0).cast("long")
+    begin = F.struct(spent.alias("used"), F.expr("cast(array() as array<bigint>)").alias("taken"))
 
     def step(a, x):
         fits = a["used"] + x["size"] <= budget
