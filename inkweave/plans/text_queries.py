@@ -30,8 +30,7 @@ w AS (SELECT doc_id, text, s, 1 AS k, position(s[1] IN text) - 1 AS start_at FRO
  UNION ALL SELECT doc_id, text, s, k + 1, start_at + length(s[k]) + position(s[k + 1] IN substring(text, (start_at + length(s[k]) + 1)::bigint)) - 1 FROM w WHERE k < len(s))
 SELECT doc_id, k AS sentence, start_at, start_at + length(s[k]) AS end_at FROM w""")
 def sentence_offsets(spark, sf):
-    docs = _docs(spark, sf).withColumn("s", text.sentences(F.col("text")))
-    at = docs.select("doc_id", F.posexplode(text.sentence_offsets(F.col("text"), F.col("s"))).alias("k", "x"))
+    at = _docs(spark, sf).select("doc_id", F.posexplode(text.sentence_offsets(F.col("text"))).alias("k", "x"))
     return at.select("doc_id", (F.col("k") + 1).alias("sentence"), F.col("x.start").cast("long").alias("start_at"), F.col("x.end").cast("long").alias("end_at"))
 
 
@@ -47,7 +46,7 @@ def _html(way: str, number: int, covers: str):
         return pages(spark, sf).select("page_id", text.html_to_text(F.col("html"), way).alias("text"))
 
 
-for _n, (_way, _covers) in enumerate([("spans", "B12 C15"), ("pages", "B13"), ("repair", "B14"), ("notes", "B15"), ("reprocess", "B15b")], 1):
+for _n, (_way, _covers) in enumerate([("spans", "B12"), ("pages", "B13"), ("repair", "B14"), ("notes", "B15"), ("reprocess", "B15b")], 1):
     _html(_way, _n, _covers)
 
 
@@ -146,7 +145,10 @@ def snake_form(spark, sf):
     return _hyphened(spark, sf).select("doc_id", text.snake_form(F.col("t")).alias("snake"))
 
 
-@query("hyphen_form", "E8", rf"SELECT doc_id, {duck_strip(rf'''regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')''')} AS hyphen FROM {_HYPHENED}")
+_HYPHEN = duck_strip(rf"regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')")
+
+
+@query("hyphen_form", "E8", f"SELECT doc_id, {_HYPHEN} AS hyphen FROM {_HYPHENED}")
 def hyphen_form(spark, sf):
     return _hyphened(spark, sf).select("doc_id", text.hyphen_form(F.col("t")).alias("hyphen"))
 
@@ -317,7 +319,7 @@ def synonym_map(spark, sf):
 
 
 def duck_concepts(tag: str) -> str:
-    found = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower({tag}), {q(m)})' for m in markers.split())} THEN {q(name)} END" for name, markers in concepts.CONCEPTS.items())
+    found = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower({tag}), {q(m)})' for m in markers)} THEN {q(name)} END" for name, markers in concepts.CONCEPTS.items())
     return f"(CASE WHEN len(list_filter([{found}], lambda x: x IS NOT NULL)) > 0 THEN list_filter([{found}], lambda x: x IS NOT NULL) ELSE [lower({tag})] END)"
 
 
