@@ -11,6 +11,12 @@ from inkweave.functions import text as T
 DEFINES = r":=|\\mathrel\{\\mathop:\}=|\\equiv"
 
 
+def with_concepts(rows: DataFrame, tag: str = "tag") -> DataFrame:
+    """rows once for each concept of their tag. Every different tag is looked up once, however many rows have it."""
+    names = rows.select(tag).distinct().withColumn("concept", F.explode(C.concepts_of(F.col(tag))))
+    return rows.join(names, tag)
+
+
 def candidates(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """(concept, tier, span_id, chunk_id, page_number, chunk_index) of everything that may define a concept.
 
@@ -30,7 +36,7 @@ def candidates(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     signed = rows.filter(F.regexp_like("span_text", F.lit(DEFINES))).withColumn("tier", F.lit(1)).select(keep)
     every = top.unionByName(spoken).unionByName(named).unionByName(signed)
     tags = every.withColumn("tag", F.explode("tags")).filter(C.is_concept_tag(F.col("tag")))
-    return tags.withColumn("concept", F.explode(C.concepts_of(F.col("tag")))).drop("tags", "tag")
+    return with_concepts(tags.drop("tags")).drop("tag")
 
 
 def _order() -> Column:
@@ -60,16 +66,31 @@ def merge(stored: DataFrame, new: DataFrame) -> DataFrame:
 def links(spans: DataFrame, dictionary: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """(span_id, chunk_id, target_chunk): spans to the definitions of their concepts, once for each target, not to their
     own chunk, and not where an edge (span_id, target_chunk) exists."""
-    wanted = spans.select("span_id", "chunk_id", F.explode(C.concepts_of_all(F.col("tags"))).alias("concept"))
+    wanted = with_concepts(spans.select("span_id", "chunk_id", F.explode("tags").alias("tag")))
     found = wanted.join(dictionary.select("concept", F.col("chunk_id").alias("target_chunk")), "concept")
     found = found.filter(F.col("chunk_id") != F.col("target_chunk")).select("span_id", "chunk_id", "target_chunk").distinct()
     return found if existing is None else found.join(existing, ["span_id", "target_chunk"], "left_anti").select("span_id", "chunk_id", "target_chunk")
 
 
+def gather(chunks: DataFrame, spans: DataFrame, dictionary: DataFrame, most_spoken: int = 20, most_signed: int = 10) -> DataFrame:
+    """(concept, chunk_id, tier): where a concept may be defined, with the best tier of each chunk: what the dictionary
+    (concept, chunk_id, tier) has, the first spans that define by role (tier 0 in a definition chunk, else 1), and the first
+    with a defining sign (tier 1)."""
+    tagged = spans.select("span_id", "chunk_id", "role", F.regexp_like("span_text", F.lit(DEFINES)).alias("signed"), F.explode("tags").alias("tag"))
+    tagged = with_concepts(tagged.filter((F.col("role") == "definition") | F.col("signed"))).drop("tag").distinct()
+    w = Window.partitionBy("concept").orderBy("span_id")
+    first = lambda rows, most: rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("concept", "chunk_id")
+    spoken = first(tagged.filter(F.col("role") == "definition"), most_spoken).join(chunks.select("chunk_id", "structural_type"), "chunk_id")
+    spoken = spoken.select("concept", "chunk_id", F.when(F.col("structural_type") == "definition", 0).otherwise(1).alias("tier"))
+    signed = first(tagged.filter("signed"), most_signed).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("concept", "chunk_id", F.lit(1).alias("tier"))
+    every = dictionary.select("concept", "chunk_id", "tier").unionByName(spoken).unionByName(signed)
+    return every.groupBy("concept", "chunk_id").agg(F.min("tier").alias("tier"))
+
+
 def missing(spans: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Concepts that spans with a definition gap (or of class L) need and the dictionary lacks: (book_id, concept, n)."""
     open_ = spans.filter((F.col("gap_type") == "definition") | (F.col("search_class") == "L"))
-    wanted = open_.select("book_id", F.explode(C.concepts_of_all(F.col("tags"))).alias("concept"))
+    wanted = with_concepts(open_.select("book_id", "span_id", F.explode("tags").alias("tag"))).select("book_id", "span_id", "concept").distinct()
     return wanted.join(dictionary.select("concept"), "concept", "left_anti").groupBy("book_id", "concept").agg(F.count("*").alias("n"))
 
 

@@ -22,21 +22,33 @@ def follow(edges: DataFrame, most: int = 50) -> DataFrame:
     return both_ways(edges).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, max_edges: int = 10, cut_every: int = 4) -> DataFrame:
-    """Least weight from each seed to each chunk by at most max_edges edges: (seed, chunk_id, weight, path).
-
-    One relaxation a round: the frontier joins the edges, and the least weight by (seed, chunk) stays; equal weights keep
-    the path that comes first. The plan is cut every few rounds by a table in the shared folder.
+def shortest_paths(edges: DataFrame, seeds: DataFrame, max_edges: int = 10, targets: DataFrame | None = None) -> DataFrame:
+    """Least weight from each seed to each chunk (of targets, where given) by at most max_edges edges: (seed, chunk_id,
+    weight, path).
+
+    One relaxation a round: only what the round before improved joins the edges, and the least weight by (seed, chunk)
+    stays; equal weights keep the path that comes first. A round is a table in the shared folder; the rounds end when one
+    improves nothing. With targets, chunks with a single neighbour that are neither seeds nor targets are left out: no
+    path between others leads through them.
     """
     steps = both_ways(edges).groupBy("chunk_id", "other_id").agg(F.min(path_weight(F.col("confidence"))).alias("step"))
-    reached = seeds.select(F.col("chunk_id").alias("seed"), "chunk_id", F.lit(0).cast("long").alias("weight"), F.array("chunk_id").alias("path"))
-    for k in range(max_edges):
-        further = reached.join(steps, "chunk_id").select("seed", F.col("other_id").alias("chunk_id"), (F.col("weight") + F.col("step")).alias("weight"), F.array_append("path", F.col("other_id")).alias("path"))
-        best = reached.unionByName(further).groupBy("seed", "chunk_id").agg(F.min(F.struct("weight", "path")).alias("b"))
-        reached = best.select("seed", "chunk_id", "b.weight", "b.path")
-        if (k + 1) % cut_every == 0 and k + 1 < max_edges:
-            reached = stage(reached, "paths")
-    return reached
+    if targets is not None:
+        steps = stage(steps, "steps")
+        inner = steps.filter("chunk_id <> other_id").groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id")
+        kept = inner.union(seeds.select("chunk_id")).union(targets.select("chunk_id")).distinct()
+        steps = stage(steps.join(kept, "chunk_id", "left_semi").join(kept.withColumnRenamed("chunk_id", "other_id"), "other_id", "left_semi"), "steps")
+    reached = seeds.select(F.col("chunk_id").alias("seed"), "chunk_id", F.struct(F.lit(0).cast("long").alias("weight"), F.array("chunk_id").alias("path")).alias("best"), F.lit(True).alias("fresh"))
+    for _ in range(max_edges):
+        ahead = F.struct((F.col("best.weight") + F.col("step")).alias("weight"), F.array_append("best.path", F.col("other_id")).alias("path"))
+        further = reached.filter("fresh").join(steps, "chunk_id").select("seed", F.col("other_id").alias("chunk_id"), ahead.alias("best"), F.lit(None).cast(reached.schema["best"].dataType).alias("old"))
+        every = reached.select("seed", "chunk_id", "best", F.col("best").alias("old")).unionByName(further)
+        reached = every.groupBy("seed", "chunk_id").agg(F.min("best").alias("best"), F.min("old").alias("old"))
+        reached = stage(reached.select("seed", "chunk_id", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")), "paths")
+        if not reached.filter("fresh").limit(1).count():
+            break
+    if targets is not None:
+        reached = reached.join(targets.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return reached.select("seed", "chunk_id", "best.weight", "best.path")
 
 
 def resolve_chains(nodes: DataFrame, following: DataFrame, max_hops: int = 8) -> DataFrame:
@@ -58,9 +70,9 @@ def page_view(chunks: DataFrame, spans: DataFrame, edges: DataFrame) -> DataFram
     """Chunks of all pages with their spans and best edges: of edges with one direction, relation and other chunk the
     best one is shown, in order of weight."""
     per = spans.groupBy("chunk_id").agg(F.count("*").alias("n_spans"), F.sum((F.col("search_class") != "N").cast("int")).alias("n_open"))
-    w = Window.partitionBy("chunk_id", "direction", "relation", "other_id").orderBy(path_weight(F.col("confidence")), path_weight(F.col("relevance")), "edge_id")
-    best = both_ways(edges).withColumn("rank", F.row_number().over(w)).filter("rank = 1")
-    shown = F.struct(path_weight(F.col("confidence")).alias("weight"), "edge_id", "direction", "relation", "other_id")
+    order = F.struct(path_weight(F.col("confidence")).alias("weight"), path_weight(F.col("relevance")).alias("less"), "edge_id")
+    best = both_ways(edges).groupBy("chunk_id", "direction", "relation", "other_id").agg(F.min(order).alias("b"))
+    shown = F.struct("b.weight", "b.edge_id", "direction", "relation", "other_id")
     linked = best.groupBy("chunk_id").agg(F.array_sort(F.collect_list(shown)).alias("edges"))
     return chunks.join(per, "chunk_id", "left").join(linked, "chunk_id", "left")
 

@@ -88,7 +88,15 @@ def best_targets(citing: DataFrame, chunks: DataFrame, least: float = 1.0) -> Da
     usable = usable.withColumn("concepts", C.concepts_of_all(F.col("tags"))).withColumn("starts", start(F.split("low", "[^a-z0-9]+")))
     citing = citing.filter(F.size("tags") > 0).select("span_id", F.col("target_book").alias("book_id"), F.array_sort("tags").alias("own"))
     asks = citing.select("book_id", "own").distinct().withColumn("own_concepts", C.concepts_of_all(F.col("own")))
-    tag_starts = start(F.flatten(F.transform("own", lambda t: F.split(F.lower(t), "_"))))
+
+    def key_word(tag):
+        """Of a tag's words of four letters or more the longest but the first one, if there are others: a text that bears the
+        tag out has a word with that beginning."""
+        words = F.filter(F.split(F.lower(tag), "_"), lambda w: F.length(w) >= 4)
+        later = F.when(F.size(words) > 1, F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+        return F.array_max(F.transform(later, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+    tag_starts = start(F.array_compact(F.transform("own", key_word)))
     key = lambda mark, a: F.transform(a, lambda x: F.concat(F.lit(mark), x))
     left = asks.select("own", "book_id", F.explode(F.concat(key("c:", F.col("own_concepts")), key("w:", tag_starts))).alias("k"))
     right = usable.select("chunk_id", "book_id", F.explode(F.concat(key("c:", F.col("concepts")), key("w:", F.col("starts")))).alias("k"))
@@ -114,11 +122,11 @@ def lexical_edges(targets: DataFrame, spans: DataFrame) -> DataFrame:
     """One edge for each (source book, target chunk): the winner by confidence, relation, score, earlier sentence, then id;
     the other spans are related spans. spans (span_id, book_id, role, sentence)."""
     rows = targets.join(spans, "span_id").withColumn("relation", S.role_relation(F.col("role"))).withColumn("confidence", S.overlap_letter(F.col("overlap")))
-    w = Window.partitionBy("book_id", "chunk_id").orderBy(F.desc(S.low_is_best_rank(F.col("confidence"))), F.desc(S.relation_rank(F.col("relation"))), F.desc("score"), "sentence", "span_id")
-    ranked = rows.withColumn("r", F.row_number().over(w))
-    win = F.max(F.when(F.col("r") == 1, F.struct("span_id", "relation", "confidence", "score", "target_book"))).alias("w")
-    others = F.array_sort(F.collect_list(F.when(F.col("r") > 1, F.col("span_id")))).alias("related")
-    return ranked.groupBy("book_id", "chunk_id").agg(win, others).select("book_id", "chunk_id", "w.*", "related")
+    # the winner is a minimum of structs, summed up before the shuffle; nothing is sorted by target
+    order = F.struct((-S.low_is_best_rank(F.col("confidence"))).alias("c"), (-S.relation_rank(F.col("relation"))).alias("r"), (-F.col("score")).alias("s"), "sentence", "span_id")
+    win = F.min_by(F.struct("span_id", "relation", "confidence", "score", "target_book"), order).alias("w")
+    made = rows.groupBy("book_id", "chunk_id").agg(win, F.array_sort(F.collect_list("span_id")).alias("all"))
+    return made.select("book_id", "chunk_id", "w.*", F.array_remove("all", F.col("w.span_id")).alias("related"))
 
 
 def funnel_edges(found: DataFrame, verdicts: DataFrame, shown: int = 12) -> DataFrame:

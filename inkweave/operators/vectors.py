@@ -1,7 +1,9 @@
-"""Nearest vectors: exact search of a stated query set against all rows, in blocks."""
+"""Nearest vectors: exact search of a stated query set against all rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,36 +16,82 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(y, size, out=np.zeros_like(y), where=size > 0)
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int, within: str | None = None, least: float | None = None, row_block: int = 20_000, query_block: int = 4_096) -> DataFrame:
+def _best(cosine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest finite entries of each row and their ids ([row, entry] or one for all rows), smaller ids first on a
+    tie; missing ones are -inf."""
+    ids = np.broadcast_to(ids, cosine.shape)
+    if cosine.shape[1] > 4 * k:
+        least = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+        wide = int((cosine >= least[:, None]).sum(axis=1).max())  # ties at the border may be more than k
+        at = np.argpartition(-cosine, min(wide, cosine.shape[1] - 1), axis=1)[:, :wide]
+        cosine, ids = np.take_along_axis(cosine, at, axis=1), np.take_along_axis(ids, at, axis=1)
+    order = np.lexsort((ids, -cosine), axis=1)[:, :k]
+    return np.take_along_axis(cosine, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def _cosines(queries: pd.DataFrame, unit: np.ndarray, rows: pd.DataFrame, least: float | None, within: str | None, apart: str | None) -> np.ndarray:
+    found = unit @ _unit(rows["vector"]).T
+    same = lambda c: queries[c].to_numpy()[:, None] == rows[c].to_numpy()[None, :]
+    found[queries["query_id"].to_numpy()[:, None] == rows["id"].to_numpy()[None, :]] = -np.inf
+    if within:
+        found[~same(within)] = -np.inf
+    if apart:
+        found[same(apart)] = -np.inf
+    if least is not None:
+        found[found < least] = -np.inf
+    return found
+
+
+def _listed(queries: pd.DataFrame, cosine: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), cosine.shape[1]), "id": ids.ravel(), "cosine": cosine.ravel()})
+    return out[np.isfinite(out["cosine"])]
+
+
+#: Queries that are sent to all tasks at once: at most so many numbers.
+SENT = 4_000_000
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int, within: str | None = None, apart: str | None = None, least: float | None = None, row_block: int = 20_000, query_block: int = 4_096, sent: int = SENT) -> DataFrame:
     """(query_id, id, cosine, rank): the k rows (id, vector) with the largest cosine to each query (query_id, vector).
 
-    Rows and queries are dealt to blocks by a hash; each pair of blocks is one matrix product, which hands on k rows a
-    query; a window ranks what the blocks found. A query never meets its own id. ``within`` names a column that both sides
-    must share; ``least`` drops smaller cosines. Ties go to the smaller id. Blocks hold about row_block rows and
-    query_block queries, so memory doesn't follow the tables.
+    A query never meets its own id. ``within`` names a column that both sides must share, ``apart`` one in which they must
+    differ; ``least`` drops smaller cosines. Ties go to the smaller id.
+
+    Queries of at most ``sent`` numbers in all are sent to every task, which scans its rows once and hands on k rows a query.
+    More of them are dealt to blocks by a hash, as the rows then are; each pair of blocks is one matrix product. Memory
+    follows the blocks in either case. A window ranks what was found.
     """
-    row_blocks, query_blocks = max(4, -(-rows.count() // row_block)), max(1, -(-queries.count() // query_block))
-    keys = [within] if within else []
-    dealt_rows = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    dealt_queries = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-
-    def product(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        ids, names = r["id"].to_numpy(), q["query_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, found = ids[order], _unit(q["vector"]) @ _unit(r["vector"].iloc[order]).T
-        found[names[:, None] == ids[None, :]] = -np.inf
-        if least is not None:
-            found[found < least] = -np.inf
-        best = np.argsort(-found, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(found, best, axis=1)
-        out = pd.DataFrame({"query_id": np.repeat(names, best.shape[1]), "id": ids[best].ravel(), "cosine": score.ravel()})
-        return out[np.isfinite(out["cosine"])]
-
-    pairs = dealt_queries.groupBy("_q", "_r", *keys).cogroup(dealt_rows.groupBy("_q", "_r", *keys)).applyInPandas(product, "query_id long, id long, cosine double")
-    if within:
-        pairs = pairs.dropDuplicates(["query_id", "id"])
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    schema = "query_id long, id long, cosine double"
+    if size <= sent:
+        few = queries.toPandas()  # bounded above
+        shared = rows.sparkSession.sparkContext.broadcast(few)
+
+        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked = shared.value
+            best, unit = None, _unit(asked["vector"]) if len(asked) else None
+            for f in frames:
+                for _, part in f[f["vector"].notna()].groupby(f["vector"].str.len()):
+                    if unit is None or part["vector"].iloc[0].shape[0] != unit.shape[1]:
+                        continue
+                    found = _best(_cosines(asked, unit, part, least, within, apart), part["id"].to_numpy()[None, :], k)
+                    best = found if best is None else _best(*(np.concatenate(x, axis=1) for x in zip(best, found, strict=True)), k)
+            if best is not None:
+                yield _listed(asked, *best)
+
+        pairs = rows.mapInPandas(scan, schema)
+    else:
+        row_blocks, query_blocks = max(4, -(-rows.count() // row_block)), max(1, -(-n // query_block))
+        dealt_rows = rows.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(row_blocks)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        dealt_queries = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+        keys = ["_q", "_r", *([within] if within else [])]
+
+        def product(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+            return _listed(q, *_best(_cosines(q, _unit(q["vector"]), r, least, None, apart), r["id"].to_numpy()[None, :], k))
+
+        pairs = dealt_queries.groupBy(*keys).cogroup(dealt_rows.groupBy(*keys)).applyInPandas(product, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -28,17 +28,19 @@ def _chunk_spans(spark, sf):
     return spans(spark, sf).withColumn("chunk_id", F.col("page_number") * 1000 + F.floor((F.col("sentence") - 1) / 8))
 
 
-_ROUNDS = 3
-_PATHS = f"WITH st AS MATERIALIZED (SELECT chunk_id, other_id, min({_W}) AS step FROM {_BOTH} GROUP BY 1, 2), r0 AS (SELECT chunk_id AS seed, chunk_id, 0 AS weight FROM {DUCK_CHUNKS} WHERE page_number % 100 = 0 AND chunk_index = 0)"
+_ROUNDS = 10
+_PATHS = f"""WITH st AS MATERIALIZED (SELECT chunk_id, other_id, min({_W}) AS step FROM {_BOTH} GROUP BY 1, 2), sd AS MATERIALIZED (SELECT chunk_id FROM {DUCK_CHUNKS} WHERE page_number % 100 = 0 AND chunk_index = 0),
+ r0 AS (SELECT chunk_id AS seed, chunk_id, {{'w': 0::bigint, 'p': [chunk_id]}} AS b FROM sd)"""
 for _k in range(_ROUNDS):
-    _PATHS += f", r{_k + 1} AS MATERIALIZED (SELECT seed, chunk_id, min(weight) AS weight FROM (SELECT * FROM r{_k} UNION ALL SELECT seed, other_id, weight + step FROM r{_k} JOIN st USING (chunk_id)) GROUP BY 1, 2)"
+    _PATHS += f", r{_k + 1} AS MATERIALIZED (SELECT seed, chunk_id, min(b) AS b FROM (SELECT * FROM r{_k} UNION ALL SELECT seed, other_id, {{'w': (b.w + step)::bigint, 'p': list_append(b.p, other_id)}} FROM r{_k} JOIN st USING (chunk_id)) GROUP BY 1, 2)"
 
 
-@query("shortest_path", "I4", f"{_PATHS} SELECT seed, chunk_id, weight FROM r{_ROUNDS}")
+@query("shortest_path", "I4", f"{_PATHS} SELECT seed, chunk_id, b.w AS weight, array_to_string(b.p, ',') AS path FROM r{_ROUNDS} SEMI JOIN sd USING (chunk_id)")
 def shortest_path(spark, sf):
-    """From the first chunk of every page whose number is divisible by 100, by three edges at most."""
-    seeds = chunks(spark, sf).filter("page_number % 100 = 0 and chunk_index = 0").select("chunk_id")
-    return graph.shortest_paths(edges(spark, sf), seeds, _ROUNDS).select("seed", "chunk_id", "weight")
+    """Between the first chunks of all pages whose number is divisible by 100, by ten edges at most."""
+    asked = chunks(spark, sf).filter("page_number % 100 = 0 and chunk_index = 0").select("chunk_id")
+    found = graph.shortest_paths(edges(spark, sf), asked, _ROUNDS, asked)
+    return found.select("seed", "chunk_id", "weight", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query("verify_quote", "I5", rf"""WITH p AS (SELECT doc_id, text, string_split_regex(text, '\s+') AS w FROM documents), n AS (SELECT doc_id, lower(regexp_replace(text, '\s+', ' ', 'g')) AS t, lower(array_to_string(w[3:9], '  ')) || CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE '' END AS quote FROM p)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkweave.functions import concepts as C
+from inkweave.functions import text as T
 from inkweave.operators import dictionary as D
 from inkweave.operators import vectors as V
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_SPANS, chunks, documents, pick, q, read, spans, tag_of
-from inkweave.plans.text_queries import duck_concepts
+from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_SPANS, chunks, documents, duck_pick, pick, q, read, spans, tag_of
+from inkweave.plans.text_queries import _DUCK_SYNONYMS, _HYPHEN, _SNAKE, _TOKENS, duck_concepts
+from inkweave.sources.tables import stage
 
 _CID = "page_number * 1000 + (sentence - 1) // 8"
 
@@ -62,11 +64,19 @@ w AS (SELECT DISTINCT span_id, s.chunk_id, unnest(cs) AS concept FROM (SELECT sp
 SELECT span_id, target_chunk FROM (SELECT DISTINCT w.span_id, w.chunk_id, b.chunk_id AS target_chunk FROM w JOIN best b USING (concept) WHERE w.chunk_id <> b.chunk_id) WHERE NOT (span_id % 3 = 0)""")
 def definition_links(spark, sf):
     """Every third span has its edges already."""
-    made, spans_ = _dictionary(spark, sf), _spans(spark, sf)
+    made, spans_ = stage(_dictionary(spark, sf), "dictionary"), _spans(spark, sf)  # a row for each concept, read twice
     existing = D.links(spans_.filter("span_id % 3 = 0"), made).select("span_id", "target_chunk")
     return D.links(spans_, made, existing).select("span_id", "target_chunk")
 
 
+@query("definition_gather", "F9", f"""WITH {_CANDS}, {_BEST}, mp AS (SELECT tag, {duck_concepts('tag')} AS cs FROM (SELECT DISTINCT unnest(tags) AS tag FROM sp)),
+tg2 AS (SELECT DISTINCT span_id, chunk_id, role, signed, unnest(cs) AS concept FROM (SELECT span_id, chunk_id, role, contains(t, ':=') AS signed, unnest(tags) AS tag FROM sp) JOIN mp USING (tag) WHERE role = 'definition' OR signed),
+al AS (SELECT chunk_id, structural_type FROM {DUCK_CHUNKS}), sk AS (SELECT concept, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY span_id) AS k FROM tg2 WHERE role = 'definition') WHERE k <= 20), sg AS (SELECT concept, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY span_id) AS k FROM tg2 WHERE signed) WHERE k <= 10)
+SELECT concept, chunk_id, min(tier) AS tier FROM (SELECT concept, chunk_id, tier FROM best UNION ALL SELECT concept, chunk_id, CASE WHEN structural_type = 'definition' THEN 0 ELSE 1 END FROM sk JOIN al USING (chunk_id) UNION ALL SELECT concept, chunk_id, 1 FROM sg) GROUP BY 1, 2""")
+def definition_gather(spark, sf):
+    return D.gather(chunks(spark, sf), _spans(spark, sf), _dictionary(spark, sf))
+
+
 @query("missing_definitions", "F13", f"""WITH {_CANDS}, {_BEST}, mp AS (SELECT tag, {duck_concepts('tag')} AS cs FROM (SELECT DISTINCT unnest(tags) AS tag FROM sp)),
 w AS (SELECT DISTINCT span_id, book_id, unnest(cs) AS concept FROM (SELECT span_id, book_id, unnest(tags) AS tag FROM sp WHERE gap_type = 'definition' OR search_class = 'L') JOIN mp USING (tag))
 SELECT book_id, concept, count(*) AS n FROM w WHERE concept NOT IN (SELECT concept FROM best WHERE concept NOT IN ('bcfw', 'splitting', 'hidden_zeros')) GROUP BY 1, 2""")
@@ -74,11 +84,15 @@ def missing_definitions(spark, sf):
     return D.missing(_spans(spark, sf), _dictionary(spark, sf).filter("concept not in ('bcfw', 'splitting', 'hidden_zeros')"))
 
 
+_SYNONYM = f"coalesce({_DUCK_SYNONYMS}[{_HYPHEN}], {_HYPHEN})"
 _ASKED = ["Hidden Zeros", "BCFW shifts", "non-adjacent Britto–Cachazo shifts", "soft limit check", "qft", "nothing known", "the scaffolding theorem", "Kinematic Mesh!", "UV scaling law", "string amplitudes"]
-_FOUND = [["hidden_zeros:0"], ["bcfw:0"], ["bcfw:0"], ["soft_theorem:0"], [], [], ["scaffolding:0"], ["kinematic_mesh:0"], ["uv_scaling:0"], ["string_amplitude:0"]]
 
 
-@query("concept_resolve", "F8", f"WITH v AS (SELECT doc_id, unnest([{', '.join('[' + ', '.join(q(x) for x in f) + ']::varchar[]' for f in _FOUND)}][doc_id % 10 + 1]) AS x FROM documents) SELECT doc_id AS query_id, split_part(x, ':', 1) AS concept, split_part(x, ':', 2)::int AS stage FROM v")
+@query("concept_resolve", "F8", f"""WITH known AS (SELECT unnest([{', '.join(q(c) for c in C.CONCEPTS)}]) AS concept), texts AS (SELECT DISTINCT t FROM (SELECT {duck_pick(_ASKED, 'doc_id')} AS t FROM documents)),
+f AS (SELECT t, {_SNAKE} AS snake, {_SYNONYM} AS synonym, list_filter({_TOKENS}, lambda w: NOT list_contains([{', '.join(q(w) for w in T.WEAK_TOKENS)}], w)) AS words FROM texts),
+n AS (SELECT DISTINCT t, stage, concept FROM (SELECT t, 0 AS stage, unnest({duck_concepts('snake')}) AS concept FROM f UNION ALL SELECT t, 1, unnest({duck_concepts("replace(synonym, ' ', '_')")}) FROM f UNION ALL SELECT t, 2, unnest({duck_concepts('w')}) FROM (SELECT t, unnest(words) AS w FROM f)) JOIN known USING (concept)),
+b AS (SELECT * EXCLUDE (least_stage) FROM (SELECT *, min(stage) OVER (PARTITION BY t) AS least_stage FROM n) WHERE stage = least_stage)
+SELECT doc_id AS query_id, concept, stage FROM documents JOIN b ON b.t = {duck_pick(_ASKED, 'doc_id')}""")
 def concept_resolve(spark, sf):
     queries = documents(spark, sf).select(F.col("doc_id").alias("query_id"), pick(_ASKED, F.col("doc_id")).alias("text"))
     names = spark.createDataFrame([(c,) for c in C.CONCEPTS], "concept string")

@@ -141,7 +141,7 @@ def lexical_edges(spark, sf):
 _VERDICT = "CASE WHEN query_id % 500 = 200 THEN 'x' ELSE chr((97 + query_id // 100 % 12)::int) END || 'e' || chr((97 + query_id // 100 * 7 % 26)::int) || chr((97 + (query_id // 100 * 11 + 9) % 26)::int)"
 
 
-@query("funnel_edges", "G16 G18 G19", f"""WITH {_PAIRS}, f AS ({_ranked('pr', 25)}), v AS (SELECT DISTINCT query_id, {_VERDICT} AS v FROM f)
+@query("funnel_edges", "G16 G18", f"""WITH {_PAIRS}, f AS ({_ranked('pr', 25)}), v AS (SELECT DISTINCT query_id, {_VERDICT} AS v FROM f)
 SELECT query_id, id, v[3] AS confidence, v[4] AS relevance FROM f JOIN v USING (query_id) WHERE v[1] <> 'x' AND rank = ascii(v[1]) - 96 AND v[3] >= 'f' AND v[4] >= 'f' AND ((ascii(v[3]) - 96.5) / 26) * ((ascii(v[4]) - 96.5) / 26) >= 0.10""")
 def funnel_edges(spark, sf):
     found = V.top_k(_rows(spark, sf).drop("label"), _asked(spark, sf).drop("label"), 25)
@@ -156,13 +156,10 @@ def page_tag_context(spark, sf):
     return M.page_tags(chunks(spark, sf)).select("page_number", "tags")
 
 
-_NOTE = "query_id % 300 = 0"
-
-
-@query("note_match", "G21 G5", f"WITH {_PAIRS}, f AS ({_ranked('pr', 25, _NOTE + ' AND id % 2 = 1')}), g AS (SELECT *, max(cosine) OVER (PARTITION BY query_id) AS best FROM f) SELECT query_id, id, rank FROM g WHERE best >= 0.25")
+@query("note_match", "G21 G5", f"WITH {_PAIRS}, f AS ({_ranked('pr', 25, 'la <> lb')}), g AS (SELECT *, max(cosine) OVER (PARTITION BY query_id) AS best FROM f) SELECT query_id, id, rank FROM g WHERE best >= 0.25")
 def note_match(spark, sf):
-    """Chunks of the notes (every third asking vector) against another book (odd vectors)."""
-    found = V.top_k(_rows(spark, sf).filter("id % 2 = 1").drop("label"), _asked(spark, sf).filter("query_id % 300 = 0").drop("label"), 25)
+    """All asking vectors as chunks of notes, against the vectors of all other books; a vector's book is its label."""
+    found = V.top_k(_rows(spark, sf), _asked(spark, sf), 25, apart="label")
     return V.above_floor(found, 0.25).select("query_id", "id", "rank")
 
 

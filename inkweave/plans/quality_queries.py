@@ -23,10 +23,10 @@ def distribution_summary(spark, sf):
     return _rounded(documents(spark, sf).groupBy("source").agg(*Q.summary(F.col("n_chars"))), "mean", "median", "stddev")
 
 
-@query("book_stats", "K5", f"""WITH c AS (SELECT page_number, count(*) AS n FROM {DUCK_CHUNKS} WHERE page_number % 4 <> 1 GROUP BY 1), p AS (SELECT source, doc_id, strlen(text) AS b, coalesce(n, 0) AS n FROM documents LEFT JOIN c ON page_number = doc_id)
+@query("book_stats", "K5", f"""WITH c AS (SELECT page_number, count(*) AS n FROM {DUCK_CHUNKS} GROUP BY 1), p AS (SELECT source, doc_id, strlen(text) AS b, coalesce(n, 0) AS n FROM documents LEFT JOIN c ON page_number = doc_id)
 SELECT source, {_SUMMARY.format("p.n")}, sum(b)::bigint AS bytes, round(count(*) * 0.012, 6) AS cost FROM p GROUP BY 1""")
 def book_stats(spark, sf):
-    per = chunks(spark, sf).filter("page_number % 4 <> 1").groupBy(F.col("page_number").alias("doc_id")).agg(F.count("*").alias("k"))
+    per = chunks(spark, sf).groupBy(F.col("page_number").alias("doc_id")).agg(F.count("*").alias("k"))
     p = documents(spark, sf).select("source", "doc_id", F.octet_length("text").alias("b")).join(per, "doc_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
     made = p.groupBy("source").agg(*Q.summary(F.col("k")), F.sum("b").alias("bytes"), (F.count("*") * 0.012).alias("cost"))
     return _rounded(made, "mean", "median", "stddev", "cost")
@@ -83,10 +83,10 @@ def audit_metrics(spark, sf):
     return e.groupBy("relation").agg(F.count("*").alias("n"), is_("correct").alias("correct"), is_("wrong").alias("wrong"), F.round(is_("correct") / F.count("*"), 6).alias("precision"))
 
 
-@query("note_counts", "K1", "SELECT d.source, coalesce(n, 0) AS n, last FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN (SELECT source, count(*) AS n, max(doc_id) AS last FROM documents WHERE doc_id % 40 < 20 AND n_chars > 1000 AND lang = 'en' GROUP BY 1) USING (source)")
+@query("note_counts", "K1", "SELECT d.source, coalesce(n, 0) AS n, last FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN (SELECT source, count(*) AS n, max(doc_id) AS last FROM documents WHERE n_chars > 1000 AND lang = 'en' GROUP BY 1) USING (source)")
 def note_counts(spark, sf):
     docs = documents(spark, sf)
-    per = docs.filter("doc_id % 40 < 20 and n_chars > 1000 and lang = 'en'").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    per = docs.filter("n_chars > 1000 and lang = 'en'").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
     return docs.select("source").distinct().join(per, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"), "last")
 
 
@@ -213,8 +213,8 @@ _OFFSETS = f"""of AS (WITH RECURSIVE d AS (SELECT doc_id, text, {duck_sentences(
 
 
 def _placed(spark, sf):
-    d = documents(spark, sf).withColumn("s", T.sentences(F.col("text")))
-    at = d.select(F.col("doc_id").alias("page_id"), F.posexplode(T.sentence_offsets(F.col("text"), F.col("s"))).alias("k", "x"))
+    d = documents(spark, sf)
+    at = d.select(F.col("doc_id").alias("page_id"), F.posexplode(T.sentence_offsets(F.col("text"))).alias("k", "x"))
     return at.select("page_id", (F.col("page_id") * 10_000 + F.col("k") + 1).alias("span_id"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
 
 
@@ -298,12 +298,12 @@ def empty_page_select(spark, sf):
     return p.filter((F.coalesce("html", F.lit("")) == "") | (F.length("html") < 1500) | F.col("url").rlike("(?i)EDU")).select("page_id")
 
 
-@query("figure_page_select", "A19 A17", "SELECT DISTINCT page_id FROM (SELECT page_id FROM pages WHERE contains(html, '<nav') UNION ALL SELECT page_id FROM pages WHERE page_id % 7 = 0)")
+@query("figure_page_select", "A19 A17", "SELECT DISTINCT page_id FROM (SELECT page_id FROM pages WHERE contains(html, '<nav') UNION ALL SELECT page_id FROM pages WHERE page_id % 7 = 0 AND page_id % 14 <> 0)")
 def figure_page_select(spark, sf):
     p = read(spark, sf, "pages")
     names = p.filter("page_id % 7 = 0").select(F.concat(F.lit("x/page-"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
-    none = p.limit(0).select(F.col("page_id").cast("int").alias("page_number"))
-    on_disk = ingest.unprocessed_pages(names, none).select(F.col("page_number").cast("long").alias("page_id"))
+    done = p.filter("page_id % 14 = 0").select(F.col("page_id").cast("int").alias("page_number"))
+    on_disk = ingest.unprocessed_pages(names, done).select(F.col("page_number").cast("long").alias("page_id"))
     return p.filter(F.contains("html", F.lit("<nav"))).select("page_id").union(on_disk).distinct()
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,11 +15,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stage(df: DataFrame, what: str) -> DataFrame:
     """df written to the folder that driver and executors share (spark.checkpoint.dir) and read again: for loops."""
-    import tempfile
-    import uuid
-
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkweave-")
-    path = f"{folder.rstrip('/')}/inkweave-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below spark.checkpoint.dir; it goes when the application ends.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error, since executors would each
+    write to their own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="inkweave-")
+        spark.sparkContext.setCheckpointDir(base)
+    folder = f"{base.rstrip('/')}/inkweave-{spark.sparkContext.applicationId}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return folder

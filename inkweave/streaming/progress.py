@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkweave.sources.tables import shared_folder
+
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, event_type, n, total): works on a stream and on a table alike."""
@@ -23,8 +24,7 @@ def run_once(spark: SparkSession, path: str, width: str = "1 hour") -> DataFrame
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         source, path = source.option("pathGlobFilter", place.getName()), place.getParent().toString()
     events = source.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkweave-")).rstrip("/")
-    out = f"{shared}/inkweave-stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def store(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
