@@ -7,7 +7,8 @@ permutation of all bins given by a start and an odd step that come from a hash o
 each bin, two hexadecimal digits, are the fingerprint. Chance agreement of so few bits is taken out of the likeness.
 
 Equal texts have equal fingerprints; a text without words has a fingerprint of zeros, and two such texts have likeness
-1. Null texts count as empty. Ties of doc_id are ordered by text; a null id comes last in descending order. A single
+1. Null texts count as empty. Ties of doc_id are ordered by a hash of the text, then by text; a null id comes last in
+descending order. A single
 document is followed by itself. An empty table gives no rows. Only doc_id and text are read. Very long texts cost
 n log n in their words and are held as one array, as any row is.
 """
@@ -115,38 +116,57 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance))
 
 
+def _ranges(docs: DataFrame, docs_per_range: int, most_ranges: int) -> Column:
+    """The number of a row's range, ascending with (doc_id, _tie), nulls first; about docs_per_range rows have one.
+
+    Up to 2,048 quantiles of the ids part them; what lies between two is divided evenly. An id that is several quantiles,
+    as a very frequent one is, and rows without an id are divided by their hash, so neither is a burden to one task.
+    """
+    n, missing = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    quantiles = min(2048, max(16, n // docs_per_range))
+    at = docs.agg(F.percentile_approx("doc_id", [i / quantiles for i in range(quantiles + 1)], 40_000)).first()[0] or [0]
+    parts = max(1, min(most_ranges // (3 * quantiles), -(-n // (quantiles * docs_per_range))))
+    without = max(1, min(most_ranges // 3, -(-missing // docs_per_range)))
+    low, begins, ties, base = sorted(set(at)), [], [], without + 1
+    for value in low:
+        begins.append(base)
+        ties.append(max(1, (at.count(value) - 1) * parts))
+        base += ties[-1] + parts
+    listed = lambda xs, kind: F.expr(f"array({', '.join(f'{x}{kind}' for x in xs)})")
+    share = F.shiftrightunsigned("_tie", 11) / F.lit(float(2**53))
+
+    def place(k):
+        value, begin, tied = F.get(listed(low, "L"), k), F.get(listed(begins, ""), k), F.get(listed(ties, ""), k)
+        width = F.coalesce(F.get(listed(low, "L"), k + 1).cast("double") - value.cast("double"), F.lit(1.0))
+        between = F.least(F.lit(parts - 1), F.floor((F.col("doc_id").cast("double") - value.cast("double")) / width * parts))
+        return F.when(k < 0, F.lit(without)).when(F.col("doc_id") == value, begin + F.floor(share * tied)).otherwise(begin + tied + between)
+
+    found = let(F.size(F.filter(listed(low, "L"), lambda x: x <= F.col("doc_id"))) - 1, place)
+    return F.when(F.col("doc_id").isNull(), F.floor(share * without)).otherwise(found).cast("int")
+
+
 def with_next(docs: DataFrame, columns: dict, docs_per_range: int = 500, most_ranges: int = 65_536) -> DataFrame:
     """docs (doc_id, text) with text, columns (name -> Column made of text) and, as next_<name>, the next document's.
 
-    The next document is that with the next smaller doc_id; after the last comes the first. Ids are dealt to ranges along
-    an estimate of their distribution (256 quantiles, evenly divided), so no task sees all rows. Each range also gets the
-    first row of the range below it. The table of ranges that is broadcast has at most most_ranges rows.
+    The next document is that with the next smaller doc_id; after the last comes the first. Ids are dealt to ranges, so no
+    task sees all rows. Each range also gets the first rows of the range below it. The table of ranges that is broadcast
+    has at most most_ranges rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / 256 for i in range(257)], 20_000).alias("at")).first()
-    at = sorted(set(known["at"] or [0]))
-    parts = max(4, min(most_ranges // 256, -(-known["n"] // (256 * docs_per_range))))
-    # the quantile below the id, and the place between it and the next
-    low = F.expr(f"array({', '.join(f'{x}L' for x in at)})")
-    q = F.greatest(F.lit(1), F.size(F.filter(low, lambda x: x <= F.col("doc_id"))))
-    begin = F.get(low, q - 1).cast("double")
-    width = F.coalesce(F.get(low, q).cast("double") - begin, F.lit(1.0))
-    within = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - begin) / width * parts).cast("int")))
-    ranged = docs.withColumn("_range", F.coalesce(q * parts + within, F.lit(0)))
-
-    heads = ranged.groupBy("_range").agg(F.max("doc_id").alias("_head"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    ranged = docs.withColumn("_range", _ranges(docs, docs_per_range, most_ranges))
+    heads = ranged.groupBy("_range").agg(F.max(F.struct("doc_id", "_tie")).alias("_head"))
     order = Window.orderBy("_range")  # over the ranges, whose number is bounded
     above = F.coalesce(F.lead("_range").over(order), F.first("_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select("_range", "_head", above.alias("_above"))
     ranged = ranged.join(F.broadcast(heads), "_range")
     own = F.struct(F.col("_range").alias("_at"), F.lit(False).alias("_guest"))
     guest = F.struct(F.col("_above").alias("_at"), F.lit(True).alias("_guest"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("_head")), F.array(own, guest)).otherwise(F.array(own))
-    dealt = ranged.select("doc_id", "text", F.explode(places).alias("_place")).select("doc_id", "text", "_place.*")
+    first = F.col("doc_id").eqNullSafe(F.col("_head.doc_id")) & (F.col("_tie") == F.col("_head._tie"))
+    dealt = ranged.select("doc_id", "text", "_tie", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("_place")).select("doc_id", "text", "_tie", "_place.*")
     made = dealt.repartition("_at").select("*", *[c.alias(name) for name, c in columns.items()])
-    down = Window.partitionBy("_at").orderBy("_guest", F.desc_nulls_last("doc_id"), "text")
+    down = Window.partitionBy("_at").orderBy("_guest", F.desc_nulls_last("doc_id"), F.desc("_tie"), "text")
     followed = made.select("*", *[F.lead(name).over(down).alias(f"next_{name}") for name in ("text", *columns)])
-    return followed.filter(~F.col("_guest")).drop("_at", "_guest")
+    return followed.filter(~F.col("_guest")).drop("_at", "_guest", "_tie")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
