@@ -118,3 +118,52 @@ def figure_boxes(pages: DataFrame, width: int, height: int, pad: float = 1) -> D
         F.least(F.lit(height), pixels(high(1, 3) + pad, height)).alias("bottom"),
         caption.alias("caption"),
     )
+
+
+#: A judge's scores that end the search and that give a crop up, the attempts, how much each amplifies lines,
+#: the shares of a side that one attempt takes or adds at most, the least size of a crop and of one worth judging.
+GOOD_SCORE, POOR_SCORE, AMPLIFY = 95, 50, [2.5, 1.5, 1.0]
+MOST_SHRINK, MOST_GROWTH, LEAST_SIDE, WORTH_JUDGING = 0.40, 0.50, 60, 30
+
+
+def moved_sides(low, high, first, second):
+    """Two opposite sides after they move inwards by first and second (outwards where negative), within the shares above; the
+    crop doesn't shrink below its least size."""
+    size = high - low
+    first, second = (F.greatest(-size * MOST_GROWTH, F.least(d, size * MOST_SHRINK)) for d in (first, second))
+    wanted, spare = F.greatest(first, F.lit(0)) + F.greatest(second, F.lit(0)), F.greatest(size - LEAST_SIDE, F.lit(0))
+    share = F.when(wanted > spare, spare / wanted).otherwise(1.0)
+    inwards = lambda d: F.when(d > 0, d * share).otherwise(d)
+    return low + inwards(first), high - inwards(second)
+
+
+def judged_boxes(boxes: DataFrame, width: int, height: int, line: float = 25) -> DataFrame:
+    """boxes (page_id, figure, left, top, right, bottom, verdicts) with the best of the judged crops: (..., score, attempts,
+    abandoned).
+
+    verdicts is array<struct<score,above,below,left,right>> by attempt: a score, lines too many (or clipped, if negative)
+    above and below, pixels too many at the sides. An attempt crops, and unless it is good enough or without a score the
+    next one moves the sides as the verdict says.
+    """
+    sides = ["left", "top", "right", "bottom"]
+    whole = lambda c: F.floor(c + 0.5).cast("int")
+    rect = lambda left, top, right, bottom: F.struct(F.greatest(F.lit(0), whole(left)).alias("left"), F.greatest(F.lit(0), whole(top)).alias("top"), F.least(F.lit(width), whole(right)).alias("right"), F.least(F.lit(height), whole(bottom)).alias("bottom"))
+    start = rect(*[F.col(s) for s in sides])
+    begin = F.struct(start.alias("rect"), start.alias("best"), F.lit(None).cast("int").alias("score"), F.lit(0).alias("tries"), F.lit(False).alias("done"))
+    amplified = F.zip_with(F.slice("verdicts", 1, len(AMPLIFY)), F.array(*[F.lit(a) for a in AMPLIFY]), lambda v, a: F.struct(v.alias("v"), a.alias("by")))
+
+    def step(s, x):
+        r, v = s["rect"], x["v"]
+        small = F.least(r["right"] - r["left"], r["bottom"] - r["top"]) < WORTH_JUDGING
+        better = (s["tries"] == 0) | F.coalesce(v["score"] > F.coalesce(s["score"], F.lit(-1)), F.lit(False))
+        top, bottom = moved_sides(r["top"], r["bottom"], v["above"] * line * x["by"], v["below"] * line * x["by"])
+        left, right = moved_sides(r["left"], r["right"], v["left"].cast("double"), v["right"].cast("double"))
+        judged = F.struct(
+            rect(left, top, right, bottom).alias("rect"), F.when(better, r).otherwise(s["best"]).alias("best"), F.when(better, v["score"]).otherwise(s["score"]).alias("score"),
+            (s["tries"] + 1).alias("tries"), (v["score"].isNull() | (v["score"] >= GOOD_SCORE)).alias("done"),
+        )
+        ended = F.struct(r.alias("rect"), s["best"].alias("best"), s["score"].alias("score"), s["tries"].alias("tries"), F.lit(True).alias("done"))
+        return F.when(s["done"] | small | v.isNull(), ended).otherwise(judged)
+
+    made = boxes.withColumn("_j", F.aggregate(amplified, begin, step))
+    return made.select("page_id", "figure", *[F.col(f"_j.best.{s}").alias(s) for s in sides], F.col("_j.score").alias("score"), F.col("_j.tries").alias("attempts"), F.coalesce(F.col("_j.score") < POOR_SCORE, F.lit(False)).alias("abandoned"))

@@ -137,6 +137,21 @@ def funnel_edges(found: DataFrame, verdicts: DataFrame, shown: int = 12) -> Data
     return found.join(picked, ["query_id", "rank"]).filter(S.passes_floor(F.col("confidence"), F.col("relevance")))
 
 
+def ranked_by_verdict(found: DataFrame, verdicts: DataFrame, shown: int = 26) -> DataFrame:
+    """The candidates (query_id, id, rank) that a ranking verdict (query_id, verdict: pairs of letters, one for the candidate
+    and one for the confidence) names among the first ``shown``, with their place in it: (query_id, id, place, confidence)."""
+    named = verdicts.select("query_id", F.posexplode(S.decode_ranking(F.col("verdict"))).alias("k", "x"))
+    named = named.select("query_id", F.col("x.index").alias("rank"), (F.col("k") + 1).alias("place"), "x.confidence").filter(F.col("rank") <= shown)
+    return found.join(named, ["query_id", "rank"]).select("query_id", "id", "place", "confidence")
+
+
+def classified(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """pairs (query_id, id) with the relation, confidence and relevance that a verdict of three letters (query_id, verdict)
+    gives them; the first of a verdict counts."""
+    first = verdicts.select("query_id", F.get(S.decode_classification(F.col("verdict")), F.lit(0)).alias("x")).filter("x is not null")
+    return pairs.join(first, "query_id").select("query_id", "id", "x.relation", "x.confidence", "x.relevance")
+
+
 def page_tags(chunks: DataFrame, per_chunk: int = 6, most: int = 8) -> DataFrame:
     """The most frequent tags of each page (first ones of each chunk), as one line; ties in alphabetical order."""
     t = chunks.select("book_id", "page_number", F.explode(F.slice("tags", 1, per_chunk)).alias("tag")).groupBy("book_id", "page_number", "tag").agg(F.count("*").alias("n"))

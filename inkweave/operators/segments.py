@@ -199,3 +199,12 @@ def sessions(pages: DataFrame, size: int = 8) -> DataFrame:
     """pages with the number of their session: a new one every ``size`` pages of a book."""
     w = Window.partitionBy("book_id").orderBy("page_number")
     return pages.withColumn("session", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+
+
+def kept_pass(passes: DataFrame, least: float = 0.5) -> DataFrame:
+    """(page, pass, ratio): which of a page's tries stays. passes (page, pass, n_spans, ratio): the second one stands in for
+    an empty first one; the third for a first one whose enriched share is below ``least``, if its own is higher."""
+    try_ = lambda k, c: F.max(F.when(F.col("pass") == k, F.col(c)))
+    one = passes.groupBy("page").agg(try_(1, "n_spans").alias("n"), *[try_(k, "ratio").alias(f"r{k}") for k in (1, 2, 3)])
+    kept = F.when((F.col("n") == 0) & F.col("r2").isNotNull(), 2).when((F.col("n") > 0) & (F.col("r1") < least) & F.coalesce(F.col("r3") > F.col("r1"), F.lit(False)), 3).otherwise(1)
+    return one.select("page", kept.alias("pass"), F.when(kept == 2, F.col("r2")).when(kept == 3, F.col("r3")).otherwise(F.col("r1")).alias("ratio"))

@@ -102,11 +102,20 @@ def schemas() -> dict[str, dict]:
 
 @dataclass
 class Session:
-    """Calls of tools on a library, at most max_calls of them."""
+    """Calls of tools on a library, at most max_calls of them, in at most max_turns turns."""
 
     library: Library
     max_calls: int = 20
+    max_turns: int = 12
     calls: int = field(default=0)
+    turns: int = field(default=0)
+
+    def turn(self, calls: list[tuple[str, str]]) -> list[dict]:
+        """The answers to all calls (name, arguments) of one turn; beyond the last turn each is an error."""
+        if self.turns >= self.max_turns:
+            return [{"error": f"no more than {self.max_turns} turns"} for _ in calls]
+        self.turns += 1
+        return [self.call(name, arguments) for name, arguments in calls]
 
     def call(self, name: str, arguments: str) -> dict:
         """{"rows": [...]} or {"error": reason}."""

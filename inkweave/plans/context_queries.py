@@ -22,7 +22,7 @@ def _chunk_spans(spark, sf):
     return spans(spark, sf).withColumn("chunk_id", F.col("page_number") * 1000 + F.floor((F.col("sentence") - 1) / 8))
 
 
-@query("source_pick", "C15", f"""SELECT page_id, CASE WHEN t = '' THEN 'skipped' WHEN v THEN 'vision' ELSE 'raw' END AS source, md5(t) AS text_md5 FROM (SELECT page_id, v, CASE WHEN v THEN {duck_chain('h', T.HTML_TO_TEXT['spans'])} ELSE coalesce(raw, '') END AS t
+@query("source_pick", "C15 B20 (stand-in: pages.html)", f"""SELECT page_id, CASE WHEN t = '' THEN 'skipped' WHEN v THEN 'vision' ELSE 'raw' END AS source, md5(t) AS text_md5 FROM (SELECT page_id, v, CASE WHEN v THEN {duck_chain('h', T.HTML_TO_TEXT['spans'])} ELSE coalesce(raw, '') END AS t
  FROM (SELECT *, page_id % 3 <> 0 AND h <> '' AS v FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE html END AS h, CASE WHEN page_id % 14 = 0 THEN NULL ELSE url || ' raw' END AS raw FROM pages)))""")
 def source_pick(spark, sf):
     """Every third page isn't processed yet, every seventh has no HTML, every fourteenth no raw text either."""

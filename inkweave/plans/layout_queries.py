@@ -73,3 +73,36 @@ def figure_boxes(spark, sf):
     html = F.concat(figure(1), F.lit('<figure class="page-figure"></figure>'), figure(2), F.col("html"))
     made = layout.figure_boxes(pages(spark, sf).select("page_id", html.alias("html")), 1200, 1600)
     return made.withColumn("caption", F.regexp_replace("caption", r"\s+", " "))
+
+
+def _duck_sides(low: str, high: str, first: str, second: str) -> tuple[str, str]:
+    held = lambda d: f"greatest(-({high} - {low}) * 0.5, least({d}, ({high} - {low}) * 0.4))"
+    wanted, spare = f"(greatest({held(first)}, 0) + greatest({held(second)}, 0))", f"greatest({high} - {low} - 60, 0)"
+    inwards = lambda d: f"CASE WHEN {held(d)} > 0 AND {wanted} > {spare} THEN {held(d)} * {spare} / {wanted} ELSE {held(d)} END"
+    return f"({low} + {inwards(first)})", f"({high} - {inwards(second)})"
+
+
+def _duck_judged() -> str:
+    sql = "WITH a0 AS (SELECT page_id, (page_id * 7 % 300)::int AS l, (page_id * 11 % 400)::int AS t, (400 + page_id * 13 % 700)::int AS r, (500 + page_id * 17 % 900)::int AS b, 0 AS bl, 0 AS bt, 0 AS br, 0 AS bb, NULL::int AS score, 0 AS tries, false AS done FROM pages)"
+    for k, by in enumerate([2.5, 1.5, 1.0]):
+        score = f"CASE WHEN page_id % 13 = {k} THEN NULL ELSE ((page_id * 31 + {k} * 17) % 101)::int END"
+        above, below, at_left, at_right = (f"((page_id * {m} + {k}) % {n} - {o})::double" for m, n, o in ((3, 9, 4), (5, 11, 3), (19, 200, 60), (23, 150, 90)))
+        (top, bottom), (left, right) = _duck_sides("t", "b", f"{above} * {25 * by}", f"{below} * {25 * by}"), _duck_sides("l", "r", at_left, at_right)
+        sql += f""", s{k} AS (SELECT *, {score} AS sc, done OR least(r - l, b - t) < 30 AS stop FROM a{k}), x{k} AS (SELECT *, NOT stop AND (tries = 0 OR coalesce(sc > coalesce(score, -1), false)) AS better FROM s{k}),
+ a{k + 1} AS (SELECT page_id, CASE WHEN stop THEN l ELSE greatest(0, floor({left} + 0.5)::int) END AS l, CASE WHEN stop THEN t ELSE greatest(0, floor({top} + 0.5)::int) END AS t, CASE WHEN stop THEN r ELSE least(1200, floor({right} + 0.5)::int) END AS r, CASE WHEN stop THEN b ELSE least(1600, floor({bottom} + 0.5)::int) END AS b,
+ CASE WHEN better THEN l ELSE bl END AS bl, CASE WHEN better THEN t ELSE bt END AS bt, CASE WHEN better THEN r ELSE br END AS br, CASE WHEN better THEN b ELSE bb END AS bb, CASE WHEN better THEN sc ELSE score END AS score, CASE WHEN stop THEN tries ELSE tries + 1 END AS tries, stop OR sc IS NULL OR sc >= 95 AS done FROM x{k})"""
+    return sql + ' SELECT page_id, 1 AS figure, bl AS "left", bt AS top, br AS "right", bb AS bottom, score, tries AS attempts, coalesce(score < 50, false) AS abandoned FROM a3'
+
+
+@query("figure_judged", "B18 (judge)", _duck_judged())
+def figure_judged(spark, sf):
+    """Three verdicts for each page's figure; in some an attempt has no score."""
+    from inkweave.plans.fixtures import pages
+
+    n = F.col("page_id")
+    whole = lambda c: c.cast("int")
+    verdict = lambda k: F.struct(
+        F.when(n % 13 != k, whole((n * 31 + k * 17) % 101)).alias("score"), *[((n * m + k) % r - o).cast("double").alias(name) for name, m, r, o in (("above", 3, 9, 4), ("below", 5, 11, 3), ("left", 19, 200, 60), ("right", 23, 150, 90))]
+    )
+    boxes = pages(spark, sf).select("page_id", F.lit(1).alias("figure"), whole(n * 7 % 300).alias("left"), whole(n * 11 % 400).alias("top"), whole(n * 13 % 700 + 400).alias("right"), whole(n * 17 % 900 + 500).alias("bottom"), F.array(*[verdict(k) for k in range(3)]).alias("verdicts"))
+    return layout.judged_boxes(boxes, 1200, 1600)

@@ -9,6 +9,7 @@ from inkweave.operators import matching as M
 from inkweave.operators import vectors as V
 from inkweave.plans.catalog import query
 from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, chunks, documents, duck_pick, edges, pick, q, spans
+from inkweave.plans.graph_queries import _REL_MAP
 from inkweave.plans.knowledge_queries import _PAIRS, _asked, _ranked, _rows
 from inkweave.plans.text_queries import duck_concepts
 
@@ -150,6 +151,29 @@ def funnel_edges(spark, sf):
     return M.funnel_edges(found, _asked(spark, sf).select("query_id", v.alias("verdict"))).select("query_id", "id", "confidence", "relevance")
 
 
+_RANKING = "query_id // 100 % 20 + 1, (query_id // 100 * 3 + 7) % 26 + 1"
+
+
+@query("model_rank", "G13 (stand-in)", f"""WITH {_PAIRS}, f AS ({_ranked('pr', 25)}), v AS (SELECT query_id, unnest([{_RANKING}]) AS rank, unnest([1, 2]) AS place, unnest([chr((97 + query_id // 100 * 5 % 26)::int), chr((97 + query_id // 100 * 11 % 26)::int)]) AS confidence FROM (SELECT DISTINCT query_id FROM f))
+SELECT query_id, id, place, confidence FROM f JOIN v USING (query_id, rank)""")
+def model_rank(spark, sf):
+    """A verdict of two pairs of letters for each asking row, in place of the model that ranks."""
+    n = F.floor(F.col("query_id") / 100)
+    letter = lambda c: F.char(c % 26 + 97)
+    coded = F.concat(F.char(n % 20 + 97), letter(n * 5), F.lit(" "), letter(n * 3 + 7), letter(n * 11))
+    found = V.top_k(_rows(spark, sf).drop("label"), _asked(spark, sf).drop("label"), 25)
+    return M.ranked_by_verdict(found, _asked(spark, sf).select("query_id", coded.alias("verdict")))
+
+
+@query("model_classify", "G14 (stand-in)", f"""WITH {_PAIRS}, f AS ({_ranked('pr', 1)}) SELECT query_id, id, coalesce({_REL_MAP}[chr((97 + query_id // 100 * 3 % 26)::int)], 'assumes') AS relation, chr((97 + query_id // 100 * 5 % 26)::int) AS confidence, chr((97 + query_id // 100 * 7 % 26)::int) AS relevance FROM f""")
+def model_classify(spark, sf):
+    """Three letters for each asking row and its nearest one, in place of the model that classifies."""
+    n = F.floor(F.col("query_id") / 100)
+    letter = lambda c: F.char(c % 26 + 97)
+    pairs = V.top_k(_rows(spark, sf).drop("label"), _asked(spark, sf).drop("label"), 1)
+    return M.classified(pairs, _asked(spark, sf).select("query_id", F.concat(letter(n * 3), letter(n * 5), letter(n * 7)).alias("verdict")))
+
+
 @query("page_tag_context", "G20", f"""WITH t AS (SELECT page_number, tag, count(*) AS n FROM (SELECT page_number, unnest(tags[:6]) AS tag FROM {DUCK_CHUNKS}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY page_number ORDER BY n DESC, tag) AS r FROM t)
 SELECT page_number, string_agg(tag, ', ' ORDER BY r) AS tags FROM r WHERE r <= 8 GROUP BY 1""")
 def page_tag_context(spark, sf):

@@ -131,7 +131,7 @@ def dsl_render(spark, sf):
     return _dsl(spark, sf).select("doc_id", F.explode(segments.parse_spans(F.col("lines"))).alias("s")).select("doc_id", segments.render_span(F.col("s")).alias("line"))
 
 
-@query("enrichment_ratio", "C12 C14", """
+@query("enrichment_ratio", "C12", """
 WITH r AS (SELECT doc_id AS page, p AS pass, ((doc_id * 7 + p * 5) % 11) / 10.0 AS ratio FROM documents, (SELECT unnest([1, 2, 3]) AS p))
 SELECT page, arg_max(pass, ratio * 10 - pass * 0.001) AS pass, max(ratio) AS ratio FROM r GROUP BY page""")
 def enrichment_ratio(spark, sf):
@@ -154,3 +154,13 @@ def count_sessions(spark, sf):
 def group_spans(spark, sf):
     rows = spans(spark, sf).select("span_id", "page_number", F.floor(F.col("sentence") / 3).alias("start"), (F.floor(F.col("sentence") / 3) + 2).alias("end"))
     return rows.groupBy("page_number", "start", "end").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("span_id")).cast("array<string>"), ",").alias("span_ids"))
+
+
+@query("retry_merge", "C14", """WITH p AS (SELECT doc_id AS page, doc_id % 4 AS n, ((doc_id * 7 + 5) % 11) / 10.0 AS r1, ((doc_id * 7 + 10) % 11) / 10.0 AS r2, ((doc_id * 7 + 15) % 11) / 10.0 AS r3 FROM documents)
+SELECT page, CASE WHEN n = 0 THEN 2 WHEN r1 < 0.5 AND r3 > r1 THEN 3 ELSE 1 END AS pass, CASE WHEN n = 0 THEN r2 WHEN r1 < 0.5 AND r3 > r1 THEN r3 ELSE r1 END AS ratio FROM p""")
+def retry_merge(spark, sf):
+    """Every fourth page's first pass is empty; the ratios of the three passes come by arithmetic."""
+    n = F.col("doc_id")
+    tries = documents(spark, sf).select(n.alias("page"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("pass"))
+    tries = tries.select("page", "pass", F.when(F.col("pass") == 1, F.col("page") % 4).otherwise(5).alias("n_spans"), ((F.col("page") * 7 + F.col("pass") * 5) % 11 / 10.0).alias("ratio"))
+    return segments.kept_pass(tries)

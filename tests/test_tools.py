@@ -24,6 +24,13 @@ def test_tools_answer(library):
     assert call("verify_quote", chunk_id=1, quote="first text")["rows"][0]["found"]
 
 
+def test_turns_have_a_limit(library):
+    s = tools.Session(library, max_turns=2)
+    ask = [("read_chunk", '{"chunk_id": 1}')] * 2
+    assert [len(r["rows"]) for r in s.turn(ask) + s.turn(ask)] == [1] * 4
+    assert all("2 turns" in r["error"] for r in s.turn(ask)) and s.calls == 4
+
+
 def test_tools_return_errors_as_data(library):
     s = tools.Session(library, max_calls=5)
     assert "unknown" in s.call("nope", "{}")["error"]
