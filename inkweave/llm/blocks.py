@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.llm.common import growing
+
 
 def block_pairs(rows: DataFrame, key: str, parts: DataFrame, row_id: str) -> DataFrame:
     """rows once for each pair of blocks that their block is in, with _i <= _j (the pair) and _own (the row's block).
@@ -13,7 +15,7 @@ def block_pairs(rows: DataFrame, key: str, parts: DataFrame, row_id: str) -> Dat
     parts (key, parts) has the number of blocks of each group; groups that it doesn't name are left out. A row is repeated
     once for each block of its group, and no piece of work holds many more rows than two blocks, however large the group.
     """
-    dealt = rows.join(parts, key).withColumn("_own", F.pmod(F.xxhash64(row_id, F.lit(7)), F.col("parts")).cast("int"))
+    dealt = rows.join(growing(parts), key).withColumn("_own", F.pmod(F.xxhash64(row_id, F.lit(7)), F.col("parts")).cast("int"))
     other = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).drop("parts")
     return other.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other")
 

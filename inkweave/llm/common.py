@@ -59,6 +59,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df as the side of a join that grows with the corpus: dealt by key at every size, and never broadcast."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by written() that nothing reads any more."""
     for df in tables:
@@ -99,31 +104,38 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
-def components(edges: DataFrame, what: str, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (u, v: any type with an order): one row (node, component) per node, component the
-    smallest node.
+def components(edges: DataFrame, what: str, max_rounds: int = 100) -> DataFrame:
+    """Connected components of edges (u, v: any type with an order): (node, component) of each node, component being one of
+    its nodes.
 
-    Each round every node takes the smallest label among its neighbours' and its label's label, so the number of rounds
-    follows the logarithm of the diameter. Labels are written to the shared folder after each round. A node with very
-    many edges is only the probe side of joins, which adaptive execution can split, and of sums with a map-side part.
+    Each round every node joins its smallest neighbour if that is smaller than itself, and edges go on between what was
+    joined. Smaller means by the nodes themselves and by a hash of them in turns: the first ends stars around small nodes
+    at once, the second halves whatever shape, such as long chains of ascending nodes. Edges and labels of a round are
+    tables in the shared folder. A node with very many edges is only the probe side of joins, which adaptive execution can
+    split, and of sums with a map-side part.
     """
-    both = written(
-        edges.filter("u <> v").select("u", "v").unionByName(edges.filter("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(),
-        f"{what}-edges",
-    )
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")), f"{what}-labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("component"))
-        # what the old label's own node is labelled with (pointer jump)
-        jump = labels.select("node", F.col("component").alias("at")).join(labels.select(F.col("node").alias("at"), "component"), "at").select("node", "component")
-        # a smaller label also goes to the node that the old label names (hooking)
-        hook = near.join(labels.withColumnRenamed("component", "at"), "node").filter("component < at").groupBy(F.col("at").alias("node")).agg(F.min("component").alias("component"))
-        new = near.unionByName(jump).unionByName(hook).unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
-        new = written(new, f"{what}-labels")
-        changed = new.join(labels.withColumnRenamed("component", "was"), "node").filter("component <> was").limit(1).count()
-        discard(labels)
-        labels = new
-        if not changed:
-            discard(both)
-            return labels
-    raise RuntimeError("components: no fixed point")
+    ends = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    left = written(edges.filter("u <> v").select(*ends("u", "v")).distinct(), f"{what}-edges")
+    labels, steps = None, []
+    for k in range(max_rounds):
+        rank = lambda c: F.struct((F.xxhash64(c, F.lit(k)) if k % 2 else F.lit(0)).alias("h"), F.col(c).alias("n"))
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(rank("v")).alias("near"))
+        step = written(least.select(F.col("u").alias("node"), F.least("near", rank("u"))["n"].alias("component")), f"{what}-step")
+        steps.append(step)
+        at = lambda end: step.select(F.col("node").alias(end), F.col("component").alias(f"{end}_at"))
+        joined = left.join(at("u"), "u").join(at("v"), "v").filter("u_at <> v_at").select(*ends("u_at", "v_at"))
+        before, left = left, written(joined.distinct(), f"{what}-edges")
+        discard(before)
+        if not left.limit(1).count():
+            break
+    else:
+        raise RuntimeError("components: edges are left")
+    labels = steps[0]
+    for step in steps[1:]:
+        labels = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    if len(steps) > 1:
+        labels = written(labels, f"{what}-labels")
+        discard(*steps)
+    discard(left)
+    return labels

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def sorted_groups(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """work on the rows of each group of keys; groups must fit a task's memory. Results are handed on in batches."""
+def sorted_groups(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, order: list[str] | None = None) -> DataFrame:
+    """work on the rows of each group of keys, sorted by order; groups must fit a task's memory. Results are handed on in
+    batches."""
 
     def run(frames: Iterator[pd.DataFrame]):
         held: pd.DataFrame | None = None
@@ -29,7 +30,7 @@ def sorted_groups(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame],
         if held is not None and len(held):
             yield from _worked(held, np.array([0, len(held)]), work)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInPandas(run, schema)
 
 
 def _worked(f: pd.DataFrame, begins: np.ndarray, work) -> Iterator[pd.DataFrame]:

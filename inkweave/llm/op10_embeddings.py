@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.blocks import block_pairs, stars
-from inkweave.llm.common import components, discard, written
+from inkweave.llm.common import components, discard, growing, written
 from inkweave.llm.grouped import sorted_groups
 
 LEAST_DIMS = 16
@@ -145,7 +145,7 @@ def link(vectors: DataFrame, least: float = 0.95, codewords: int | None = None,
     nonzero = F.exists("embedding", lambda x: x != 0.0)
     fine = F.coalesce(~broken & nonzero, F.lit(False)) & F.col("vec_id").isNotNull()
     # equal vectors have one key of 128 bits
-    keyed = rows.withColumn("node", F.when(fine, F.concat_ws(".", *[F.hex(F.xxhash64(F.lit(salt), "embedding")) for salt in (1, 2)])))
+    keyed = rows.withColumn("node", F.when(fine, F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(salt), "embedding")), 16, "0") for salt in (1, 2)]))))
     classes = keyed.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
     classes = written(classes, "op10-classes")
     n = classes.count()
@@ -163,14 +163,14 @@ def link(vectors: DataFrame, least: float = 0.95, codewords: int | None = None,
                 lists = decode(unit(raw[part.index]), codewords)
                 yield pd.DataFrame({"node": part["node"], "weight": part["weight"], "raw": raw[part.index], "filters": lists, "size": size})
 
-    coded = written(classes.select("node", "weight", "embedding").mapInPandas(encode, "node string, weight long, raw binary, filters array<long>, size int"), "op10-coded")
+    coded = written(classes.select("node", "weight", "embedding").mapInPandas(encode, "node binary, weight long, raw binary, filters array<long>, size int"), "op10-coded")
     numbered = F.struct(F.col("size"), F.col("filter"))
     met = coded.select("node", "size", F.explode("filters").alias("filter")).withColumn("direction", numbered)
     parts = met.groupBy("direction").agg(F.count("*").alias("n")).filter("n > 1").select("direction", F.ceil(F.col("n") / block).alias("parts"))
     placed = block_pairs(met.select("direction", "node"), "direction", parts, "node")
     # a vector takes along the directions that are smaller than the one where it is compared
     smaller = F.filter("filters", lambda x: x < F.col("direction.filter"))
-    pieces = placed.join(coded.select("node", "weight", "raw", "filters"), "node")
+    pieces = placed.join(growing(coded.select("node", "weight", "raw", "filters")), "node")
     pieces = pieces.select("direction.size", "direction.filter", "_i", "_j", "_own", "node", "weight", "raw", smaller.alias("smaller"))
 
     def compare(f: pd.DataFrame) -> pd.DataFrame | None:
@@ -190,15 +190,15 @@ def link(vectors: DataFrame, least: float = 0.95, codewords: int | None = None,
             }
         )
 
-    found = written(sorted_groups(pieces, ["size", "filter", "_i", "_j"], compare, "u string, v string, n long"), "op10-found")
+    found = written(sorted_groups(pieces, ["size", "filter", "_i", "_j"], compare, "u binary, v binary, n long", ["node"]), "op10-found")
     links = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
-    joined = components(found.filter("v is not null").select("u", "v").distinct(), "op10")
+    joined = components(found.filter("v is not null").select("u", "v"), "op10")
     known = classes.select("node", "rep", "weight").join(links, "node", "left").join(joined, "node", "left")
     known = written(known.withColumn("component", F.coalesce("component", "node")), "op10-known")
     discard(coded, found, joined, classes)
     smallest = known.filter("links > 0").groupBy("component").agg(F.min("rep").alias("least_id"))
     named = known.join(smallest, "component", "left").select("node", F.coalesce("least_id", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # a join on the vectors' keys: adaptive execution may split it where one vector is very common
-    out = keyed.select("vec_id", "node").join(named, "node", "left")
+    out = keyed.select("vec_id", "node").join(growing(named), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.blocks import block_pairs, joins_across, stars
-from inkweave.llm.common import by_text, components, discard, slices, written
+from inkweave.llm.common import by_text, components, discard, growing, slices, written
 from inkweave.llm.grouped import sorted_groups
 from inkweave.llm.words import hashed_words, mixed, windows, words_of
 
@@ -93,7 +93,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, set_key string, size int, tokens, marks binary) of every row; nulls from set_key on where there
+    """(doc_id, row_key string, set_key binary, size int, tokens, marks binary) of every row; nulls from set_key on where there
     are no words. Marks are the low bytes of the tokens: all that comparing them takes, at a quarter of the size."""
 
     def run(texts: list[str]) -> dict:
@@ -102,11 +102,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         made = tokens([sets[i] for i in some])
         out = {name: [None] * len(sets) for name in ("set_key", "tokens", "marks")} | {"size": [len(s) for s in sets]}
         for k, i in enumerate(some):
-            out["set_key"][i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest()
+            out["set_key"][i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
             out["tokens"][i], out["marks"][i] = made[k].tobytes(), made[k].astype(np.uint8).tobytes()
         return out
 
-    made = by_text(run, "set_key string, tokens binary, marks binary, size int", 3_000_000)
+    made = by_text(run, "set_key binary, tokens binary, marks binary, size int", 3_000_000)
     return docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), made("text").alias("out")).select("doc_id", "row_key", "out.*")
 
 
@@ -169,21 +169,21 @@ def candidates(classes: DataFrame, run: int, least: float, loose: float, small:
         return go
 
     root = int(mixed(np.array([1000 + run], dtype=np.uint64)).view(np.int64)[0])
-    rows = classes.select(F.lit(root).alias("path"), "node", "tokens").mapInPandas(children(ROOTS), "path long, node string")
+    rows = classes.select(F.lit(root).alias("path"), "node", "tokens").mapInPandas(children(ROOTS), "path long, node binary")
     edges, used = None, []
     for level in range(DEPTH + 1):
         rows = written(rows, "op9-rows")
         sizes = written(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "op9-sizes")
         used += [rows, sizes]
         ready = sizes if level == DEPTH else sizes.filter(F.col("n") <= small)
-        members = block_pairs(rows, "path", ready.select("path", F.ceil(F.col("n") / block).alias("parts")), "node").join(classes.select("node", "marks"), "node")
-        found = sorted_groups(members.select("path", "_i", "_j", "_own", "node", "marks"), ["path", "_i", "_j"], compare, "u string, v string, close boolean")
-        found = written(found.distinct(), "op9-candidates")
+        members = block_pairs(rows, "path", ready.select("path", F.ceil(F.col("n") / block).alias("parts")), "node").join(growing(classes.select("node", "marks")), "node")
+        found = sorted_groups(members.select("path", "_i", "_j", "_own", "node", "marks"), ["path", "_i", "_j"], compare, "u binary, v binary, close boolean", ["node"])
+        found = written(found, "op9-candidates")
         edges = found if edges is None else edges.unionByName(found)
         large = sizes.filter(F.col("n") > small)
         if level == DEPTH or not large.limit(1).count():
             break
-        rows = rows.join(large, "path").join(classes.select("node", "tokens"), "node").select("path", "node", "tokens").mapInPandas(children(BRANCHES), "path long, node string")
+        rows = rows.join(large, "path").join(growing(classes.select("node", "tokens")), "node").select("path", "node", "tokens").mapInPandas(children(BRANCHES), "path long, node binary")
     discard(*used)
     return edges
 
@@ -194,14 +194,16 @@ def joined(classes: DataFrame, least: float, loose: float, small: int, block: in
     for run in range(MOST_RUNS):
         found = candidates(classes, run, least, loose, small, block)
         if labels is None:
-            labels = components(found.select("u", "v").distinct(), "op9-near")
+            labels = components(found.select("u", "v"), "op9-near")
             discard(found)
             continue
         for end in ("u", "v"):
             found = found.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_at")), end, "left").withColumn(f"{end}_at", F.coalesce(f"{end}_at", end))
         found = written(found.select(F.col("u_at").alias("u"), F.col("v_at").alias("v"), "close"), "op9-met")
         met, missed = found.filter("close").agg(F.count("*"), F.coalesce(F.sum((F.col("u") != F.col("v")).cast("long")), F.lit(0))).first()
-        more = components(found.select("u", "v").distinct(), "op9-more")
+        if not found.filter("u <> v").limit(1).count():
+            break  # nothing new
+        more = components(found.select("u", "v"), "op9-more")
         moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         fresh = more.join(labels.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
         before, labels = labels, written(moved.unionByName(fresh), "op9-labels")
@@ -245,8 +247,8 @@ def link(docs: DataFrame, least: float = 0.8, loose: float = 0.55, small: int =
     group = written(near.join(classes.select("node", "row_key", "weight", "size", "marks"), "node"), "op9-groups")
     blocks = F.greatest(F.ceil(F.count("*") / exact_block), F.ceil(F.sum("size") * 8 / exact_bytes)).cast("int")
     parts = group.groupBy("group").agg(blocks.alias("parts"))
-    whole = block_pairs(group.select("group", "node"), "group", parts.filter("parts = 1"), "node")
-    sketched = block_pairs(group.select("group", "node", "marks"), "group", parts.filter("parts > 1"), "node")
+    whole = block_pairs(group.select("group", "node", "weight"), "group", parts.filter("parts = 1"), "node")
+    sketched = block_pairs(group.select("group", "node", "weight", "marks"), "group", parts.filter("parts > 1"), "node")
 
     def needed(f: pd.DataFrame):
         grid, side = _grid(f["marks"], np.uint8), f["_own"].to_numpy() != f["_i"].to_numpy()
@@ -256,18 +258,18 @@ def link(docs: DataFrame, least: float = 0.8, loose: float = 0.55, small: int =
         if right is left:
             np.fill_diagonal(alike, False)
         some = np.union1d(left[alike.any(axis=1)], right[alike.any(axis=0)])
-        return f.iloc[some][["group", "_i", "_j", "_own", "node"]]
+        return f.iloc[some][["group", "_i", "_j", "_own", "node", "weight"]]
 
-    asked = sorted_groups(sketched.select("group", "_i", "_j", "_own", "node", "marks"), ["group", "_i", "_j"], needed, "group string, _i int, _j int, _own int, node string")
-    places = written(whole.select("group", "_i", "_j", "_own", "node").unionByName(asked), "op9-places")
+    asked = sorted_groups(sketched.select("group", "_i", "_j", "_own", "node", "weight", "marks"), ["group", "_i", "_j"], needed, "group binary, _i int, _j int, _own int, node binary, weight long")
+    places = written(whole.select("group", "_i", "_j", "_own", "node", "weight").unionByName(asked), "op9-places")
 
     def sets(frames):
         for f in slices(frames, 3_000_000):
             f = f.drop_duplicates("node")  # repeated rows of the class's text
             yield pd.DataFrame({"node": f["node"], "set": [s.tobytes() for s in shingle_sets(list(f["text"]))]})
 
-    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").join(group.select("row_key", "node"), "row_key").select("node", "text")
-    pieces = texts.mapInPandas(sets, "node string, set binary").join(places, "node").join(classes.select("node", "weight"), "node")
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").join(growing(group.select("row_key", "node")), "row_key").select("node", "text")
+    pieces = texts.mapInPandas(sets, "node binary, set binary").join(growing(places), "node")
 
     def verify(f: pd.DataFrame):
         f = f.drop_duplicates("node")
@@ -299,7 +301,7 @@ def link(docs: DataFrame, least: float = 0.8, loose: float = 0.55, small: int =
             }
         )
 
-    found = sorted_groups(pieces.select("group", "_i", "_j", "_own", "node", "weight", "set"), ["group", "_i", "_j"], verify, "u string, v string, n long")
+    found = sorted_groups(pieces.select("group", "_i", "_j", "_own", "node", "weight", "set"), ["group", "_i", "_j"], verify, "u binary, v binary, n long", ["node"])
     found = written(found, "op9-found")
     discard(places, group, near)
     links = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
@@ -311,7 +313,7 @@ def link(docs: DataFrame, least: float = 0.8, loose: float = 0.55, small: int =
     smallest = known.join(final_ids(known), "component", "left")
     smallest = smallest.select(F.col("node").alias("set_key"), F.coalesce("least_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # adaptive execution may split this join where one set is very common
-    rows = signed.select("doc_id", "row_key", "set_key").join(smallest, "set_key", "left")
+    rows = signed.select("doc_id", "row_key", "set_key").join(growing(smallest), "set_key", "left")
     class_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return rows.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), "row_key")
 

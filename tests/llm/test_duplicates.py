@@ -311,3 +311,17 @@ def test_pipeline_stages(spark, tmp_path):
     none = spark.createDataFrame([], schema)
     for _, stage in p.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random"])
+def test_components_of_any_shape(spark, shape):
+    from inkweave.llm.blocks import stars
+    from inkweave.llm.common import components
+
+    r = np.random.RandomState(4)
+    pairs = {"chain": [(k, k + 1) for k in range(120)], "star": [(60, k) for k in range(120)], "random": r.randint(0, 150, (110, 2)).tolist()}[shape]
+    got = {x.node: x.component for x in components(spark.createDataFrame(pairs, "u long, v long"), "test").collect()}
+    label = stars(*np.array(pairs).T, 151)
+    nodes = {n for p in pairs if p[0] != p[1] for n in p}
+    assert set(got) == nodes and all((got[a] == got[b]) == (label[a] == label[b]) for a in nodes for b in nodes)
+    assert components(spark.createDataFrame([], "u long, v long"), "none").count() == 0
