@@ -133,7 +133,7 @@ def _ranges(docs: DataFrame, docs_per_range: int, most_ranges: int) -> Column:
         ties.append(max(1, (at.count(value) - 1) * parts))
         base += ties[-1] + parts
     listed = lambda xs, kind: F.expr(f"array({', '.join(f'{x}{kind}' for x in xs)})")
-    share = F.shiftrightunsigned("_tie", 11) / F.lit(float(2**53))
+    share = F.shiftright("_tie", 10) / F.lit(float(2**53))
 
     def place(k):
         value, begin, tied = F.get(listed(low, "L"), k), F.get(listed(begins, ""), k), F.get(listed(ties, ""), k)
@@ -152,7 +152,7 @@ def with_next(docs: DataFrame, columns: dict, docs_per_range: int = 500, most_ra
     task sees all rows. Each range also gets the first rows of the range below it. The table of ranges that is broadcast
     has at most most_ranges rows.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
     ranged = docs.withColumn("_range", _ranges(docs, docs_per_range, most_ranges))
     heads = ranged.groupBy("_range").agg(F.max(F.struct("doc_id", "_tie")).alias("_head"))
     order = Window.orderBy("_range")  # over the ranges, whose number is bounded

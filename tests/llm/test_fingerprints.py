@@ -65,3 +65,20 @@ def test_op2_densification_matches_a_plain_version(spark, n):
     for j, v in enumerate(values):
         probe = next(b for a in range(op2.BINS) if (b := (op2.STARTS[j] + a * op2.STEPS[j]) % op2.BINS) in least) if j not in least else j
         assert v == least[probe] & 255
+
+
+def test_op2_next_text_where_ids_repeat_or_lack(spark):
+    """A third of all rows has no id, a third has one, and the rest lies close together: all are in one order, in many ranges."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    rows = [(None, prose(k, 6)) for k in range(150)] + [(5, prose(200 + k, 6)) for k in range(150)] + [(10**15 + k, prose(400 + k, 6)) for k in range(149)] + [(-3, "")]
+    tie = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) >> 1
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1]), r[1]))
+    want = {(str(i), t): n for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(str(r.doc_id), r.text): r.next_text for r in op2.with_next(df, {}, docs_per_range=10).collect()}
+    assert got == want
+    tied = df.withColumn("_tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    sizes = [r["count"] for r in tied.groupBy(op2._ranges(tied, 10, 65_536).alias("r")).count().collect()]
+    assert max(sizes) < 50 and len(sizes) > 25
