@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions.scales import path_weight
@@ -27,25 +27,28 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_edges: int = 10, targ
     weight, path).
 
     One relaxation a round: only what the round before improved joins the edges, and the least weight by (seed, chunk)
-    stays; equal weights keep the path that comes first. A round is a table in the shared folder; the rounds end when one
-    improves nothing. With targets, chunks with a single neighbour that are neither seeds nor targets are left out: no
+    stays; equal weights keep the path that comes first. Every second round is a table in the shared folder; the rounds end
+    when one of those improves nothing. With targets, chunks with a single neighbour that are neither seeds nor targets are left out: no
     path between others leads through them.
     """
     steps = both_ways(edges).groupBy("chunk_id", "other_id").agg(F.min(path_weight(F.col("confidence"))).alias("step"))
+    steps = stage(steps, "steps")
     if targets is not None:
-        steps = stage(steps, "steps")
         inner = steps.filter("chunk_id <> other_id").groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1").select("chunk_id")
         kept = inner.union(seeds.select("chunk_id")).union(targets.select("chunk_id")).distinct()
         steps = stage(steps.join(kept, "chunk_id", "left_semi").join(kept.withColumnRenamed("chunk_id", "other_id"), "other_id", "left_semi"), "steps")
     reached = seeds.select(F.col("chunk_id").alias("seed"), "chunk_id", F.struct(F.lit(0).cast("long").alias("weight"), F.array("chunk_id").alias("path")).alias("best"), F.lit(True).alias("fresh"))
-    for _ in range(max_edges):
+    for k in range(max_edges):
         ahead = F.struct((F.col("best.weight") + F.col("step")).alias("weight"), F.array_append("best.path", F.col("other_id")).alias("path"))
         further = reached.filter("fresh").join(steps, "chunk_id").select("seed", F.col("other_id").alias("chunk_id"), ahead.alias("best"), F.lit(None).cast(reached.schema["best"].dataType).alias("old"))
         every = reached.select("seed", "chunk_id", "best", F.col("best").alias("old")).unionByName(further)
         reached = every.groupBy("seed", "chunk_id").agg(F.min("best").alias("best"), F.min("old").alias("old"))
-        reached = stage(reached.select("seed", "chunk_id", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh")), "paths")
-        if not reached.filter("fresh").limit(1).count():
-            break
+        reached = reached.select("seed", "chunk_id", "best", (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("fresh"))
+        if k % 2 and k + 1 < max_edges:
+            seen = Observation()
+            reached = stage(reached.observe(seen, F.count_if("fresh").alias("n")), "paths")
+            if not seen.get["n"]:
+                break
     if targets is not None:
         reached = reached.join(targets.select("chunk_id").distinct(), "chunk_id", "left_semi")
     return reached.select("seed", "chunk_id", "best.weight", "best.path")
