@@ -192,16 +192,18 @@ def joined(classes: DataFrame, least: float, loose: float, small: int, block: in
     """(node, component) of all nodes with a candidate, after as many runs as the recall takes."""
     labels = None
     for run in range(MOST_RUNS):
-        found = candidates(classes, run, least, loose, small, block)
+        found = pairs = candidates(classes, run, least, loose, small, block)
         if labels is None:
-            labels = components(found.select("u", "v"), "op9-near")
-            discard(found)
+            labels = components(pairs.select("u", "v"), "op9-near")
+            discard(pairs)
             continue
         for end in ("u", "v"):
             found = found.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_at")), end, "left").withColumn(f"{end}_at", F.coalesce(f"{end}_at", end))
         found = written(found.select(F.col("u_at").alias("u"), F.col("v_at").alias("v"), "close"), "op9-met")
+        discard(pairs)
         met, missed = found.filter("close").agg(F.count("*"), F.coalesce(F.sum((F.col("u") != F.col("v")).cast("long")), F.lit(0))).first()
         if not found.filter("u <> v").limit(1).count():
+            discard(found)
             break  # nothing new
         more = components(found.select("u", "v"), "op9-more")
         moved = labels.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
