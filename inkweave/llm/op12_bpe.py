@@ -34,6 +34,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,7 +50,6 @@ LATIN = 0x250
 BLOCK, KNOWN_WORDS = 1 << 20, 600_000
 #: Words longer than this are not kept.
 LONG_WORD = 64
-_LAST = (1 << 30, None)
 
 
 def _classes() -> tuple[str, str, str]:
@@ -134,16 +134,17 @@ class Merges:
                     self.id_of[token] = i
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
+        self.sizes = list(map(len, self.bytes_of))
         self.longest = max(map(len, self.id_of))
         self.lookahead = lookahead or self.sufficient_lookahead()
         self.pretokens = Pretokens()
         self._begins = {t[:n] for t in self.id_of for n in range(len(t) + 1)}
         self._known: dict[str, tuple[int, ...]] = {}
-        self._fits: dict[int, bool] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self._states, self._number, self._next, self._ends = [b""], {b"": 0}, {}, [()]
+        #: token -> token behind it -> whether they fit, as far as asked
+        self._fits: list[dict[int, bool]] = [{} for _ in self.bytes_of]
+        self._n_fits = 0
+        # states as they are met: what they stand for, where each byte leads, the tokens that end there
+        self._states, self._number, self._next, self._ends = [b""], {b"": 0}, [{}], [()]
 
     def merged(self, text: bytes) -> tuple[list[int], tuple[int, int, int] | None]:
         """(tokens that the merges by rank make of a text, the last merge as rank, left, right), the plain way."""
@@ -214,67 +215,67 @@ class Merges:
         if to is None:
             to = self._number[read] = len(self._states)
             self._states.append(read)
+            self._next.append({})
             # tokens that end here, longest first: (length, id)
             self._ends.append(tuple((n, self.id_of[read[-n:]]) for n in range(len(read), 0, -1) if read[-n:] in self.id_of))
-        self._next[state << 8 | byte] = to
+        self._next[state][byte] = to
         return to
 
-    def transduce(self, word: bytes) -> Iterator[int]:
-        """The tokens of one pretoken, each as soon as it is stable."""
-        held = 2 * self.lookahead + 2 * self.longest
+    def transduce(self, word: bytes) -> Iterator[list[int]]:
+        """The tokens of one pretoken, in runs, each as soon as it is stable."""
+        held = 2 * self.lookahead
         last = [-1]  # the last token of each prefix from the last stable place on
-        base = state = 0
+        before = -1  # the last stable token
+        state = 0
         following, ends, fits = self._next, self._ends, self._fits
-        for byte in word:
-            to = following.get(state << 8 | byte)
-            state = self._step(state, byte) if to is None else to
-            size = len(last)
-            chosen = -1
-            for n, token in ends[state]:
-                if n > size:
-                    continue
-                left = last[size - n]
-                if left < 0:
-                    if size == n:  # the first token behind a stable place fits the one before it
-                        if base < 0 or self._fitting(base - 1, token):
-                            chosen = token
+        for at in range(0, len(word), held):
+            for byte in word[at : at + held]:
+                to = following[state].get(byte)
+                state = self._step(state, byte) if to is None else to
+                size = len(last)
+                for n, token in ends[state]:
+                    if n < size:
+                        left = last[size - n]
+                    elif n == size:
+                        left = before
+                        if left < 0:
                             break
-                    continue
-                fit = fits.get(left << 24 | token)
-                if fit is None:
-                    fit = self._fitting(left, token)
-                if fit:
-                    chosen = token
-                    break
-            last.append(chosen)
-            if size >= held:
-                tokens = self._back(last)
-                stable = 0
-                for token in tokens:
-                    n = len(self.bytes_of[token])
-                    if stable + n > size - self.lookahead:
+                    else:
+                        continue
+                    fit = fits[left].get(token)
+                    if fit is None:
+                        fit = self._fitting(left, token)
+                    if fit:
+                        break
+                last.append(token)
+            tokens = self._back(last)
+            if at + held < len(word):
+                stable, k = 0, 0
+                for k, token in enumerate(tokens):
+                    if stable + len(self.bytes_of[token]) > len(last) - 1 - self.lookahead:
                         break
-                    stable += n
-                    base = token + 1
-                    yield token
+                    stable += len(self.bytes_of[token])
+                tokens, before = tokens[:k], tokens[k - 1] if k else before
                 del last[:stable]
                 last[0] = -1
-        yield from self._back(last)
+            yield tokens
 
     def _fitting(self, left: int, token: int) -> bool:
-        if left < 0:
-            return True
-        if len(self._fits) > 4_000_000:
-            self._fits.clear()
-        fit = self._fits[left << 24 | token] = self.fit(left, token)
+        if self._n_fits > 4_000_000:
+            for known in self._fits:
+                known.clear()
+            self._n_fits = 0
+        self._n_fits += 1
+        fit = self._fits[left][token] = self.fit(left, token)
         return fit
 
     def _back(self, last: list[int]) -> list[int]:
         """The tokens that lead from the last stable place to the end."""
-        at, tokens = len(last) - 1, []
+        at, tokens, sizes = len(last) - 1, [], self.sizes
         while at:
-            tokens.append(last[at])
-            at -= len(self.bytes_of[last[at]])
+            token = last[at]
+            tokens.append(token)
+            at -= sizes[token]
         tokens.reverse()
         return tokens
 
@@ -287,22 +288,22 @@ class Merges:
                 yield [self.special[part]]
                 continue
             for words in self.pretokens.of(part):
-                ids: list[int] = []
-                for w in words:
-                    found = known.get(w)
-                    if found is None:
-                        found = self._word(w)
-                    ids += found
-                yield ids
+                ids = list(map(known.get, words))
+                if None in ids:
+                    new = {w: self._word(w) for w, found in zip(words, ids, strict=True) if found is None}
+                    ids = [new[w] if found is None else found for w, found in zip(words, ids, strict=True)]
+                yield list(chain.from_iterable(ids))
 
     def _word(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8", "surrogatepass")
-        whole = self.id_of.get(data)
-        found = (whole,) if whole is not None else tuple(self.transduce(data))
-        if len(word) <= LONG_WORD:
-            if len(self._known) >= KNOWN_WORDS:
-                self._known.clear()
-            self._known[word] = found
+        found = self._known.get(word)
+        if found is None:
+            data = word.encode("utf-8", "surrogatepass")
+            whole = self.id_of.get(data)
+            found = (whole,) if whole is not None else tuple(chain.from_iterable(self.transduce(data)))
+            if len(word) <= LONG_WORD:
+                if len(self._known) >= KNOWN_WORDS:
+                    self._known.clear()
+                self._known[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
