@@ -39,6 +39,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcde
 BREAK = b"\xff"
 #: Bytes of a word's number in a key.
 WIDE = 5
+#: Characters of a slice, and runs that a slice packs at a time: they bound a task's memory.
+SLICE, PACKED = 5_000_000, 250_000
 #: Keys (before equal ones meet) that a range should get, sampled keys for each range, and ranges that are cut by bounds.
 RANGE, SAMPLED, MOST_BOUNDS = 4_000_000, 64, 20_000
 
@@ -57,7 +59,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]):
         number = TaskContext.get().partitionId() << 32
-        for f in slices(frames):
+        for f in slices(frames, SLICE):
             for lang, g in f.groupby("lang", sort=False):
                 words = np.array(tokens(g.text.tolist()), dtype=object)
                 codes, distinct = pd.factorize(words)
@@ -121,13 +123,13 @@ def run_lengths(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 class SliceRuns:
     """A slice's runs of frequent words, as numbers of the slice's own ranks, which sort as ids do."""
 
-    def __init__(self, codes: bytes, places: np.ndarray, ids: np.ndarray, longest: int):
+    def __init__(self, codes: bytes, places: np.ndarray, ids: np.ndarray):
         code = np.frombuffer(codes, dtype="<i4")
         order = np.argsort(ids)
         rank = np.zeros(int(max(code.max(initial=-1), places.max(initial=-1))) + 2, dtype=np.int64)
         rank[places[order]] = np.arange(1, len(ids) + 1)
         self.ranks = rank[code]  # the mark -1 reads the last entry, which stays 0
-        self.known, self.longest = np.append(0, ids[order]), longest
+        self.known = np.append(0, ids[order])
 
     def of(self, n: int) -> np.ndarray:
         """The runs of n words: numbers, or rows of ranks where numbers would pass 64 bits."""
@@ -142,34 +144,24 @@ class SliceRuns:
         return keys
 
     def ids(self, runs: np.ndarray, n: int) -> np.ndarray:
-        """Rows of ``longest`` ids of runs of n words, 0 behind the last."""
+        """Rows of n ids of runs of n words."""
         if runs.ndim == 1:
             parts, size = [], len(self.known)
             for _ in range(n):
                 parts.append(runs % size)
                 runs = runs // size
             runs = np.stack(parts[::-1], axis=1)
-        return np.concatenate([self.known[runs], np.zeros((len(runs), self.longest - n), dtype=np.int64)], axis=1)
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct rows of ids, counts) of all runs of two to ``longest`` words."""
-        found, counts = [], []
-        for n in range(2, self.longest + 1):
-            runs, times = np.unique(self.of(n), axis=0, return_counts=True)
-            found.append(self.ids(runs, n))
-            counts.append(times)
-        rows, counts = np.concatenate(found), np.concatenate(counts)
-        order = np.lexsort(rows.T[::-1])
-        return rows[order], counts[order]
-
-    def some(self, step: int) -> np.ndarray:
-        """Rows of ids of about one in ``step`` of the slice's distinct runs, chosen by a hash, without sorting the others."""
-        found = []
-        for n in range(2, self.longest + 1):
-            runs = self.of(n)
-            h = runs.astype(np.uint64) if runs.ndim == 1 else (runs.astype(np.uint64) * np.arange(1, 2 * n, 2, dtype=np.uint64)).sum(axis=1)
-            found.append(self.ids(np.unique(runs[mixed(h) % np.uint64(step) == 0], axis=0), n))
-        return np.concatenate(found)
+        return self.known[runs]
+
+    def counted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct runs of n words, counts)."""
+        return np.unique(self.of(n), axis=0, return_counts=True)
+
+    def some(self, n: int, step: int) -> np.ndarray:
+        """Rows of ids of about one in ``step`` of the distinct runs of n words, chosen by a hash, without sorting the others."""
+        runs = self.of(n)
+        h = runs.astype(np.uint64) if runs.ndim == 1 else (runs.astype(np.uint64) * np.arange(1, 2 * n, 2, dtype=np.uint64)).sum(axis=1)
+        return self.ids(np.unique(runs[mixed(h) % np.uint64(step) == 0], axis=0), n)
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
@@ -200,78 +192,92 @@ def opened(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(encoded: DataFrame, words: DataFrame, longest: int, n_words: int) -> DataFrame:
-    """(range, part, keys binary) of every slice's phrases: blocks of sorted keys with counts."""
+    """(size int, range int, part int, keys binary) of every slice's phrases: blocks of sorted keys of size words with counts."""
     spots = encoded.select("slice", "lang", F.posexplode("words").alias("place", "word"))
     of_slice = spots.join(growing(words.select("lang", "word", "id")), ["lang", "word"]).groupBy("slice").agg(F.collect_list(F.struct("place", "id")).alias("known"))
     known = of_slice.select("slice", F.col("known.place").alias("places"), F.col("known.id").alias("ids"))
     mapped = written(encoded.select("slice", "codes").join(growing(known), "slice"), "phrases-slices")
-    ranges = max(1, -(-n_words * (longest - 1) // RANGE))
-    parts, width = -(-ranges // MOST_BOUNDS), WIDE * longest
-    ranges = min(ranges, MOST_BOUNDS)
-    step = max(1, n_words * (longest - 1) // (ranges * SAMPLED))
+    wanted = max(1, -(-n_words // RANGE))
+    parts, ranges = -(-wanted // MOST_BOUNDS), min(wanted, MOST_BOUNDS)
+    step = max(1, n_words // (ranges * SAMPLED))
 
     def runs_of(f: pd.DataFrame) -> Iterator[SliceRuns]:
         for codes, places, ids in zip(f.codes, f.places, f.ids, strict=True):
-            yield SliceRuns(codes, np.asarray(places, dtype=np.int64), np.asarray(ids, dtype=np.int64), longest)
+            yield SliceRuns(codes, np.asarray(places, dtype=np.int64), np.asarray(ids, dtype=np.int64))
 
     def sampled(frames: Iterator[pd.DataFrame]):
         for f in frames:
             for number, runs in zip(f.slice, runs_of(f), strict=True):
-                yield pd.DataFrame({"slice": number, "key": [k.tobytes() for k in packed(runs.some(step))]})
+                for n in range(2, longest + 1):
+                    if len(keys := packed(runs.some(n, step))):
+                        yield pd.DataFrame({"slice": number, "size": n, "key": [k.tobytes() for k in keys]})
 
-    bounds = []
+    bounds: dict[int, list[bytes]] = {n: [] for n in range(2, longest + 1)}
     if ranges > 1:
-        # a key counts once for each slice that has it, as it does in the blocks; at most SAMPLED keys a range reach the driver
-        some = mapped.mapInPandas(sampled, "slice long, key binary").orderBy(F.xxhash64("slice", "key")).limit(ranges * SAMPLED)
-        seen = sorted(bytes(r["key"]) for r in some.collect())
-        bounds = [seen[len(seen) * k // ranges] for k in range(1, ranges)] if seen else []
+        # a key counts once for each slice that has it, as it does in the blocks; at most SAMPLED keys a range and size reach
+        # the driver
+        some = mapped.mapInPandas(sampled, "slice long, size int, key binary").orderBy(F.xxhash64("slice", "key")).limit(ranges * SAMPLED * (longest - 1))
+        drawn = some.collect()
+        for n in bounds:
+            seen = sorted(bytes(r["key"]) for r in drawn if r["size"] == n)
+            bounds[n] = [seen[len(seen) * k // ranges] for k in range(1, ranges)] if seen else []
 
     def cut(frames: Iterator[pd.DataFrame]):
-        at = np.array([*bounds], dtype=f"V{width}")
         for f in frames:
             for runs in runs_of(f):
-                rows, counts = runs.counted()
-                keys = packed(rows)
-                order = np.ascontiguousarray(keys).view(f"V{width}").reshape(-1)
-                ends = [0, *_places(order, at), len(keys)]
-                out = []
-                for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    if a == b:
-                        continue
-                    part = _mixed(keys[a:b]) % np.uint64(parts)
-                    out += [(r, p, block(keys[a:b][part == p], counts[a:b][part == p])) for p in range(parts) if parts == 1 or (part == p).any()]
-                yield pd.DataFrame(out, columns=["range", "part", "keys"])
-
-    return mapped.mapInPandas(cut, "range int, part int, keys binary")
-
-
-def _places(order: np.ndarray, bounds: np.ndarray) -> list[int]:
+                for n in range(2, longest + 1):
+                    found, counts = runs.counted(n)
+                    for begin in range(0, len(found), PACKED):
+                        keys = packed(runs.ids(found[begin : begin + PACKED], n))
+                        out = _blocks(keys, counts[begin : begin + PACKED], bounds[n], parts)
+                        yield pd.DataFrame([(n, *x) for x in out], columns=["size", "range", "part", "keys"])
+
+    return mapped.mapInPandas(cut, "size int, range int, part int, keys binary")
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, bounds: list[bytes], parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(range, part, block) of sorted keys, cut at the bounds and divided by a hash."""
+    ends = [0, *_places(keys, bounds), len(keys)]
+    for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if a == b:
+            continue
+        if parts == 1:
+            yield r, 0, block(keys[a:b], counts[a:b])
+            continue
+        part = _mixed(keys[a:b]) % np.uint64(parts)
+        for p in np.unique(part).tolist():
+            yield r, p, block(keys[a:b][part == p], counts[a:b][part == p])
+
+
+def _places(keys: np.ndarray, bounds: list[bytes]) -> list[int]:
     """Where each bound comes in among sorted keys (bytes compared from the left)."""
     from bisect import bisect_left
 
-    class At:
+    class Rows:
         def __len__(self):
-            return len(order)
+            return len(keys)
 
         def __getitem__(self, k):
-            return order[k].tobytes()
+            return keys[k].tobytes()
 
-    keys = At()
-    return [bisect_left(keys, b.tobytes()) for b in bounds]
+    rows = Rows()
+    return [bisect_left(rows, b) for b in bounds]
 
 
 def counted(blocks: DataFrame, longest: int, least: int) -> DataFrame:
     """(id1, id2, ... , f) of the phrases of at least ``least`` occurrences; a phrase of fewer words has nulls at the end."""
-    names, width = [f"id{k + 1}" for k in range(longest)], WIDE * longest
+    names = [f"id{k + 1}" for k in range(longest)]
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = (np.concatenate(x) for x in zip(*(opened(b, width) for b in group["keys"]), strict=True))
+        size = int(group["size"].iloc[0])
+        keys, counts = (np.concatenate(x) for x in zip(*(opened(b, WIDE * size) for b in group["keys"]), strict=True))
         order = radix_order(keys)
         keys, counts = run_lengths(keys[order], counts[order])
         keep = counts >= least
-        return pd.DataFrame(unpacked(keys[keep]), columns=names).assign(f=counts[keep])
+        ids = unpacked(keys[keep])
+        return pd.DataFrame({name: ids[:, k] if k < size else 0 for k, name in enumerate(names)}, columns=names).assign(f=counts[keep])
 
-    rows = sorted_groups(blocks, ["range", "part"], work, ", ".join(f"{n} long" for n in [*names, "f"]))
+    rows = sorted_groups(blocks, ["size", "range", "part"], work, ", ".join(f"{n} long" for n in [*names, "f"]))
     return rows.select(*[F.nullif(n, F.lit(0)).alias(n) for n in names], "f")
 
 

@@ -53,6 +53,8 @@ def test_against_brute_force(spark, monkeypatch, small):
     if small:  # many slices, ranges and parts
         monkeypatch.setattr(op11, "RANGE", 500)
         monkeypatch.setattr(op11, "MOST_BOUNDS", 7)
+        monkeypatch.setattr(op11, "PACKED", 100)
+        monkeypatch.setattr(op11, "SLICE", 3000)
     rows = corpus()
     df = frame(spark, rows).repartition(5)
     want = by_force(rows)
@@ -91,14 +93,25 @@ def test_keys_sort_as_their_numbers():
 
 def test_runs_whose_numbers_pass_64_bits():
     codes = np.array([0, 1, 2, 0, 1, -1, 2, 0, 1, 2], dtype="<i4")
-    runs = op11.SliceRuns(codes.tobytes(), np.array([0, 1, 2]), np.array([30, 10, 2**39]), 3)
-    rows, counts = runs.counted()
+    runs = op11.SliceRuns(codes.tobytes(), np.array([0, 1, 2]), np.array([30, 10, 2**39]))
     pad = np.arange(2**21) + 2**33
-    wide = op11.SliceRuns(codes.tobytes(), np.append([0, 1, 2], np.arange(3, 3 + len(pad))), np.append([30, 10, 2**39], pad), 3)
+    wide = op11.SliceRuns(codes.tobytes(), np.append([0, 1, 2], np.arange(3, 3 + len(pad))), np.append([30, 10, 2**39], pad))
     assert wide.of(3).ndim == 2 and runs.of(3).ndim == 1
-    again, times = wide.counted()
-    assert (rows == again).all() and (counts == times).all()
-    assert sorted(map(tuple, wide.some(1).tolist())) == sorted(map(tuple, rows.tolist()))
+    for n in (2, 3):
+        (found, counts), (again, times) = runs.counted(n), wide.counted(n)
+        rows = runs.ids(found, n)
+        assert rows.tolist() == sorted(rows.tolist()) == wide.ids(again, n).tolist() and (counts == times).all()
+        assert sorted(map(tuple, wide.some(n, 1).tolist())) == sorted(map(tuple, rows.tolist()))
+
+
+def test_blocks_cut_packed_runs_at_the_bounds():
+    keys = op11.packed(np.array([[1, 5], [1, 9], [2, 2], [7, 1], [7, 3], [9, 9]]))
+    counts = np.arange(6)
+    bounds = [k.tobytes() for k in op11.packed(np.array([[1, 9], [1, 9], [7, 2]]))]
+    out = list(op11._blocks(keys, counts, bounds, 1))
+    assert [(r, op11.unpacked(op11.opened(b, 10)[0])[:, 0].tolist()) for r, _, b in out] == [(0, [1]), (2, [1, 2, 7]), (3, [7, 9])]
+    parted = [op11.opened(b, 10) for _, _, b in op11._blocks(keys, counts, bounds, 3)]
+    assert sorted(c for _, cs in parted for c in cs.tolist()) == list(range(6))
 
 
 def test_scores_are_exact_past_64_bits(spark):
