@@ -6,10 +6,11 @@ Lines carry the keys that put them in order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.functions import text as T
+from inkweave.operators.prefix import running
 
 
 def _given(value: Column) -> Column:
@@ -154,9 +155,9 @@ def rematch_books(books: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def within_calls(rows: DataFrame, by: str, order: list[str], calls: str, most: int = 200) -> DataFrame:
-    """Rows in order until ``most`` calls are spent: a row is taken while fewer calls were spent before it."""
-    before = F.sum(calls).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("spent", F.coalesce(before, F.lit(0))).filter(F.col("spent") < most)
+    """Rows in order until ``most`` calls are spent: a row is taken while fewer calls were spent before it. The order tells
+    rows apart, and no task holds a whole group."""
+    return running(rows, by, order, {"spent": F.col(calls)}, ("spent", lambda spent: spent < most))
 
 
 def reloads(uses: DataFrame, by: str, at: str, ttl_seconds: int = 300) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions import text as T
+from inkweave.operators.prefix import running
 
 
 def summary(value: Column) -> list[Column]:
@@ -87,9 +88,10 @@ def verdict_problem(axes: dict[str, Column], total: Column, grade: Column) -> Co
 
 
 def within_running_budget(rows: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows in order until the budget is used up: the first that doesn't fit ends the list."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= budget)
+    """Rows in order until the budget is used up: the first that doesn't fit ends the list. The order tells rows apart, sizes
+    aren't negative, and no task holds a whole group."""
+    found = running(rows, by, order, {"used": F.col(size)}, ("used", lambda used: used <= budget))
+    return found.withColumn("used", F.col("used") + F.col(size)).filter(F.col("used") <= budget)
 
 
 def within_greedy_budget(groups: DataFrame, sections: str, budget: int, reserved: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.operators.prefix import running
+
 
 def decompose(spans: DataFrame, verdicts: DataFrame, least: int = 2) -> DataFrame:
     """spans (span_id, chunk_id, tags, role, search_class) after verdicts (span_id, parts: array<struct<tags,role,
@@ -57,9 +59,8 @@ def sweep(cands: DataFrame, ceiling: float, flush_every: int = 5) -> DataFrame:
     """Candidates (book_id, kind, chunk_id, cost, outcome) in the order they are worked off, until the cost of a book has
     reached the ceiling: with place (from 1), spent (before it) and flush, the number of the save that holds it."""
     rank = F.array_position(F.array(*[F.lit(k) for k in SWEEP_ORDER]), F.col("kind"))
-    w = Window.partitionBy("book_id").orderBy(rank, "chunk_id")
-    spent = F.coalesce(F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cands.withColumn("place", F.row_number().over(w)).withColumn("spent", spent).filter(F.col("spent") < ceiling)
+    placed = running(cands, "book_id", [rank, "chunk_id"], {"place": F.lit(1), "spent": F.col("cost")}, ("spent", lambda spent: spent < ceiling))
+    placed = placed.withColumn("place", (F.col("place") + 1).cast("int"))
     return placed.withColumn("flush", F.floor((F.col("place") - 1) / flush_every) + 1)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweave.functions.text import starts_with_anaphor, strip
+from inkweave.operators.prefix import running
 
 BOUNDARIES = ["theorem", "definition", "lemma", "proposition", "corollary", "proof", "example", "remark"]
 ROLES = ["claim", "background", "conjecture", "result", "review", "definition", "equation", "application", "citation", "preview", "proof", "remark", "example", "figure_ref"]
@@ -197,8 +198,8 @@ def enriched(tags: Column, role: Column, declared: Column, search_class: Column)
 
 def sessions(pages: DataFrame, size: int = 8) -> DataFrame:
     """pages with the number of their session: a new one every ``size`` pages of a book."""
-    w = Window.partitionBy("book_id").orderBy("page_number")
-    return pages.withColumn("session", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    placed = running(pages, "book_id", ["page_number"], {"session": F.lit(1)})
+    return placed.withColumn("session", F.floor(F.col("session") / size).cast("int"))
 
 
 def kept_pass(passes: DataFrame, least: float = 0.5) -> DataFrame:

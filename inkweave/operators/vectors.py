@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _unit(column: pd.Series) -> np.ndarray:
+def unit(column: pd.Series) -> np.ndarray:
     y = np.vstack(column.to_numpy()).astype(np.float64)
     size = np.linalg.norm(y, axis=1, keepdims=True)
     return np.divide(y, size, out=np.zeros_like(y), where=size > 0)
 
 
-def _best(cosine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(cosine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest finite entries of each row and their ids ([row, entry] or one for all rows), smaller ids first on a
     tie; missing ones are -inf."""
     ids = np.broadcast_to(ids, cosine.shape)
@@ -29,8 +29,8 @@ def _best(cosine: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(cosine, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
-def _cosines(queries: pd.DataFrame, unit: np.ndarray, rows: pd.DataFrame, least: float | None, within: str | None, apart: str | None) -> np.ndarray:
-    found = unit @ _unit(rows["vector"]).T
+def _cosines(queries: pd.DataFrame, asked_unit: np.ndarray, rows: pd.DataFrame, least: float | None, within: str | None, apart: str | None) -> np.ndarray:
+    found = asked_unit @ unit(rows["vector"]).T
     same = lambda c: queries[c].to_numpy()[:, None] == rows[c].to_numpy()[None, :]
     found[queries["query_id"].to_numpy()[:, None] == rows["id"].to_numpy()[None, :]] = -np.inf
     if within:
@@ -42,7 +42,7 @@ def _cosines(queries: pd.DataFrame, unit: np.ndarray, rows: pd.DataFrame, least:
     return found
 
 
-def _listed(queries: pd.DataFrame, cosine: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+def listed(queries: pd.DataFrame, cosine: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
     out = pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), cosine.shape[1]), "id": ids.ravel(), "cosine": cosine.ravel()})
     return out[np.isfinite(out["cosine"])]
 
@@ -69,15 +69,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, within: str | None = None
 
         def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             asked = shared.value
-            best, unit = None, _unit(asked["vector"]) if len(asked) else None
+            best, asked_unit = None, unit(asked["vector"]) if len(asked) else None
             for f in frames:
                 for _, part in f[f["vector"].notna()].groupby(f["vector"].str.len()):
-                    if unit is None or part["vector"].iloc[0].shape[0] != unit.shape[1]:
+                    if asked_unit is None or part["vector"].iloc[0].shape[0] != asked_unit.shape[1]:
                         continue
-                    found = _best(_cosines(asked, unit, part, least, within, apart), part["id"].to_numpy()[None, :], k)
-                    best = found if best is None else _best(*(np.concatenate(x, axis=1) for x in zip(best, found, strict=True)), k)
+                    found = best_of(_cosines(asked, asked_unit, part, least, within, apart), part["id"].to_numpy()[None, :], k)
+                    best = found if best is None else best_of(*(np.concatenate(x, axis=1) for x in zip(best, found, strict=True)), k)
             if best is not None:
-                yield _listed(asked, *best)
+                yield listed(asked, *best)
 
         pairs = rows.mapInPandas(scan, schema)
     else:
@@ -89,7 +89,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, within: str | None = None
         def product(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(r):
                 return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-            return _listed(q, *_best(_cosines(q, _unit(q["vector"]), r, least, None, apart), r["id"].to_numpy()[None, :], k))
+            return listed(q, *best_of(_cosines(q, unit(q["vector"]), r, least, None, apart), r["id"].to_numpy()[None, :], k))
 
         pairs = dealt_queries.groupBy(*keys).cogroup(dealt_rows.groupBy(*keys)).applyInPandas(product, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when they are imported.
-MODULES = ["text_queries", "segment_queries", "graph_queries", "knowledge_queries", "matching_queries", "quality_queries", "relational_queries", "layout_queries", "context_queries"]
+MODULES = ["text_queries", "segment_queries", "graph_queries", "knowledge_queries", "matching_queries", "quality_queries", "relational_queries", "layout_queries", "context_queries", "store_queries", "stream_queries"]
 
 _QUERIES: dict[str, "Query"] = {}
 

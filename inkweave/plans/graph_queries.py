@@ -35,11 +35,11 @@ for _k in range(_ROUNDS):
     _PATHS += f", r{_k + 1} AS MATERIALIZED (SELECT seed, chunk_id, min(b) AS b FROM (SELECT * FROM r{_k} UNION ALL SELECT seed, other_id, {{'w': (b.w + step)::bigint, 'p': list_append(b.p, other_id)}} FROM r{_k} JOIN st USING (chunk_id)) GROUP BY 1, 2)"
 
 
-@query("shortest_path", "I4", f"{_PATHS} SELECT seed, chunk_id, b.w AS weight, array_to_string(b.p, ',') AS path FROM r{_ROUNDS} SEMI JOIN sd USING (chunk_id)")
+@query("shortest_path", "I4", f"{_PATHS} SELECT seed, chunk_id, b.w AS weight, array_to_string(b.p, ',') AS path FROM r{_ROUNDS}")
 def shortest_path(spark, sf):
-    """Between the first chunks of all pages whose number is divisible by 100, by ten edges at most."""
+    """From the first chunks of all pages whose number is divisible by 100 to all chunks within ten edges."""
     asked = chunks(spark, sf).filter("page_number % 100 = 0 and chunk_index = 0").select("chunk_id")
-    found = graph.shortest_paths(edges(spark, sf), asked, _ROUNDS, asked)
+    found = graph.shortest_paths(edges(spark, sf), asked, _ROUNDS)
     return found.select("seed", "chunk_id", "weight", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
