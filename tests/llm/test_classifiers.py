@@ -1,5 +1,7 @@
 """op6, op7, op8: held-out accuracy on the small tables, odd rows, nothing to learn from."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,29 @@ def test_op8_long_and_mixed_disguises(tables):
     assert m.clean("you s t u p 1 d m0r0n") == "you stupid moron"
 
 
+def test_op8_stars_stand_for_letters(tables):
+    docs, labels = tables
+    rows, counts = op8_toxicity.sample(docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").alias("mark")), 1500, 16_000_000)
+    m = op8_toxicity.fit(rows, counts)
+    words = [w for w in m.features if w.isalpha() and len(w) > 4][:12]
+    masked = [(w, w[:k] + "*" + w[k + 1 :]) for w in words for k in (1, 2)]
+    assert len(masked) == 24 and sum(m.restored(s) == w for w, s in masked) >= 22
+    assert m.restored("s*t*u*p*i*d") == m.restored("st**id") == "stupid" and m.restored("i*d*i*o*t") == "idiot"
+
+
+def test_op8_stars_take_bounded_time():
+    import random
+    import time
+
+    r = random.Random(1)
+    letters = [chr(0x4E00 + k) for k in range(1000)]
+    words = Counter({"".join(r.choice(letters) for _ in range(6)): 1 for _ in range(3000)})
+    m = op8_toxicity.LetterModel.of(words, Counter())
+    begin = time.time()
+    assert m.restore("一" + "*-" * 10_000 + "二") and m.restore("一" + "*" * 20_000 + "二")
+    assert time.time() - begin < 60
+
+
 @pytest.mark.parametrize("which", ["op6", "op7", "op8"])
 def test_odd_rows(spark, tables, which):
     docs, labels = tables
