@@ -45,7 +45,7 @@ from inkweave.llm.words import hashed_words, mixed, windows, words_of
 SHINGLE = 5
 COORDINATES = 64
 ROOTS, BRANCHES, DEPTH = 4, 2, 5
-MOST_RUNS = 12
+MOST_RUNS = 40
 _SHIFT = np.uint64(64 - 6)
 _BORDERS = np.arange(COORDINATES, dtype=np.uint64) << _SHIFT
 _PROBES = np.argsort(mixed(np.arange(COORDINATES * COORDINATES, dtype=np.uint64)).reshape(COORDINATES, COORDINATES), axis=1)
@@ -189,7 +189,8 @@ def candidates(classes: DataFrame, run: int, least: float, loose: float, small:
 
 
 def joined(classes: DataFrame, least: float, loose: float, small: int, block: int, recall: float) -> DataFrame:
-    """(node, component) of all nodes with a candidate, after as many runs as the recall takes."""
+    """(node, component) of all nodes with a candidate, after as many runs as the recall takes. A table whose runs go on to
+    meet pairs that were missed is an error after MOST_RUNS, never a short result."""
     labels = None
     for run in range(MOST_RUNS):
         found = pairs = candidates(classes, run, least, loose, small, block)
@@ -212,6 +213,8 @@ def joined(classes: DataFrame, least: float, loose: float, small: int, block: in
         discard(before, more, found)
         if missed <= (1 - recall) * met:
             break
+    else:
+        raise RuntimeError(f"after {MOST_RUNS} runs the last one still met {missed} of {met} close pairs anew: give a lower recall, or more roots")
     return labels
 
 
