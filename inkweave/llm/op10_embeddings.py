@@ -35,6 +35,8 @@ from inkweave.llm.common import components, discard, growing, written
 from inkweave.llm.grouped import sorted_groups
 
 LEAST_DIMS = 16
+#: Rows times codewords that are decoded at a time.
+DECODED = 1_000_000
 PER_DIRECTION = 256
 _CODES: dict[tuple[int, int], tuple] = {}
 
@@ -80,7 +82,13 @@ def _largest_sums(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 
 def decode(vectors: np.ndarray, codewords: int) -> list[np.ndarray]:
-    """The sorted numbers of all directions that each unit vector exceeds its height at."""
+    """The sorted numbers of all directions that each unit vector exceeds its height at; in slices of rows, so that memory
+    follows neither the batch nor the number of codewords."""
+    rows = max(1, DECODED // codewords)
+    return [x for at in range(0, len(vectors), rows) for x in _decoded(vectors[at : at + rows], codewords)]
+
+
+def _decoded(vectors: np.ndarray, codewords: int) -> list[np.ndarray]:
     if vectors.shape[1] < LEAST_DIMS:
         vectors = np.pad(vectors, ((0, 0), (0, LEAST_DIMS - vectors.shape[1])))
     rotation, first, second, height = code(vectors.shape[1], codewords)
