@@ -149,7 +149,8 @@ def pack(cut: DataFrame, tasks: int, size: int = 1024, open_bins: int = 4096) ->
         if held is not None and len(held):
             yield placed(held, bins, first)
 
-    key = F.xxhash64("doc_id", "piece")
+    # all columns: rows of one id, or of none, are as many keys, and a task that runs again sees them in the same order
+    key = F.xxhash64(*shown.columns)
     dealt = shown.repartition(tasks, key).sortWithinPartitions(key, "doc_id", "piece", "length")
     return dealt.mapInPandas(run, out).withColumn("doc_id", F.col("doc_id").cast("long"))
 

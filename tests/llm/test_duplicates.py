@@ -325,3 +325,42 @@ def test_components_of_any_shape(spark, shape):
     nodes = {n for p in pairs if p[0] != p[1] for n in p}
     assert set(got) == nodes and all((got[a] == got[b]) == (label[a] == label[b]) for a in nodes for b in nodes)
     assert components(spark.createDataFrame([], "u long, v long"), "none").count() == 0
+
+
+def test_op10_decoding_takes_the_same_memory_at_any_number_of_codewords():
+    import tracemalloc
+
+    from inkweave.llm import op10_embeddings as op10
+
+    vectors = np.random.RandomState(0).standard_normal((3000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    peaks = []
+    for codewords in (256, 4096):
+        op10.code(32, codewords)
+        tracemalloc.start()
+        lists = op10.decode(vectors, codewords)
+        kept = sum(x.nbytes for x in lists)
+        peaks.append(tracemalloc.get_traced_memory()[1] - kept)
+        tracemalloc.stop()
+        assert len(lists) == 3000 and all(len(x) >= op10.least_list(codewords) for x in lists[::100])
+        assert all((a == b).all() for a, b in zip(lists[:50], op10._decoded(vectors[:50], codewords), strict=True))
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_op9_more_runs_than_twelve(spark, monkeypatch):
+    """Runs that keep meeting new close pairs go on, and end in an error where there are no more."""
+    from inkweave.llm import op9_jaccard as op9
+
+    spent = []
+
+    def met(classes, run, *_):
+        spent.append(run)
+        rows = [(bytes([0, run]), bytes([1, run]), True)] if run < 13 else [(bytes([0, 0]), bytes([1, 0]), True)]
+        return spark.createDataFrame(rows, "u binary, v binary, close boolean")
+
+    monkeypatch.setattr(op9, "candidates", met)
+    labels = op9.joined(None, 0.8, 0.55, 10, 10, 0.999)
+    assert spent == list(range(14)) and labels.count() == 26
+    monkeypatch.setattr(op9, "MOST_RUNS", 3)
+    with pytest.raises(RuntimeError, match="after 3 runs"):
+        op9.joined(None, 0.8, 0.55, 10, 10, 0.999)
