@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions import concepts as C
 from inkweave.functions import text as T
+from inkweave.sources.tables import stage
 
 DEFINES = r":=|\\mathrel\{\\mathop:\}=|\\equiv"
 
@@ -25,7 +26,10 @@ def candidates(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     chunk_index, structural_type, tags, text), spans (span_id, chunk_id, tags, role, span_text).
     """
     usable = chunks.filter(T.defines(F.col("text"))).select("chunk_id", "page_number", "chunk_index", "structural_type", F.col("tags").alias("chunk_tags"))
-    rows = spans.select("span_id", "chunk_id", "tags", "role", "span_text").join(usable, "chunk_id")
+    signs = F.regexp_like("span_text", F.lit(DEFINES)).alias("signed")
+    rows = spans.select("span_id", "chunk_id", "tags", "role", signs).join(usable, "chunk_id")
+    # what four rules read is written once, without its texts
+    rows = stage(rows, "defining")
     defining = F.col("role") == "definition"
     anchors = rows.filter(defining & (F.col("structural_type") == "definition")).groupBy("chunk_id", "page_number", "chunk_index")
     anchors = anchors.agg(F.min_by(F.struct("span_id", "tags"), "span_id").alias("a"), F.first("chunk_tags").alias("chunk_tags"))
@@ -33,7 +37,7 @@ def candidates(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     keep = ["chunk_id", "page_number", "chunk_index", "span_id", "tags", "tier"]
     spoken = rows.filter(defining & (F.col("structural_type") != "definition")).withColumn("tier", F.lit(1)).select(keep)
     named = rows.withColumn("tags", F.transform(F.filter("tags", lambda t: t.endswith("_definition")), lambda t: F.regexp_replace(t, "_definition$", ""))).withColumn("tier", F.lit(2)).select(keep)
-    signed = rows.filter(F.regexp_like("span_text", F.lit(DEFINES))).withColumn("tier", F.lit(1)).select(keep)
+    signed = rows.filter("signed").withColumn("tier", F.lit(1)).select(keep)
     every = top.unionByName(spoken).unionByName(named).unionByName(signed)
     tags = every.withColumn("tag", F.explode("tags")).filter(C.is_concept_tag(F.col("tag")))
     return with_concepts(tags.drop("tags")).drop("tag")

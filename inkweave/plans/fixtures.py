@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.functions import text as T
-from inkweave.sources.tables import read
+from inkweave.sources.tables import read, stage
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,14 +94,15 @@ DUCK_SPANS = f"""(SELECT doc_id * 10000 + pos + 1 AS span_id, source AS book_id,
  FROM (SELECT doc_id, source, s, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, source, {duck_sentences('text')} AS s FROM documents)))"""
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
+def chunks(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     """Spans in chunks of eight by their place: (chunk_id, book_id, page_number, chunk_index, start, end, tags, structural_type, text, words).
 
-    The full rules are those of operators.segments; this is the plain case in which only the cap fires.
+    The full rules are those of operators.segments; this is the plain case in which only the cap fires. ``of`` are the spans, if
+    they are at hand.
     """
     index = F.floor((F.col("sentence") - 1) / 8).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct("sentence", "span_text", "tags")))
-    grouped = spans(spark, sf).groupBy("book_id", "page_number", index.alias("chunk_index")).agg(ordered.alias("s"))
+    grouped = (spans(spark, sf) if of is None else of).groupBy("book_id", "page_number", index.alias("chunk_index")).agg(ordered.alias("s"))
     body = F.array_join(F.transform("s", lambda x: x["span_text"]), " ")
     return grouped.select(
         (F.col("page_number") * 1000 + F.col("chunk_index")).alias("chunk_id"),
@@ -133,10 +134,16 @@ def letter(number: Column) -> Column:
     return F.char((number % 26 + 97).cast("long"))
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """One edge from each chunk to the first chunk of an earlier page (or its own), with letters and kinds by arithmetic."""
+def library(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(spans, chunks), each written once: texts are read and cut one time for all that follows."""
+    made = stage(spans(spark, sf), "spans")
+    return made, stage(chunks(spark, sf, made), "chunks")
+
+
+def edges(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """One edge from each chunk (``of``, if they are at hand) to the first chunk of an earlier page (or its own), with letters and kinds by arithmetic."""
     n = F.col("page_number") + F.col("chunk_index")
-    out = chunks(spark, sf).select(
+    out = (chunks(spark, sf) if of is None else of).select(
         F.col("chunk_id").alias("edge_id"),
         F.col("chunk_id").alias("from_chunk"),
         F.when(n % 7 != 6, F.col("page_number") * 10_000 + F.col("chunk_index") * 8 + 1).alias("from_span"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkweave.functions import scales, text
 from inkweave.operators import graph
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, RELATIONS, chunks, documents, duck_pick, duck_weight, edges, pick, q, spans
+from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, RELATIONS, chunks, documents, duck_pick, duck_weight, edges, library, pick, q, spans
 
 _BOTH = f"(SELECT edge_id, from_chunk AS chunk_id, to_chunk AS other_id, 'out' AS direction, relation, confidence, relevance FROM {DUCK_EDGES} UNION ALL SELECT edge_id, to_chunk, from_chunk, 'in', relation, confidence, relevance FROM {DUCK_EDGES})"
 _W, _V = duck_weight("confidence"), duck_weight("relevance")
@@ -24,8 +24,8 @@ def read_chunk(spark, sf):
     return chunks(spark, sf).join(per, "chunk_id").select("chunk_id", "book_id", F.col("words").cast("long").alias("words"), "n_spans", F.array_join(F.transform("s", lambda x: x["search_class"]), "").alias("classes"))
 
 
-def _chunk_spans(spark, sf):
-    return spans(spark, sf).withColumn("chunk_id", F.col("page_number") * 1000 + F.floor((F.col("sentence") - 1) / 8))
+def _chunk_spans(spark, sf, of=None):
+    return (spans(spark, sf) if of is None else of).withColumn("chunk_id", F.col("page_number") * 1000 + F.floor((F.col("sentence") - 1) / 8))
 
 
 _ROUNDS = 10
@@ -69,7 +69,8 @@ b AS (SELECT *, row_number() OVER (PARTITION BY chunk_id, direction, relation, o
 e AS (SELECT chunk_id, count(*) AS n_edges, string_agg(direction || ':' || relation || ':' || other_id, ' ' ORDER BY {_W}, edge_id, direction) AS edges FROM b WHERE rank = 1 GROUP BY 1)
 SELECT c.book_id, c.page_number, c.chunk_id, c.start, c."end", s.n_spans, s.n_open, coalesce(n_edges, 0) AS n_edges, coalesce(edges, '') AS edges FROM {DUCK_CHUNKS} c LEFT JOIN s USING (chunk_id) LEFT JOIN e USING (chunk_id)""")
 def page_view(spark, sf):
-    made = graph.page_view(chunks(spark, sf), _chunk_spans(spark, sf), edges(spark, sf))
+    spans_, chunks_ = library(spark, sf)
+    made = graph.page_view(chunks_, _chunk_spans(spark, sf, spans_), edges(spark, sf, chunks_))
     shown = F.array_join(F.transform("edges", lambda e: F.concat_ws(":", e["direction"], e["relation"], e["other_id"].cast("string"))), " ")
     return made.select("book_id", "page_number", "chunk_id", "start", "end", "n_spans", "n_open", F.when(F.col("edges").isNull(), 0).otherwise(F.size("edges")).cast("long").alias("n_edges"), F.coalesce(shown, F.lit("")).alias("edges"))
 

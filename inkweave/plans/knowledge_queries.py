@@ -9,16 +9,16 @@ from inkweave.functions import text as T
 from inkweave.operators import dictionary as D
 from inkweave.operators import vectors as V
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_SPANS, chunks, documents, duck_pick, pick, q, read, spans, tag_of
+from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_SPANS, chunks, documents, duck_pick, library, pick, q, read, spans, tag_of
 from inkweave.plans.text_queries import _DUCK_SYNONYMS, _HYPHEN, _SNAKE, _TOKENS, duck_concepts
 from inkweave.sources.tables import stage
 
 _CID = "page_number * 1000 + (sentence - 1) // 8"
 
 
-def _spans(spark, sf):
+def _spans(spark, sf, of=None):
     text = F.concat(F.col("span_text"), F.when((F.col("page_number") * 3 + F.col("sentence")) % 31 == 0, " x := y").otherwise(""))
-    return spans(spark, sf).withColumn("chunk_id", F.col("page_number") * 1000 + F.floor((F.col("sentence") - 1) / 8)).withColumn("span_text", text)
+    return (spans(spark, sf) if of is None else of).withColumn("chunk_id", F.col("page_number") * 1000 + F.floor((F.col("sentence") - 1) / 8)).withColumn("span_text", text)
 
 
 _ANAPHOR = "^\\s*(these|this|that|those|it|they|them|such|hence|thus|therefore|so|consequently|accordingly|moreover|furthermore)\\b"
@@ -37,8 +37,14 @@ _LATE = "CASE WHEN coalesce({0}, 0) = 0 THEN 1099511627776 ELSE {0} END"
 _BEST = f"best AS MATERIALIZED (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY tier, {_LATE.format('page_number')}, {_LATE.format('chunk_index')}, span_id, chunk_id) AS r FROM cand) WHERE r = 1)"
 
 
+def _library(spark, sf):
+    """(chunks, spans) out of one reading of the texts."""
+    s, c = library(spark, sf)
+    return c, _spans(spark, sf, s)
+
+
 def _dictionary(spark, sf):
-    return D.best(D.candidates(chunks(spark, sf), _spans(spark, sf)))
+    return D.best(D.candidates(*_library(spark, sf)))
 
 
 @query("definition_candidates", "F2 F3", f"WITH {_CANDS} SELECT concept, tier, count(*) AS n FROM cand GROUP BY 1, 2")
@@ -55,7 +61,7 @@ def dictionary_best(spark, sf):
 old AS (SELECT concept, tier, span_id, chunk_id, page_number, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY tier, {_LATE.format('page_number')}, {_LATE.format('chunk_index')}, span_id, chunk_id) AS r FROM cand WHERE page_number % 2 = 0 AND tier > 0) WHERE r = 1)
 SELECT coalesce(b.concept, o.concept) AS concept, CASE WHEN o.concept IS NULL OR (b.tier, {_LATE.format('b.page_number')}, {_LATE.format('b.chunk_index')}) < (o.tier, {_LATE.format('o.page_number')}, {_LATE.format('o.chunk_index')}) THEN b.span_id ELSE o.span_id END AS span_id FROM best b FULL JOIN old o USING (concept)""")
 def dictionary_merge(spark, sf):
-    cands = D.candidates(chunks(spark, sf), _spans(spark, sf))
+    cands = D.candidates(*_library(spark, sf))
     return D.merge(D.best(cands.filter("page_number % 2 = 0 and tier > 0")), D.best(cands)).select("concept", "span_id")
 
 
@@ -64,7 +70,8 @@ w AS (SELECT DISTINCT span_id, s.chunk_id, unnest(cs) AS concept FROM (SELECT sp
 SELECT span_id, target_chunk FROM (SELECT DISTINCT w.span_id, w.chunk_id, b.chunk_id AS target_chunk FROM w JOIN best b USING (concept) WHERE w.chunk_id <> b.chunk_id) WHERE NOT (span_id % 3 = 0)""")
 def definition_links(spark, sf):
     """Every third span has its edges already."""
-    made, spans_ = stage(_dictionary(spark, sf), "dictionary"), _spans(spark, sf)  # a row for each concept, read twice
+    chunks_, spans_ = _library(spark, sf)
+    made = stage(D.best(D.candidates(chunks_, spans_)), "dictionary")  # a row for each concept, read twice
     existing = D.links(spans_.filter("span_id % 3 = 0"), made).select("span_id", "target_chunk")
     return D.links(spans_, made, existing).select("span_id", "target_chunk")
 
@@ -74,14 +81,16 @@ tg2 AS (SELECT DISTINCT span_id, chunk_id, role, signed, unnest(cs) AS concept F
 al AS (SELECT chunk_id, structural_type FROM {DUCK_CHUNKS}), sk AS (SELECT concept, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY span_id) AS k FROM tg2 WHERE role = 'definition') WHERE k <= 20), sg AS (SELECT concept, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY span_id) AS k FROM tg2 WHERE signed) WHERE k <= 10)
 SELECT concept, chunk_id, min(tier) AS tier FROM (SELECT concept, chunk_id, tier FROM best UNION ALL SELECT concept, chunk_id, CASE WHEN structural_type = 'definition' THEN 0 ELSE 1 END FROM sk JOIN al USING (chunk_id) UNION ALL SELECT concept, chunk_id, 1 FROM sg) GROUP BY 1, 2""")
 def definition_gather(spark, sf):
-    return D.gather(chunks(spark, sf), _spans(spark, sf), _dictionary(spark, sf))
+    chunks_, spans_ = _library(spark, sf)
+    return D.gather(chunks_, spans_, D.best(D.candidates(chunks_, spans_)))
 
 
 @query("missing_definitions", "F13", f"""WITH {_CANDS}, {_BEST}, mp AS (SELECT tag, {duck_concepts('tag')} AS cs FROM (SELECT DISTINCT unnest(tags) AS tag FROM sp)),
 w AS (SELECT DISTINCT span_id, book_id, unnest(cs) AS concept FROM (SELECT span_id, book_id, unnest(tags) AS tag FROM sp WHERE gap_type = 'definition' OR search_class = 'L') JOIN mp USING (tag))
 SELECT book_id, concept, count(*) AS n FROM w WHERE concept NOT IN (SELECT concept FROM best WHERE concept NOT IN ('bcfw', 'splitting', 'hidden_zeros')) GROUP BY 1, 2""")
 def missing_definitions(spark, sf):
-    return D.missing(_spans(spark, sf), _dictionary(spark, sf).filter("concept not in ('bcfw', 'splitting', 'hidden_zeros')"))
+    chunks_, spans_ = _library(spark, sf)
+    return D.missing(spans_, D.best(D.candidates(chunks_, spans_)).filter("concept not in ('bcfw', 'splitting', 'hidden_zeros')"))
 
 
 _SYNONYM = f"coalesce({_DUCK_SYNONYMS}[{_HYPHEN}], {_HYPHEN})"

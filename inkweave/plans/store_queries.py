@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from inkweave.functions import text as T
-from inkweave.operators import asof, partitions, sketches, vector_index
+from inkweave.operators import asof, markers, partitions, quotes, sketches, vector_index
 from inkweave.operators import vectors as V
 from inkweave.plans.catalog import query
 from inkweave.plans.fixtures import documents, duck_chain, pages, read
@@ -113,3 +113,32 @@ def sketch_merge(spark, sf):
     month = spark.read.parquet(folder).withColumn("month", F.trunc("day", "month"))
     out = sketches.figures(sketches.merged(month, "month"), [0.1, 0.5, 0.9], 3)
     return out.withColumn("top", F.transform("top", lambda x: x["item"]))
+
+
+# ── quotes and markers in the whole library ──
+
+
+@query("quote_search", "J1 I5", r"""WITH d AS (SELECT doc_id, string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') AS w FROM documents),
+a AS (SELECT doc_id AS quote_id, CASE WHEN doc_id % 200 = 0 THEN w[2:25] ELSE list_concat(w[2:12], ['zzz', 'qqq']) END AS q FROM d WHERE doc_id % 100 = 0),
+b AS (SELECT quote_id, q, unnest(list_distinct(list_filter([len(q), 40, 30, 20, 15, 10, 6, 4, 3], lambda n: n >= 3 AND n <= len(q)))) AS words FROM a),
+h AS (SELECT quote_id, words, doc_id AS page_id, unnest(list_filter(list_filter(range(1, len(w) + 1), lambda i: w[i] = q[1]), lambda i: w[i:i + words - 1] = q[1:words])) - 1 AS start FROM b JOIN d ON list_contains(w, q[1]))
+SELECT quote_id, words, page_id, start FROM h QUALIFY words = max(words) OVER (PARTITION BY quote_id)""")
+def quote_search(spark, sf):
+    """24 words of every hundredth document are found in the library, in it and in its copies; every second quote ends in words
+    that no document has."""
+    folder = _folder(spark, "quotes")
+    docs = documents(spark, sf).select(F.col("doc_id").alias("page_id"), "text")
+    quotes.store(docs, folder)
+    w = quotes.words_of(F.col("text"))
+    quote = F.when(F.col("page_id") % 200 == 0, F.slice(w, 2, 24)).otherwise(F.concat(F.slice(w, 2, 11), F.array(F.lit("zzz"), F.lit("qqq"))))
+    asked = docs.filter("page_id % 100 = 0").select(F.col("page_id").alias("quote_id"), F.array_join(quote, " ").alias("quote"))
+    return quotes.search(spark, folder, asked)
+
+
+@query("marker_scan", "E3 F8 G6", r"""WITH m AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS marker FROM benchmark)
+SELECT doc_id AS text_id, marker AS marker_id FROM documents JOIN m ON length(marker) >= 4 AND contains(text, marker)""")
+def marker_scan(spark, sf):
+    """All words of the benchmark of four characters or more, as markers, in all documents."""
+    words = read(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("marker")).filter(F.length("marker") >= 4).distinct()
+    texts = documents(spark, sf).select(F.col("doc_id").alias("text_id"), "text")
+    return markers.found(texts, words.select(F.col("marker").alias("marker_id"), "marker"))
