@@ -10,7 +10,10 @@ One pass deals the documents to slices of about HELD bytes and writes them with
 and the next one) and their training counts, packed by part: a hash of the last two bytes of the context. All that a gram's
 value takes lies in its part, but for the counts of one and two bytes, which are broadcast (65,536 at most). A task so
 builds the trie of one part, then answers each slice's grams of that part; the values meet the documents again by slice.
-Memory follows the different grams of a part and of a slice. The unigram baseline needs exact counts of all tokens: those
+Contexts that end in the same bytes more than CROWD times (or, if that is more, a CROWDS-th of all bytes) leave their part
+and are dealt by one byte more, again and again up to ORDER bytes. What they then lack, the counts behind each crowded
+ending itself, is broadcast: 256 numbers for each of at most CROWDS endings of a length. Which parts there are changes no
+value. Memory follows the different grams of a part and of a slice. The unigram baseline needs exact counts of all tokens: those
 that make up at least one of HOT tokens (at most HOT of them) are broadcast, the rest are joined by a 64-bit hash.
 
 Null and empty texts have the end sign alone. A null id belongs to the fold of the empty text. Repeated rows are scored
@@ -36,6 +39,7 @@ PARTS = 256
 HOT = 1_000_000
 SLICE = 1_000_000
 HELD = 32_000_000
+CROWD, CROWDS = 20_000_000, 4096
 SCORED = 500_000, 256  # characters and rows scored at once: a gram and a row's number share 64 bits
 END = b"\n"
 
@@ -169,8 +173,7 @@ def _documents(slice_: int, row: int, f: pd.DataFrame, streams: list[bytes]) ->
 
 def _slice_rows(slice_: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
     """The packed grams of a slice by part, and its training counts of the last two bytes."""
-    suffix = keys >> np.uint64(8) & np.uint64(65535)
-    part = (suffix * np.uint64(40503) & np.uint64(65535)) * np.uint64(PARTS) >> np.uint64(16)
+    part = _part(_last(keys >> np.uint64(8), 2))
     order = np.argsort(part, kind="stable")
     keys, n, part = keys[order], n[order], part[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -298,17 +301,87 @@ class Trie:
         return out
 
 
-def answered(rows: DataFrame) -> DataFrame:
+def _part(pair: np.ndarray) -> np.ndarray:
+    """The part of contexts by their last two bytes."""
+    return (pair * np.uint64(40503) & np.uint64(65535)) * np.uint64(PARTS) >> np.uint64(16)
+
+
+def _last(keys: np.ndarray, size: int) -> np.ndarray:
+    """The last bytes of keys."""
+    return keys & np.uint64(256**size - 1)
+
+
+def crowded(rows: DataFrame, pairs: tuple[np.ndarray, np.ndarray], crowd: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length from two bytes on: the endings of contexts that stand there too often for one part, and the (sorted grams of
+    that order, counts) behind them."""
+    keys, n = pairs
+    least, found = max(crowd, int(n.sum()) // CROWDS), []
+    endings = keys[n > least]
+    parts = [int(p) for p in np.unique(_part(endings))]
+    for size in range(2, ORDER):
+        if not len(endings):
+            break
+
+        def run(frames, endings=endings, size=size):
+            kept = [Merged(), Merged()]
+            for f in frames:
+                for data, counts in zip(f.grams, f.counts, strict=True):
+                    grams_, times = np.cumsum(unpacked(data), dtype=np.uint64), unpacked(counts).astype(np.int64)
+                    inside = (times > 0) & np.isin(_last(grams_ >> np.uint64(8), size), endings)
+                    if inside.any():
+                        kept[0].add(_last(grams_[inside], size + 1), times[inside])
+                        kept[1].add(_last(grams_[inside] >> np.uint64(8), size + 1), times[inside])
+            for longer, sums in enumerate(kept):
+                if sums.parts:
+                    k, t = sums.take()
+                    yield pd.DataFrame({"longer": bool(longer), "key": k.view(np.int64), "n": t})
+
+        some = rows.filter((F.col("kind") == GRAMS) & F.col("part").isin(parts)).select("grams", "counts")
+        sums = some.mapInPandas(run, "longer boolean, key long, n long").groupBy("longer", "key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
+        behind, longer = sums[~sums["longer"]], sums[sums["longer"] & (sums["n"] > least)]
+        found.append((endings, behind["key"].to_numpy().astype(np.uint64), behind["n"].to_numpy().astype(np.int64)))
+        endings = longer["key"].to_numpy().astype(np.uint64)
+    return found
+
+
+def answered(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(slice, grams, values): the log10 probabilities of each slice's grams, from the rows of read()."""
     pairs = rows.filter(F.col("kind") == PAIR).groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
     two = pairs["key"].to_numpy().astype(np.uint64), pairs["n"].to_numpy().astype(np.int64)
-    low = rows.sparkSession.sparkContext.broadcast([tallied(two[0] & np.uint64(255), two[1]), two])
+    crowds = crowded(rows, two, crowd)
+    low = rows.sparkSession.sparkContext.broadcast(([tallied(_last(two[0], 1), two[1]), two], crowds))
+
+    def dealt(frames):
+        """Packed grams of crowded endings by one byte more: ending is its length and its bytes, 0 for all others."""
+        for f in frames:
+            for part, slice_, data, counts in zip(f.part, f["slice"], f.grams, f.counts, strict=True):
+                keys, n = np.cumsum(unpacked(data), dtype=np.uint64), unpacked(counts)
+                ending = np.zeros(len(keys), dtype=np.uint64)
+                for size, (endings, _, _) in enumerate(low.value[1], 2):
+                    inside = np.isin(_last(keys >> np.uint64(8), size), endings)
+                    ending[inside] = np.uint64((size + 1) << 48) | _last(keys[inside] >> np.uint64(8), size + 1)
+                order = np.argsort(ending, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(ending[order]) > 0))
+                each = [(packed(np.diff(keys[at], prepend=np.uint64(0))), packed(n[at])) for at in np.split(order, first[1:])]
+                yield pd.DataFrame({"part": part, "ending": ending[order][first].view(np.int64), "slice": slice_, "grams": [g for g, _ in each], "counts": [c for _, c in each]})
+
+    def orders(ending: int, keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = list(low.value[0])
+        for k in range(2, ORDER + 1):
+            if k < ending >> 48:
+                _, behind, times = low.value[1][k - 2]
+                context = (ending & (256**k - 1)) << 8
+                begin, end = np.searchsorted(behind, np.array([context, context + 256], dtype=np.uint64))
+                out.append((behind[begin:end], times[begin:end]))
+            else:
+                out.append(tallied(_last(keys, k + 1), n))
+        return out
 
     def run(frames):
         part, learnt, trie = None, Merged(), None
         for f in frames:
             found = []
-            for at, asked, slice_, data, counts in zip(f.part, f.asked, f["slice"], f.grams, f.counts, strict=True):
+            for *at, asked, slice_, data, counts in zip(f.part, f.ending, f.asked, f["slice"], f.grams, f.counts, strict=True):
                 if at != part:
                     part, learnt, trie = at, Merged(), None
                 keys = np.cumsum(unpacked(data), dtype=np.uint64)
@@ -317,17 +390,20 @@ def answered(rows: DataFrame) -> DataFrame:
                     learnt.add(keys[n > 0], n[n > 0])
                     continue
                 if trie is None:
-                    every, n = learnt.take()
-                    trie = Trie(low.value + [tallied(every & np.uint64(256 ** (k + 1) - 1), n) for k in range(2, ORDER + 1)])
+                    trie = Trie(orders(int(at[1]), *learnt.take()))
                 found.append((slice_, data, trie.log10(keys).astype(np.float32).tobytes()))
             yield pd.DataFrame(found, columns=["slice", "grams", "values"])
 
-    own = rows.filter(F.col("kind") == GRAMS).select("part", "slice", "grams", "counts")
+    own = rows.filter(F.col("kind") == GRAMS).select("part", F.lit(0).cast("long").alias("ending"), "slice", "grams", "counts")
+    if crowds:
+        split = F.col("part").isin([int(p) for p in np.unique(_part(crowds[0][0]))])
+        own = own.filter(~split).unionByName(own.filter(split).mapInPandas(dealt, own.schema))
+        own = written(own, "op3-dealt")
     own = own.withColumn("asked", F.lit(False)).unionByName(own.withColumn("asked", F.lit(True)).withColumn("counts", F.lit(None).cast("binary")))
-    return own.repartition("part").sortWithinPartitions("part", "asked").mapInPandas(run, "slice long, grams binary, values binary")
+    return own.repartition("part", "ending").sortWithinPartitions("part", "ending", "asked").mapInPandas(run, "slice long, grams binary, values binary")
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD) -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD, crowd: int = CROWD) -> DataFrame:
     """Scores of all docs (doc_id, text), learnt from those whose fold of parts isn't held.
 
     (doc_id, held_out boolean, n_tokens, n_known, train_tokens long, base_score, score double): base_score is the
@@ -384,7 +460,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, held_bytes: int = HELD
 
     texts = rows.filter(F.col("kind") == DOCUMENT).select("slice", "row", "doc_ids", "held_out", "sizes", "texts")
     # a slice's values, whose row is -1, come before its documents
-    met = answered(rows).withColumn("row", F.lit(-1).cast("long")).unionByName(texts, allowMissingColumns=True)
+    met = answered(rows, crowd).withColumn("row", F.lit(-1).cast("long")).unionByName(texts, allowMissingColumns=True)
     n_slices = rows.filter(F.col("kind") == DOCUMENT).agg(F.count_distinct("slice")).first()[0]
     # four tasks for each slice, so that few tasks hold several slices in one batch of Arrow
     met = met.repartition(max(1, 4 * n_slices), "slice").sortWithinPartitions("slice", "row")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import slices, written
+from inkweave.llm.common import growing, slices, written
 from inkweave.llm.words import coded_words, hashes_of, mixed, windows, words_of
 
 WINDOW, PREFIX = 20, 5
@@ -286,12 +286,12 @@ def remove(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     repeated = written(repeated, "op5-repeated")
     large = repeated.filter("size > 0").select("prefix", F.lit(1).alias("large"))
     prefixes = repeated.filter("size = 0").join(large, "prefix", "left").groupBy("id", "key").agg(F.collect_set(F.struct("prefix", F.coalesce("large", F.lit(0)).alias("large"))).alias("prefixes"))
-    # the rows are dealt once, with all their columns: both joins read that exchange
-    dealt = rows.repartition("id", "key")
-    leaves = dealt.join(prefixes, ["id", "key"]).mapInPandas(_leaves, LEAVES)
+    # both joins read one exchange of the rows with all their columns; it is the joins' own, so that adaptive execution may
+    # split very many rows of one id and text
+    leaves = rows.join(growing(prefixes), ["id", "key"]).mapInPandas(_leaves, LEAVES)
     gone = leaves.repartition("place").sortWithinPartitions("place", "id", "start").mapInPandas(_nodes, "id long, key long, start int, n int")
     runs = gone.groupBy("id", "key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     shorten = F.pandas_udf(cut, "n_words long, n_removed long, kept string")
-    out = dealt.join(runs, ["id", "key"], "left").select("*", shorten("text", "runs").alias("out"))
+    out = rows.join(growing(runs), ["id", "key"], "left").select("*", shorten("text", "runs").alias("out"))
     doc_id, *others = [F.col(new).alias(old) for new, old in names.items()]
     return out.select(doc_id, "out.*", *others)

@@ -77,3 +77,28 @@ def test_op3_keeps_rare_grams_of_a_large_corpus(spark):
     for size in (op3.HELD, 50_000):
         got = {r.doc_id: r.score for r in op3.score(plain(spark, texts), held_bytes=size).collect()}
         assert got == pytest.approx(want, rel=1e-5)
+
+
+@pytest.mark.parametrize("crowd", [op3.CROWD, 300, 5])
+def test_op3_crowded_endings_are_dealt_by_more_bytes(spark, crowd):
+    # "ka" ends most contexts
+    texts = {k: "ka" * 200 + " " + prose(k, 60) + " ka" * 50 for k in range(40)} | {200: None, 201: ""}
+    streams = {i: [b" ".join((t or "").encode().split()) + b"\n"] for i, t in texts.items()}
+    keys, n = op3.tallied(op3.grams([s for i, (s,) in streams.items() if not held(i)])[0])
+    trie = op3.Trie([op3.tallied(keys & np.uint64(256 ** (k + 1) - 1), n) for k in range(op3.ORDER + 1)])
+    want = {i: trie.log10(op3.grams(s)[0]).sum() for i, s in streams.items()}
+    got = {r.doc_id: r.score for r in op3.score(plain(spark, texts), held_bytes=3000, crowd=crowd).collect()}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_op3_crowded_endings_by_length(spark):
+    texts = plain(spark, {k: "ka" * 200 for k in range(20)}).selectExpr("string(doc_id) AS doc_id", "text", "false AS held_out")
+    rows = op3.read(texts).cache()
+    pairs = rows.filter("kind = 2").groupBy("key").sum("n").toPandas().sort_values("key")
+    two = pairs["key"].to_numpy().astype(np.uint64), pairs["sum(n)"].to_numpy().astype(np.int64)
+    found = op3.crowded(rows, two, 300)
+    assert [{e.to_bytes(8, "big")[-k:] for e in endings.tolist()} for k, (endings, _, _) in enumerate(found, 2)] == [{b"kakaka"[:k], b"akakak"[:k]} for k in range(2, op3.ORDER)]
+    assert op3.crowded(rows, two, op3.CROWD) == []
+    # behind "ka": k, and the end of each text
+    assert dict(zip(found[0][1].tolist(), found[0][2].tolist()))[int.from_bytes(b"kak", "big")] == 20 * 199
+    rows.unpersist()

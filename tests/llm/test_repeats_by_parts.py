@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from inkweave.llm import op5_repeats as op5
-from tests.llm.helpers import prose
+from tests.llm.helpers import frame, prose
 from tests.llm.test_duplicates import corpus, removed
 
 
@@ -83,3 +83,15 @@ def test_deep_nodes_name_equal_windows():
     for k in range(n):
         assert by.setdefault(tuple(codes[k : k + op5.WINDOW]), names[k]) == names[k]
     assert len(set(by.values())) == len(by)
+
+
+@pytest.mark.parametrize("one", [None, 5])
+def test_very_many_rows_of_one_id_and_text_can_be_split(spark, one):
+    long = prose(3, 60)
+    rows = [(one, long, "en", "s", 1)] * 400 + [(k, prose(k, 30) + " " + long + " end", "en", "s", 1) for k in (1, 9)]
+    out = op5.remove(frame(spark, rows), ["lang"])
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in out.collect()}
+    # the first document keeps the passage with the word behind it, all others lose what they have of it
+    assert out.count() == 402 and got == {(1, 91, 0), (one, 60, 60), (9, 91, 61)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan.split("MapInPandas")[0], "the texts are dealt by the join, whose skew can be split"
