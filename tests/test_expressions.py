@@ -50,6 +50,33 @@ def test_golden(spark, column, expected):
     assert one(spark, column()) == expected
 
 
+_HTML = "<h2>A &amp; B</h2><p>x  y<br>z&nbsp;&lt;w</p><div>d</div><ul><li>e</li></ul>"
+
+
+@pytest.mark.parametrize(
+    "way,expected",
+    [
+        ("spans", "A & B\n\n x y\nz <w\n\n d\n e"),
+        ("pages", "A & B\n\nx  y\nz <w\n\nd\ne"),
+        ("repair", "A & B\n\nx y\nz <w\n\nd\n\ne"),
+        ("notes", "A & Bx  y\nz <w\nd\ne"),
+        ("reprocess", "A & Bx  y\nz <w\n\nd\ne"),
+    ],
+)
+def test_html_to_text_ways(spark, way, expected):
+    assert one(spark, text.html_to_text(F.lit(_HTML), way)) == expected
+
+
+@pytest.mark.parametrize("line,expected", [("QUANTUM FIELDS, REVISITED", True), ("AB CD EF GH IJ", True), ("ABCDE, FGH", True), ("ABCD, FGH", False), ("A, B, C, D, E", False), ("QUANTUM-FIELDS", False), ("Quantum FIELDS HERE", False)])
+def test_headings_in_capitals(spark, line, expected):
+    assert one(spark, text.is_heading(F.lit(line))) is expected
+
+
+@pytest.mark.parametrize("words,expected", [("These are", True), (" it holds", True), ("Furthermore, x", True), ("Theseus", False), ("A cat. It sat", False), (None, False)])
+def test_anaphors(spark, words, expected):
+    assert one(spark, text.starts_with_anaphor(F.lit(words).cast("string"))) is expected
+
+
 def test_codecs(spark):
     assert [tuple(r) for r in one(spark, scales.decode_ranking(F.lit("ez ct")))] == [(5, "z", 25.5 / 26), (3, "t", 19.5 / 26)]
     assert [tuple(r)[:3] for r in one(spark, scales.decode_classification(F.lit("epz cdm")))] == [("extends", "p", "z"), ("contradicts", "d", "m")]
