@@ -192,9 +192,8 @@ def note_match(spark, sf):
 @query("gap_fill", "G22", f"WITH {_PAIRS}, f AS ({_ranked('pr', 5, 'query_id NOT IN (SELECT query_id FROM pr WHERE cosine >= 0.5)')}) SELECT query_id, id, rank FROM f")
 def gap_fill(spark, sf):
     """Asking rows that nothing covers (no cosine of 0.5) get their five nearest."""
-    rows, asked = _rows(spark, sf).drop("label"), _asked(spark, sf).drop("label")
-    covered = V.top_k(rows, asked, 1, least=0.5).select("query_id")
-    return V.top_k(rows, asked.join(covered, "query_id", "left_anti"), 5).select("query_id", "id", "rank")
+    found = V.top_k(_rows(spark, sf).drop("label"), _asked(spark, sf).drop("label"), 5)
+    return V.below(found, 0.5).select("query_id", "id", "rank")
 
 
 @query("coverage_report", "G23", f"SELECT book_id, count(*) AS chunks, count(*) FILTER (hit) AS covered, round(count(*) FILTER (hit) / count(*)::double, 6) AS ratio FROM (SELECT c.book_id, c.chunk_id IN (SELECT to_chunk FROM {DUCK_EDGES} WHERE list_contains(['extends', 'proves'], relation)) AS hit FROM {DUCK_CHUNKS} c) GROUP BY 1")
