@@ -129,15 +129,23 @@ def quote_place(container: Column, quote: Column) -> Column:
     """struct<pass,words>: how a quote is found in a text: by the longest of its beginnings (all words, 40, 30, 20, 15, 10, 6,
     4, 3) that occurs (pass 1), else by its letters and digits alone, 20 to 6 of them (pass 2), else pass 0."""
     c, q = T.quote_form(container), T.quote_form(quote)
-    words = F.filter(F.split(q, " "), lambda w: w != "")
-    sizes = F.filter(F.array_distinct(F.concat(F.array(F.size(words)), F.array(*[F.lit(n) for n in (40, 30, 20, 15, 10, 6, 4, 3)]))), lambda n: (n >= 2) & (n <= F.size(words)))
-    hit = F.get(F.filter(sizes, lambda n: F.contains(c, F.array_join(F.slice(words, F.lit(1), n), " "))), F.lit(0))
-    bare = lambda x: F.regexp_replace(x, "[^a-z0-9]", "")
-    probe = F.get(F.filter(F.array(*[F.lit(n) for n in range(20, 4, -2)]), lambda n: F.contains(bare(c), F.substring(bare(q), F.lit(1), n))), F.lit(0))
-    return F.when(hit.isNotNull(), F.struct(F.lit(1).alias("pass"), hit.alias("words"))).when((F.length(bare(q)) >= 8) & probe.isNotNull(), F.struct(F.lit(2).alias("pass"), probe.alias("words"))).otherwise(F.struct(F.lit(0).alias("pass"), F.lit(0).alias("words")))
+    bare = lambda x: F.regexp_replace(x, "[^a-z0-9]+", "")
+    found = lambda way, words: F.struct(F.lit(way).alias("pass"), words.alias("words"))
 
+    def by_letters(b):
+        probe = F.get(F.filter(F.array(*[F.lit(n) for n in range(20, 4, -2)]), lambda n: F.contains(b["c"], F.substring(b["q"], F.lit(1), n))), F.lit(0))
+        return T.once(F.when(F.length(b["q"]) >= 8, probe), lambda p: F.when(p.isNotNull(), found(2, p)).otherwise(found(0, F.lit(0))))
 
-CITE = r'\[\[cite\s+bookId="([^"]+)"\s+page="([^"]+)"\]\]([\s\S]*?)\[\[/cite\]\]'
+    def by_words(v):
+        sizes = F.filter(F.array_distinct(F.concat(F.array(F.size(v["words"])), F.array(*[F.lit(n) for n in (40, 30, 20, 15, 10, 6, 4, 3)]))), lambda n: (n >= 2) & (n <= F.size(v["words"])))
+        hit = F.get(F.filter(sizes, lambda n: F.contains(v["c"], F.array_join(F.slice(v["words"], F.lit(1), n), " "))), F.lit(0))
+        letters = F.struct(bare(v["c"]).alias("c"), bare(v["q"]).alias("q"))
+        return T.once(hit, lambda h: F.when(h.isNotNull(), found(1, h)).otherwise(T.once(letters, by_letters)))
+
+    return T.once(F.struct(c.alias("c"), q.alias("q"), F.filter(F.split(q, " "), lambda w: w != "").alias("words")), by_words)
+
+
+CITE = r'\[\[cite\s+bookId="([^"]+)"\s+page="([^"]+)"\]\]((?:[^\[]++|\[(?!\[/cite\]\]))*+)\[\[/cite\]\]'
 
 
 def cited(text: Column) -> Column:

@@ -190,7 +190,8 @@ def citation_tags(spark, sf):
     docs = documents(spark, sf)
     tags = docs.select("doc_id", F.explode(Q.cited(t)).alias("c")).select("doc_id", "c.*")
     books = docs.select(F.col("source").alias("book")).distinct().withColumn("known", F.lit(True))
-    return tags.join(books, "book", "left").select("doc_id", "book", "page", F.md5("quote").alias("quote_md5"), F.coalesce("known", F.lit(False)).alias("known"))
+    tags = tags.select("doc_id", "book", "page", F.md5("quote").alias("quote_md5"))
+    return tags.join(books, "book", "left").select("doc_id", "book", "page", "quote_md5", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @query("citation_guard", "I15", """SELECT doc_id, kind, value FROM (SELECT doc_id, 'cite_tag' AS kind, 'b' || (doc_id % 9) AS value FROM documents WHERE doc_id % 9 >= 5 UNION ALL SELECT doc_id, 'possessive_author', ['Adams', 'Baker', 'Clark'][doc_id % 3 + 1] AS value FROM documents WHERE doc_id % 3 <> 1
