@@ -226,8 +226,8 @@ for _name, (_covers, _sql) in _SCANS.items():
 
 @query("page_annotations", "C9", f"SELECT doc_id, kind, count(*) AS n FROM ({' UNION ALL '.join(sql for _, sql in _SCANS.values())}) GROUP BY doc_id, kind")
 def page_annotations(spark, sf):
-    every = F.concat(*[_scan(name) for name in _SCANS])
-    return _annotated(spark, sf).select("doc_id", F.explode(every).alias("x")).groupBy("doc_id", F.col("x.kind").alias("kind")).agg(F.count("*").alias("n"))
+    counted = _annotated(spark, sf).select("doc_id", text.annotation_counts(F.col("t")).alias("found"))
+    return counted.select("doc_id", F.explode("found").alias("x")).filter("x.n > 0").groupBy("doc_id", F.col("x.kind").alias("kind")).agg(F.sum("x.n").alias("n"))
 
 
 _SUBJECTS = ["Hidden zero of it", "the splitting", "ABHY and associahedron", "soft limit", "Yang-Mills", "plain", "causal diamond", "uniqueness of factorization"]
