@@ -13,15 +13,17 @@ from inkweave.functions import text as T
 
 def tag_text_score(tags: Column, text: Column) -> Column:
     """How many tags a text bears out: as a phrase, or by a word for each longer part with the same first four letters."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
 
-    def hit(tag):
-        phrase = F.lower(F.replace(tag, F.lit("_"), F.lit(" ")))
-        parts = F.filter(F.split(phrase, r"\s+"), lambda t: F.length(t) >= 4)
-        return F.contains(low, phrase) | ((F.size(parts) > 0) & F.forall(parts, lambda t: F.exists(words, lambda w: F.startswith(w, F.substring(t, 1, 4)))))
+    def hits(v):
+        def hit(tag):
+            phrase = F.lower(F.replace(tag, F.lit("_"), F.lit(" ")))
+            parts = F.filter(F.split(phrase, r"\s+"), lambda t: F.length(t) >= 4)
+            return F.contains(v["low"], phrase) | ((F.size(parts) > 0) & F.forall(parts, lambda t: F.array_contains(v["starts"], F.substring(t, 1, 4))))
+
+        return F.size(F.filter(tags, hit))
 
-    return F.size(F.filter(tags, hit))
+    starts = lambda low: F.array_distinct(F.transform(F.filter(F.split(low, "[^a-z0-9]+"), lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4)))
+    return T.once(F.lower(F.coalesce(text, F.lit(""))), lambda low: T.once(F.struct(low.alias("low"), starts(low).alias("starts")), hits))
 
 
 def resolve_entries(entries: DataFrame, books: DataFrame) -> DataFrame:
