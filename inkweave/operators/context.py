@@ -101,14 +101,17 @@ def book_metadata(chunks: DataFrame, spans: DataFrame, edges: DataFrame) -> Data
     )
     by_span = edges.filter(F.col("from_span").isNotNull()).select("edge_id", "from_span", "to_chunk", "to_book", "relation", "confidence").join(target, "to_chunk").groupBy(F.col("from_span").alias("span_id")).agg(_lines(edge, ["edge_id"]).alias("edges"))
     shown = F.concat(F.lit("      • span role="), "role", F.lit(" class="), "search_class", F.lit(" span_tags=["), F.array_join(F.slice("tags", 1, 8), ","), F.lit('] "'), short_middle(F.col("span_text")), F.lit('"'))
-    by_chunk = spans.join(by_span, "span_id", "left").groupBy("chunk_id").agg(_lines(_joined(shown, F.col("edges")), ["sentence"]).alias("spans"))
+    # what is shown of a text is cut out before the shuffles
+    shown_spans = spans.select("span_id", "chunk_id", "sentence", shown.alias("shown"))
+    by_chunk = shown_spans.join(by_span, "span_id", "left").groupBy("chunk_id").agg(_lines(_joined(F.col("shown"), F.col("edges")), ["sentence"]).alias("spans"))
     flat = T.squeeze(F.col("text"))
     head = _joined(
         F.concat(F.lit("  Chunk #"), s("chunk_index"), F.lit(" ("), F.coalesce("structural_type", F.lit("unknown")), F.lit(")")),
         F.when(F.size("tags") > 0, F.concat(F.lit("    chunk_tags: "), F.array_join(F.slice("tags", 1, 20), ", "))),
         F.concat(F.lit('    chunk_text: "'), F.substring(flat, 1, 220), F.when(F.length("text") > 220, "…").otherwise(""), F.lit('"')),
     )
-    made = chunks.join(by_chunk, "chunk_id", "left").groupBy("book_id", "page_number").agg(_lines(_joined(head, F.col("spans")), ["chunk_index"]).alias("body"))
+    heads = chunks.select("chunk_id", "book_id", "page_number", "chunk_index", head.alias("head"))
+    made = heads.join(by_chunk, "chunk_id", "left").groupBy("book_id", "page_number").agg(_lines(_joined(F.col("head"), F.col("spans")), ["chunk_index"]).alias("body"))
     return made.select("book_id", "page_number", _joined(F.concat(F.lit("  [Page "), s("page_number"), F.lit("]")), F.col("body")).alias("block"))
 
 
