@@ -12,10 +12,12 @@ def decompose(spans: DataFrame, verdicts: DataFrame, least: int = 2) -> DataFram
     """spans (span_id, chunk_id, tags, role, search_class) after verdicts (span_id, parts: array<struct<tags,role,
     search_class>>): each part with tags becomes a span of its own (span_id * 100 + its place), and the old one stays,
     marked as replaced by them. Fewer than ``least`` such parts leave the span as it is, marked unrepairable."""
-    j = spans.join(verdicts, "span_id", "left").withColumn("good", F.filter("parts", lambda p: F.size(p["tags"]) > 0))
-    enough = F.col("parts").isNotNull() & (F.size("good") >= least)
+    # good parts go to the join alone, and spans pass by a table of them: neither side is sorted
+    good = verdicts.filter("parts is not null").select("span_id", F.filter("parts", lambda p: F.size(p["tags"]) > 0).alias("good"))
+    j = spans.join(good.hint("shuffle_hash"), "span_id", "left")
+    enough = F.col("good").isNotNull() & (F.size("good") >= least)
     ids = F.transform(F.sequence(F.lit(1), F.size("good")), lambda k: F.col("span_id") * 100 + k)
-    status = F.when(enough, "replaced").when(F.col("parts").isNotNull(), "unrepairable")
+    status = F.when(enough, "replaced").when(F.col("good").isNotNull(), "unrepairable")
     old = j.select("span_id", "chunk_id", "tags", "role", "search_class", status.alias("status"), F.when(enough, ids).alias("replaced_by"))
     new = j.filter(enough).select("span_id", "chunk_id", F.posexplode("good").alias("k", "p"))
     new = new.select((F.col("span_id") * 100 + F.col("k") + 1).alias("span_id"), "chunk_id", "p.tags", "p.role", F.coalesce("p.search_class", F.lit("N")).alias("search_class"), F.lit("repaired").alias("status"), F.lit(None).cast("array<bigint>").alias("replaced_by"))
