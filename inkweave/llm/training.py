@@ -89,6 +89,62 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
+def logistic_over(rows: DataFrame, width: int, weight: dict, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """logistic() over a table of any size: rows (mark, at array<int>, value array<double>: the columns that aren't 0, the
+    last being the constant); weight of a row by its mark.
+
+    Each step sums the loss and its derivatives over all rows where they lie; the driver gets the sums. Columns aren't scaled,
+    the ridge is: the minimum is the same.
+    """
+    upper = np.triu_indices(width)
+
+    def derivatives(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def part(frames):
+            loss, gradient, curve = 0.0, np.zeros(width), np.zeros((width, width))
+            for frame in frames:
+                for begin in range(0, len(frame), 2048):
+                    some = frame.iloc[begin : begin + 2048]
+                    x = np.zeros((len(some), width))
+                    x[np.repeat(np.arange(len(some)), some["at"].str.len().to_numpy()), np.concatenate(some["at"].tolist())] = np.concatenate(some["value"].tolist())
+                    y = some["mark"].to_numpy()
+                    each = np.where(y == 1, weight[1], weight[0])
+                    z = x @ w
+                    p = sigmoid(z)
+                    loss += (each * np.logaddexp(0, -(2 * y - 1) * z)).sum()
+                    gradient += x.T @ (each * (p - y))
+                    curve += (x * (each * p * (1 - p))[:, None]).T @ x
+            sums = np.concatenate([[loss], gradient, curve[upper]])
+            yield pd.DataFrame({"k": np.arange(len(sums), dtype="int32"), "v": sums})
+
+        sums = rows.mapInPandas(part, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas().sort_values("k")["v"].to_numpy()
+        curve = np.zeros((width, width))
+        curve[upper] = sums[1 + width :]
+        return float(sums[0]), sums[1 : 1 + width], curve + np.triu(curve, 1).T
+
+    w = np.zeros(width)
+    loss, gradient, curve = derivatives(w)
+    # at 0 the curve is a quarter of the columns' weighted products: the constant's are the sums and their number
+    n = curve[-1, -1]
+    scale2 = np.maximum(np.diag(curve) / n - (curve[-1] / n) ** 2, 0.0)
+    keep = ridge * np.where(scale2 > 0, scale2, 1.0)
+    keep[-1] = 1e-9
+    now = loss
+    for _ in range(steps):
+        step = np.linalg.solve(curve + np.diag(keep + 1e-9), gradient + keep * w)
+        size = 1.0
+        while True:
+            tried = w - size * step
+            loss, gradient, curve = derivatives(tried)
+            after = loss + 0.5 * (keep * tried * tried).sum()
+            if after <= now or size <= 1e-6:
+                break
+            size /= 2
+        w, before, now = tried, now, after
+        if before - now < 1e-9 * max(1.0, abs(now)):
+            break
+    return w
+
+
 def class_weights(y: np.ndarray, counts: dict, one=1, zero=0) -> np.ndarray:
     """Weights that give the classes of a balanced sample the shares that they have among all training rows."""
     ones, zeros = max(1, counts.get(one, 0)), max(1, counts.get(zero, 0))

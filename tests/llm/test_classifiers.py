@@ -129,3 +129,18 @@ def test_op7_automaton_knows_exactly_the_substrings():
     for n in range(1, 6):
         for s in itertools.product([1, 2, 3], repeat=n):
             assert accepts(s) == (s in inside)
+
+
+def test_op8_learns_from_all_labelled_rows(spark, tables):
+    """More rows of a class than a sample once held: the model is that of all of them in memory."""
+    docs = tables[0].filter("doc_id < 40").select("text").toPandas()["text"].tolist()
+    rows = [(k, f"{docs[k % 40][:60]} w{k % 7} " + ("st*pid mor0n" if k % 3 == 1 else "idiot" if k % 2 else "lovely") + " end" * (k % 4), k % 2) for k in range(9000)]
+    marks = spark.createDataFrame([(k, m) for k, _, m in rows], "doc_id long, mark int")
+    table_ = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string").repartition(5)
+    train = spark.createDataFrame(rows, "doc_id long, text string, mark int").filter(~op8_toxicity.held_out(F.col("doc_id"))).toPandas()
+    assert (train.mark == 1).sum() > 3000
+    whole = op8_toxicity.fit(train, train.mark.value_counts().to_dict())
+    got = op8_toxicity.fit_all(table_, marks)
+    assert list(got.features) == list(whole.features) and got.share == whole.share
+    assert got.letters.counts == whole.letters.counts
+    assert got.weights == pytest.approx(whole.weights, rel=1e-3, abs=1e-4)
