@@ -10,6 +10,8 @@ quotes of fewer than WORDS words find nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +80,24 @@ def search(spark: SparkSession, folder: str, quotes: DataFrame) -> DataFrame:
     each = begins.join(known, "quote_id").filter(F.col("k") + WORDS <= F.col("words"))
     rarest = each.groupBy("quote_id", "words").agg(F.min(F.struct("n", "k", "gram")).alias("g")).filter("g.n > 0")
     probes = stage(rarest.select("quote_id", "words", F.col("g.k").alias("k"), F.col("g.gram").alias("gram"), bucket(F.col("g.gram")).alias("bucket")), "quote-probes")
-    # of a quote's beginnings with one rarest gram and place in it, the postings are read once
-    met = _met(held, probes, probes.count(), ["bucket", "gram"]).filter(F.col("place") >= F.col("k"))
-    places = met.groupBy("quote_id", "page_id", (F.col("place") - F.col("k")).alias("start")).agg(F.collect_set("words").alias("tries"))
     pages = spark.read.parquet(f"{folder}/words").select("page_id", F.col("words").alias("w"))
-    both = places.join(pages, "page_id").join(asked, "quote_id")
-    fits = F.filter("tries", lambda b: F.slice("w", F.col("start") + 1, b) == F.slice("q", F.lit(1), b))
-    hits = both.select("quote_id", "page_id", "start", F.array_max(fits).alias("words")).filter("words is not null")
-    best = hits.groupBy("quote_id").agg(F.max("words").alias("words"))
-    return hits.join(best, ["quote_id", "words"]).select("quote_id", "words", "page_id", "start")
+    # shorter beginnings stand in many more places, so they are looked for only where no longer one was found
+    hits, left = [], stage(rarest.select("quote_id", "words", F.col("g.k").alias("k"), F.col("g.gram").alias("gram"), bucket(F.col("g.gram")).alias("bucket")), "quote-probes")
+    for _ in range(len(BEGINNINGS) + 1):
+        longest = left.groupBy("quote_id").agg(F.max_by(F.struct("words", "k", "gram", "bucket"), "words").alias("b")).select("quote_id", "b.*")
+        probes = stage(longest, "quote-longest")
+        n = probes.count()
+        met = _met(held, probes, n, ["bucket", "gram"]).filter(F.col("place") >= F.col("k")).select("quote_id", "words", "page_id", (F.col("place") - F.col("k")).alias("start"))
+        both = met.join(pages, "page_id").join(asked, "quote_id")
+        fits = F.slice("w", F.col("start") + 1, F.col("words")) == F.slice("q", F.lit(1), F.col("words"))
+        found = both.filter(fits).select("quote_id", "words", "page_id", "start")
+        tried = probes.select("quote_id", F.col("words").alias("tried"))
+        shorter = stage(left.join(tried, "quote_id").filter(F.col("words") < F.col("tried")).drop("tried"), "quote-probes")
+        if not shorter.limit(1).count():
+            hits.append(found)
+            break
+        hits.append(stage(found, "quote-hits"))
+        left = stage(shorter.join(hits[-1].select("quote_id").distinct(), "quote_id", "left_anti"), "quote-probes")
+        if not left.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, hits)
