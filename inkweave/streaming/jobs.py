@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +33,10 @@ def changes(events: DataFrame, silence: str = "2 hours", late: str = "1 hour") -
             told.append(("timeout", last + gap))
             status = None
         else:
-            rows = pd.concat(list(frames), ignore_index=True)
-            times = rows["at"].astype("datetime64[us]").astype("int64")
+            # plain lists: a job has few events in a batch, and a frame's own operations cost more than they do
+            rows = [x for f in frames for x in zip(f["at"].to_numpy("datetime64[us]").astype("int64").tolist(), f["event_id"].tolist(), f["status"].tolist(), strict=True)]
             begin = state.getCurrentWatermarkMs() * 1000
-            for at, _, now in sorted(x for x in zip(times, rows["event_id"], rows["status"], strict=True) if x[0] >= begin):
+            for at, _, now in sorted(x for x in rows if x[0] >= begin):
                 if status is not None and at > last + gap:
                     told.append(("timeout", last + gap))
                     status = None
@@ -53,7 +54,7 @@ def changes(events: DataFrame, silence: str = "2 hours", late: str = "1 hour") -
         if status is None and state.exists:
             state.remove()
         if told:
-            yield pd.DataFrame({"job": key[0], "status": [s for s, _ in told], "at": pd.to_datetime([t for _, t in told], unit="us")})
+            yield pd.DataFrame({"job": key[0], "status": [s for s, _ in told], "at": np.array([t for _, t in told], dtype="datetime64[us]")})
 
     seen = events.select("job", "status", "at", "event_id").withWatermark("at", late)
     return seen.groupBy("job").applyInPandasWithState(step, OUT, "status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
