@@ -9,6 +9,7 @@ from inkweave.functions import concepts as C
 from inkweave.functions import identifiers as I
 from inkweave.functions import scales as S
 from inkweave.functions import text as T
+from inkweave.sources.tables import stage
 
 
 def tag_text_score(tags: Column, text: Column) -> Column:
@@ -77,46 +78,70 @@ def target_score(overlap: Column, direct: Column, text_hits: Column, page: Colum
     return overlap + boost + kind + order + F.least(F.lit(1.5), 0.4 * text_hits) + direct * 0.5
 
 
+#: Characters of asking keys that are sent to all tasks; beyond that both sides are dealt by key.
+SENT = 16_000_000
+#: The key of every chunk, for tags that a text can bear out without having a word that begins like one of theirs.
+ANY = "*"
+
+
+def probes(tags: Column) -> Column:
+    """array<struct<phrase,starts,key>> of tags: the phrase, the first four letters of its longer words, and the beginning of
+    a word that every text has which bears the tag out (of the longest word behind a space), or null."""
+
+    def probe(tag):
+        phrase = F.lower(F.replace(tag, F.lit("_"), F.lit(" ")))
+        return T.once(F.struct(phrase.alias("phrase"), F.split(phrase, r"\s+").alias("words")), parts)
+
+    def parts(v):
+        begin = lambda w: F.substring(w, 1, 4)
+        # the first word may stand inside a longer one of the text, the others follow a space
+        later = F.filter(F.slice(v["words"], F.lit(2), F.size(v["words"])), lambda w: F.regexp_like(w, F.lit("^[a-z0-9]{4}")))
+        key = begin(F.array_max(F.transform(later, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+        starts = F.array_distinct(F.transform(F.filter(v["words"], lambda w: F.length(w) >= 4), begin))
+        return F.struct(v["phrase"].alias("phrase"), starts.alias("starts"), key.alias("key"))
+
+    return F.transform(tags, probe)
+
+
 def best_targets(citing: DataFrame, chunks: DataFrame, least: float = 1.0) -> DataFrame:
     """The best chunk of the cited book for each citing span: (span_id, target_book, chunk_id, overlap, score).
 
     citing (span_id, target_book, tags); chunks (book_id, chunk_id, chunk_index, page_number, structural_type, tags, text).
     Spans with the same tags ask the same of a book, so each set of tags is answered once for each book. Asking sets meet
     chunks by shared concepts and by shared beginnings of words (four letters, those of tags against those of texts), both
-    equi-joins within the book. Ties go to the smaller id.
+    equi-joins within the book. While the asking keys are few they go to all tasks: a chunk is then scored where it is made,
+    and no text is shuffled for it. citing is read twice. Ties go to the smaller id.
     """
-    start = lambda words: F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= 4), lambda w: F.substring(w, 1, 4)))
-    usable = chunks.filter(~I.is_bibliography_text(F.col("text"))).select("book_id", "chunk_id", "chunk_index", "page_number", "structural_type", "tags", F.lower("text").alias("low"))
-    usable = usable.withColumn("concepts", C.concepts_of_all(F.col("tags"))).withColumn("starts", start(F.split("low", "[^a-z0-9]+")))
+    # longer than the beginning of a word, so never equal to one
+    concept_keys = lambda c: F.transform(c, lambda x: F.concat(F.lit("concept:"), x))
+    lower = lambda tags: F.transform(tags, F.lower)
     citing = citing.filter(F.size("tags") > 0).select("span_id", F.col("target_book").alias("book_id"), F.array_sort("tags").alias("own"))
-    asks = citing.select("book_id", "own").distinct().withColumn("own_concepts", C.concepts_of_all(F.col("own")))
-
-    def key_word(tag):
-        """Of a tag's words of four letters or more the longest but the first one, if there are others: a text that bears the
-        tag out has a word with that beginning."""
-        words = F.filter(F.split(F.lower(tag), "_"), lambda w: F.length(w) >= 4)
-        later = F.when(F.size(words) > 1, F.slice(words, F.lit(2), F.size(words))).otherwise(words)
-        return F.array_max(F.transform(later, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-
-    tag_starts = start(F.array_compact(F.transform("own", key_word)))
-    key = lambda mark, a: F.transform(a, lambda x: F.concat(F.lit(mark), x))
-    left = asks.select("own", "book_id", F.explode(F.concat(key("c:", F.col("own_concepts")), key("w:", tag_starts))).alias("k"))
-    right = usable.select("chunk_id", "book_id", F.explode(F.concat(key("c:", F.col("concepts")), key("w:", F.col("starts")))).alias("k"))
-    pairs = left.join(right, ["book_id", "k"]).select("book_id", "own", "chunk_id").distinct()
-    full = pairs.join(asks, ["book_id", "own"]).join(usable.drop("book_id"), "chunk_id")
-
-    def hit(tag):
-        phrase = F.lower(F.replace(tag, F.lit("_"), F.lit(" ")))
-        parts = F.filter(F.split(phrase, r"\s+"), lambda t: F.length(t) >= 4)
-        return F.contains("low", phrase) | ((F.size(parts) > 0) & F.forall(parts, lambda t: F.array_contains("starts", F.substring(t, 1, 4))))
-
-    overlap = F.size(F.array_intersect("own_concepts", "concepts"))
-    full = full.withColumn("overlap", overlap).withColumn("hits", F.size(F.filter("own", hit))).filter("overlap > 0 or hits > 0")
-    direct = F.size(F.array_intersect(F.transform("own", F.lower), F.transform("tags", F.lower)))
+    asks = citing.select("book_id", "own").distinct().withColumn("ask", F.monotonically_increasing_id())
+    asks = asks.withColumn("own_concepts", C.concepts_of_all(F.col("own"))).withColumn("probes", probes(F.col("own"))).withColumn("own_low", lower("own"))
+    word_keys = F.transform("probes", lambda p: F.coalesce(p["key"], F.lit(ANY)))
+    asks = stage(asks.withColumn("own_keys", F.array_distinct(F.concat(concept_keys(F.col("own_concepts")), word_keys))), "asks")
+    # a pair with several keys in common counts at the first of them: those before it are none of the chunk's
+    asking = asks.select("*", F.posexplode("own_keys").alias("at", "k")).withColumn("earlier", F.slice("own_keys", F.lit(1), F.col("at"))).drop("at", "own", "own_keys")
+    held = asking.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+
+    # chunks without keys meet no one. Filters (or explode's own test, or one for nulls) Spark would move below what they test, and compute that twice
+    bib = I.is_bibliography_text(F.col("text")).alias("bib")
+    usable = chunks.select("book_id", "chunk_id", "chunk_index", "page_number", "structural_type", lower("tags").alias("tags"), C.concepts_of_all(F.col("tags")).alias("concepts"), F.lower("text").alias("low"), bib)
+    starts = F.array_distinct(F.regexp_extract_all("low", F.lit("(?<![a-z0-9])[a-z0-9]{4}"), F.lit(0)))
+    usable = usable.withColumn("keys", F.coalesce(F.when(~F.col("bib"), F.concat(concept_keys(F.col("concepts")), starts, F.array(F.lit(ANY)))), F.array().cast("array<string>"))).drop("bib")
+    if held <= SENT:
+        met = usable.withColumn("k", F.explode_outer("keys")).join(F.broadcast(asking), ["book_id", "k"]).filter(~F.arrays_overlap("earlier", "keys"))
+    else:
+        pairs = asking.select("book_id", "ask", "k").join(usable.select("book_id", "chunk_id", F.explode_outer("keys").alias("k")), ["book_id", "k"])
+        met = pairs.select("book_id", "ask", "chunk_id").distinct().join(asks.drop("book_id"), "ask").join(usable, ["book_id", "chunk_id"])
+
+    hit = lambda p: F.contains("low", p["phrase"]) | ((F.size(p["starts"]) > 0) & F.forall(p["starts"], lambda t: F.array_contains("keys", t)))
+    overlap, direct = F.size(F.array_intersect("own_concepts", "concepts")), F.size(F.array_intersect("own_low", "tags"))
+    full = met.withColumn("overlap", overlap).withColumn("hits", F.size(F.filter("probes", hit)))
     score = target_score(F.col("overlap"), direct, F.col("hits"), F.col("page_number"), F.col("structural_type"), F.col("chunk_index"))
-    scored = full.select("book_id", "own", "chunk_id", "overlap", F.round(score, 6).alias("score"))
-    best = scored.groupBy("book_id", "own").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("minus"), "overlap")).alias("b"))
-    best = best.select("book_id", "own", (-F.col("b.minus")).alias("chunk_id"), "b.overlap", "b.score").filter(F.col("score") >= least)
+    scored = full.select("ask", "chunk_id", "overlap", F.when((F.col("overlap") > 0) | (F.col("hits") > 0), F.round(score, 6)).alias("score"))
+    best = scored.groupBy("ask").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("minus"), "overlap")).alias("b")).filter(F.col("b.score") >= least)
+    best = best.join(asks.select("ask", "book_id", "own"), "ask").select("book_id", "own", (-F.col("b.minus")).alias("chunk_id"), "b.overlap", "b.score")
     return citing.join(best, ["book_id", "own"]).select("span_id", F.col("book_id").alias("target_book"), "chunk_id", "overlap", "score")
 
 

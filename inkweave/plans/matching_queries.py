@@ -8,10 +8,11 @@ from inkweave.functions import identifiers, scales
 from inkweave.operators import matching as M
 from inkweave.operators import vectors as V
 from inkweave.plans.catalog import query
-from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, chunks, documents, duck_pick, edges, library, pick, q, spans
+from inkweave.plans.fixtures import DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, chunks, documents, duck_pick, edges, pick, q, spans
 from inkweave.plans.graph_queries import _REL_MAP
 from inkweave.plans.knowledge_queries import _PAIRS, _asked, _ranked, _rows
 from inkweave.plans.text_queries import duck_concepts
+from inkweave.sources.tables import stage
 
 _BIB = "[1] A. Author, A title, JHEP 01 (2015) 2, arXiv:15' || (10 + doc_id % 3) || '.' || (10000 + doc_id % 40) || ' [2] B. Bee and C. Sea, Phys. Rev. (19' || (60 + doc_id % 40) || ') doi:10.1007/x' || (doc_id % 25) || '. [3]  [4] no year here"
 
@@ -109,9 +110,10 @@ def tag_text_score(spark, sf):
     return chunks(spark, sf).select("chunk_id", M.tag_text_score(F.col("tags"), t).cast("long").alias("hits"))
 
 
-def _citing(spark, sf, of=None):
-    """Citing spans (class S), each to the book whose number follows its page's."""
-    return (spans(spark, sf) if of is None else of).filter("search_class = 'S' and role = 'citation'").withColumn("target_book", F.concat(F.lit("src"), ((F.col("page_number") * 7 + 1) % 20).cast("string")))
+def _citing(spark, sf):
+    """Citing spans (class S), each to the book whose number follows its page's, without their texts."""
+    rows = spans(spark, sf).filter("search_class = 'S' and role = 'citation'").withColumn("target_book", F.concat(F.lit("src"), ((F.col("page_number") * 7 + 1) % 20).cast("string")))
+    return rows.select("span_id", "book_id", "role", "sentence", "tags", "target_book")
 
 
 def _target_chunks(spark, sf):
@@ -135,9 +137,10 @@ def lexical_target(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY src, chunk_id ORDER BY confidence, score DESC, sentence, span_id) AS r FROM l)
 SELECT src AS book_id, chunk_id, any_value(span_id) FILTER (r = 1) AS span_id, any_value(confidence) FILTER (r = 1) AS confidence, coalesce(string_agg(span_id::varchar, ',' ORDER BY span_id) FILTER (r > 1), '') AS related FROM r GROUP BY 1, 2""")
 def lexical_edges(spark, sf):
-    spans_, chunks_ = library(spark, sf)
-    targets = M.best_targets(_citing(spark, sf, spans_), chunks_.withColumn("tags", F.slice("tags", 1, 3)))
-    made = M.lexical_edges(targets, spans_.select("span_id", "book_id", "role", "sentence"))
+    """Texts are cut twice, for the few citing spans and for the chunks: that costs less than to write and read them all."""
+    citing = stage(_citing(spark, sf), "citing")
+    targets = stage(M.best_targets(citing, _target_chunks(spark, sf)), "targets")
+    made = M.lexical_edges(targets, citing.select("span_id", "book_id", "role", "sentence"))
     return made.select("book_id", "chunk_id", "span_id", "confidence", F.array_join(F.col("related").cast("array<string>"), ",").alias("related"))
 
 
