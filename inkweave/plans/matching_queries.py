@@ -111,9 +111,9 @@ def tag_text_score(spark, sf):
 
 
 def _citing(spark, sf):
-    """Citing spans (class S), each to the book whose number follows its page's, without their texts."""
+    """Citing spans (class S), each to the book whose number follows its page's; written once, without their texts."""
     rows = spans(spark, sf).filter("search_class = 'S' and role = 'citation'").withColumn("target_book", F.concat(F.lit("src"), ((F.col("page_number") * 7 + 1) % 20).cast("string")))
-    return rows.select("span_id", "book_id", "role", "sentence", "tags", "target_book")
+    return stage(rows.select("span_id", "book_id", "role", "sentence", "tags", "target_book"), "citing")
 
 
 def _target_chunks(spark, sf):
@@ -138,7 +138,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY src, chunk_id ORDER BY confidenc
 SELECT src AS book_id, chunk_id, any_value(span_id) FILTER (r = 1) AS span_id, any_value(confidence) FILTER (r = 1) AS confidence, coalesce(string_agg(span_id::varchar, ',' ORDER BY span_id) FILTER (r > 1), '') AS related FROM r GROUP BY 1, 2""")
 def lexical_edges(spark, sf):
     """Texts are cut twice, for the few citing spans and for the chunks: that costs less than to write and read them all."""
-    citing = stage(_citing(spark, sf), "citing")
+    citing = _citing(spark, sf)
     targets = stage(M.best_targets(citing, _target_chunks(spark, sf)), "targets")
     made = M.lexical_edges(targets, citing.select("span_id", "book_id", "role", "sentence"))
     return made.select("book_id", "chunk_id", "span_id", "confidence", F.array_join(F.col("related").cast("array<string>"), ",").alias("related"))
