@@ -52,10 +52,16 @@ def normal_terms(terms: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(terms, normal_term)), lambda t: t != "")
 
 
+def _any_of(markers: list[str]) -> str:
+    """A pattern for any of the markers: without those that hold another one, tried only where one of their first letters stands."""
+    least = [m for m in markers if not any(o != m and o in m for o in markers)]
+    return f"(?=[{''.join(sorted({m[0] for m in least}))}])(?:{'|'.join(least)})"
+
+
 def concepts_of(tag: Column) -> Column:
     """All concepts with a marker inside the tag, in their own order; without any, the tag itself."""
     t = F.lower(tag)
-    found = F.array_compact(F.array(*[F.when(F.regexp_like(t, F.lit("|".join(markers))), F.lit(name)) for name, markers in CONCEPTS.items()]))
+    found = F.array_compact(F.array(*[F.when(F.regexp_like(t, F.lit(_any_of(markers))), F.lit(name)) for name, markers in CONCEPTS.items()]))
     # bound once: the markers aren't searched again for the result
     return F.get(F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(t))), F.lit(0))
 
