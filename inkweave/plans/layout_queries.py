@@ -11,7 +11,7 @@ from inkweave.plans.fixtures import documents
 
 def _items(spark, sf):
     """Even documents in two columns of five words a line, odd ones in one of twelve; every 17th line in a large font."""
-    words = documents(spark, sf).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", r"\s+")).alias("i", "str"))
+    words = documents(spark, sf).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", rf"[{layout.BLANK}]+")).alias("i", "str"))
     two = F.col("page_id") % 2 == 0
     line = F.when(two, F.floor(F.col("i") / 5)).otherwise(F.floor(F.col("i") / 12))
     w = words.withColumn("line", line).withColumn("two", two)
