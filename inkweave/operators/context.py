@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions import text as T
 from inkweave.operators.prefix import running
+from inkweave.sources.tables import stage
 
 
 def _given(value: Column) -> Column:
@@ -80,39 +81,58 @@ def highlight_chunk(highlights: DataFrame, chunks: DataFrame, probe: int = 50) -
     return hit.groupBy("highlight_id").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"))
 
 
-def short_middle(text: Column, most: int = 120, head: int = 80, tail: int = 40) -> Column:
-    """One line; a longer one without its middle."""
-    t = T.squeeze(F.coalesce(text, F.lit("")))
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, head), F.lit("..."), F.right(t, F.lit(tail))))
+def short_middle(line: Column, most: int = 120, head: int = 80, tail: int = 40) -> Column:
+    """A line; a longer one without its middle."""
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, head), F.lit("..."), F.right(line, F.lit(tail))))
 
 
-def book_metadata(chunks: DataFrame, spans: DataFrame, edges: DataFrame) -> DataFrame:
+def book_metadata(chunks: DataFrame, spans: DataFrame, edges: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """(book_id, page_number, block): for each page of a book its chunks with tags and text, their spans, and the spans'
     edges with a quote of where they lead. Pages in order make the book.
 
     spans (span_id, chunk_id, sentence, role, search_class, tags, span_text), edges (edge_id, from_span, to_chunk, to_book,
     relation, confidence). Chunks, spans and edges meet by equality; lists are those of one chunk.
+
+    numbers (span_id, chunk_id, page_number) are those of all spans, where these come cheaply and spans know their book_id and
+    page_number, the page being that of their chunk. What is dealt by page (chunks, spans) is then not dealt again: edges come to
+    the pages of their spans. Pages that share the number of a chunk show the spans of each other, as without numbers.
     """
     s = lambda c: F.col(c).cast("string")
+    if numbers is None:
+        spans = spans.drop("book_id", "page_number").join(chunks.select("chunk_id", "page_number").distinct(), "chunk_id").withColumn("book_id", F.lit(None).cast("string"))
+        numbers = spans
+    else:
+        met = numbers.select("chunk_id", "page_number").distinct().groupBy("chunk_id").agg(F.collect_set("page_number").alias("on")).filter(F.size("on") > 1)
+        shared = met.select("chunk_id", F.explode("on").alias("page_number"), "on").select("chunk_id", "page_number", F.explode("on").alias("other")).filter("page_number <> other")
+        shared = stage(shared, "shared")
+        if not shared.isEmpty():
+            everywhere = lambda rows: rows.unionByName(rows.join(shared, ["chunk_id", "page_number"]).withColumn("page_number", F.col("other")).drop("other"))
+            spans, numbers = everywhere(spans), everywhere(numbers)
     target = chunks.select(F.col("chunk_id").alias("to_chunk"), F.col("page_number").alias("to_page"), F.col("structural_type").alias("to_type"), F.substring(T.squeeze(F.col("text")), 1, 200).alias("quote"))
     edge = F.concat(
         F.lit("          edge → "), "relation", F.lit(" (conf="), "confidence", F.lit(') target_book_id="'), "to_book", F.lit('" target_page='), s("to_page"), F.lit(" target_type="), F.coalesce("to_type", F.lit("?")),
         F.lit('\n            target_quote: "'), "quote", F.lit('"'),
     )
-    by_span = edges.filter(F.col("from_span").isNotNull()).select("edge_id", "from_span", "to_chunk", "to_book", "relation", "confidence").join(target, "to_chunk").groupBy(F.col("from_span").alias("span_id")).agg(_lines(edge, ["edge_id"]).alias("edges"))
-    shown = F.concat(F.lit("      • span role="), "role", F.lit(" class="), "search_class", F.lit(" span_tags=["), F.array_join(F.slice("tags", 1, 8), ","), F.lit('] "'), short_middle(F.col("span_text")), F.lit('"'))
-    # what is shown of a text is cut out before the shuffles
-    shown_spans = spans.select("span_id", "chunk_id", "sentence", shown.alias("shown"))
-    by_chunk = shown_spans.join(by_span, "span_id", "left").groupBy("chunk_id").agg(_lines(_joined(F.col("shown"), F.col("edges")), ["sentence"]).alias("spans"))
+    begin = numbers.select("span_id", "page_number").repartition("span_id").dropDuplicates()
+    linked = edges.select("edge_id", F.col("from_span").alias("span_id"), "to_chunk", "to_book", "relation", "confidence").join(begin, "span_id").join(target, "to_chunk")
+    by_span = linked.repartition("page_number").groupBy("page_number", "span_id").agg(_lines(edge, ["edge_id"]).alias("edges"))
+    # rows are gathered by page before they meet, by the page alone: neither side is dealt again, and no row is copied with a page's map
+    of_spans = by_span.groupBy("page_number").agg(F.map_from_entries(F.collect_list(F.struct("span_id", "edges"))).alias("edges"))
+    shown = F.concat(F.lit("      • span role="), "role", F.lit(" class="), "search_class", F.lit(" span_tags=["), F.array_join(F.slice("tags", 1, 8), ","), F.lit('] "'), short_middle(F.col("flat")), F.lit('"'))
+    in_chunk = spans.withColumn("flat", T.squeeze(F.coalesce("span_text", F.lit("")))).groupBy("page_number", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("sentence", "book_id", "span_id", shown.alias("shown")))).alias("spans"))
+    on_page = in_chunk.filter(F.col("chunk_id").isNotNull()).groupBy("page_number").agg(F.collect_list(F.struct("chunk_id", "spans")).alias("c"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: _joined(x["shown"], F.try_element_at("edges", x["span_id"]))), "\n")
+    of_chunks = on_page.join(of_spans.hint("shuffle_hash"), "page_number", "left").select("page_number", F.map_from_entries(F.transform("c", lambda c: F.struct(c["chunk_id"], listed(c["spans"])))).alias("spans"))
     flat = T.squeeze(F.col("text"))
     head = _joined(
         F.concat(F.lit("  Chunk #"), s("chunk_index"), F.lit(" ("), F.coalesce("structural_type", F.lit("unknown")), F.lit(")")),
         F.when(F.size("tags") > 0, F.concat(F.lit("    chunk_tags: "), F.array_join(F.slice("tags", 1, 20), ", "))),
         F.concat(F.lit('    chunk_text: "'), F.substring(flat, 1, 220), F.when(F.length("text") > 220, "…").otherwise(""), F.lit('"')),
     )
-    heads = chunks.select("chunk_id", "book_id", "page_number", "chunk_index", head.alias("head"))
-    made = heads.join(by_chunk, "chunk_id", "left").groupBy("book_id", "page_number").agg(_lines(_joined(F.col("head"), F.col("spans")), ["chunk_index"]).alias("body"))
-    return made.select("book_id", "page_number", _joined(F.concat(F.lit("  [Page "), s("page_number"), F.lit("]")), F.col("body")).alias("block"))
+    heads = chunks.groupBy("book_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", head.alias("head")))).alias("c"))
+    made = heads.hint("shuffle_hash").join(of_chunks, "page_number", "left")
+    body = F.array_join(F.transform("c", lambda c: _joined(c["head"], F.try_element_at("spans", c["chunk_id"]))), "\n")
+    return made.select("book_id", "page_number", _joined(F.concat(F.lit("  [Page "), s("page_number"), F.lit("]")), body).alias("block"))
 
 
 def note_blocks(notes: DataFrame, body_chars: int = 800, quote_chars: int = 180) -> DataFrame:

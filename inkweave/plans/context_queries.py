@@ -10,6 +10,7 @@ from inkweave.operators import quality as Q
 from inkweave.operators import repairs as R
 from inkweave.plans.catalog import query
 from inkweave.plans.fixtures import DUCK, DUCK_CHUNKS, DUCK_EDGES, DUCK_SPANS, chunks, documents, duck_chain, edges, pages, q, read, spans, tag_of
+from inkweave.sources.tables import stage
 
 _CID = "page_number * 1000 + (sentence - 1) // 8"
 
@@ -62,8 +63,17 @@ s AS (SELECT {_CID} AS chunk_id, string_agg('      • span role=' || role || '
 SELECT book_id, page_number, md5('  [Page ' || page_number || ']' || chr(10) || string_agg('  Chunk #' || chunk_index || ' (' || structural_type || ')' || chr(10) || '    chunk_tags: ' || array_to_string(tags[:20], ', ') || chr(10) || '    chunk_text: "' || left({_flat('text')}, 220) || CASE WHEN length(text) > 220 THEN '…' ELSE '' END || '"' || coalesce(chr(10) || spans, ''), chr(10) ORDER BY chunk_index)) AS block
  FROM c LEFT JOIN s USING (chunk_id) GROUP BY 1, 2""")
 def book_metadata(spark, sf):
-    made = X.book_metadata(chunks(spark, sf), _chunk_spans(spark, sf), edges(spark, sf))
-    return made.select("book_id", "page_number", F.md5("block").alias("block"))
+    """Sentences are cut and dealt by page once, and chunks, targets and spans are made where they lie; edges and numbers come
+    without texts. Documents without an id have no number to meet by, and no block."""
+    chunk = (F.col("page_number") * 1000 + F.floor((F.col("sentence") - 1) / 8)).alias("chunk_id")
+    numbers = stage(spans(spark, sf).select("span_id", "book_id", "page_number", "sentence", chunk), "numbers")
+    numbered = numbers.filter("page_number is not null")
+    ids = numbered.select("book_id", "page_number", "chunk_id", F.floor((F.col("sentence") - 1) / 8).cast("int").alias("chunk_index")).distinct()
+    cut = documents(spark, sf).filter("doc_id is not null").select("doc_id", "source", T.sentences(F.col("text")).alias("sentences"))
+    dealt = spans(spark, sf, cut.repartition("doc_id"))
+    made = X.book_metadata(chunks(spark, sf, dealt), dealt.select("*", chunk), edges(spark, sf, ids), numbered.select("span_id", "chunk_id", "page_number"))
+    unnumbered = numbers.filter("page_number is null").select("book_id", "page_number", F.lit(None).cast("string").alias("block")).distinct()
+    return made.unionByName(unnumbered).select("book_id", "page_number", F.md5("block").alias("block"))
 
 
 def _notes(spark, sf):

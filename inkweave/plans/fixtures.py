@@ -68,12 +68,14 @@ def tag_of(number: Column, k: int) -> Column:
 DUCK = {"tag_of": lambda number, k: duck_pick(TAGS, f"{number} * {2 * k + 1} + {k}")}
 
 
-def spans(spark: SparkSession, sf: str) -> DataFrame:
+def spans(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
     """One span for each sentence of the documents: (span_id, book_id, page_number, sentence, tags, role, search_class, gap_type, span_text).
 
-    A document is a page of the book that its source is; its page number is its id.
+    A document is a page of the book that its source is; its page number is its id. ``of`` are the documents with their sentences,
+    if these are at hand.
     """
-    found = documents(spark, sf).select("doc_id", F.col("source").alias("book_id"), F.posexplode(T.sentences(F.col("text"))).alias("at", "span_text"))
+    cut, sentences = (documents(spark, sf), T.sentences(F.col("text"))) if of is None else (of, F.col("sentences"))
+    found = cut.select("doc_id", F.col("source").alias("book_id"), F.posexplode(sentences).alias("at", "span_text"))
     n = F.col("doc_id") * 3 + F.col("at")
     return found.select(
         (F.col("doc_id") * 10_000 + F.col("at") + 1).alias("span_id"),
